@@ -108,8 +108,8 @@ def mid_salary(low: Column, high: Column) -> Column:
 def salary_band(c: Column) -> Column:
     """Band of an amount; the amount is read once, so it is computed once."""
     labels = F.array(*[F.lit(label) for _, label in BANDS], F.lit(TOP_BAND))
-    step = F.least(F.floor(c / (10 * MILLION)), F.lit(len(BANDS))).cast("int")
-    return F.coalesce(F.get(labels, step), F.lit(NO_BAND))
+    step = F.width_bucket(c, F.lit(0.0), F.lit(100.0 * MILLION), F.lit(len(BANDS)))
+    return F.coalesce(F.get(labels, (step - 1).cast("int")), F.lit(NO_BAND))
 
 
 def salary_range_text(low: Column, high: Column) -> Column:
