@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .location import DANANG, HANOI, HCMC
 from .salary import parse_salary
-from .text import trim_blanks
+from .text import let, trim_blanks
 
 # Filter keys with their length caps, keys postings cannot answer,
 # salary choices, local send hour and the guards around it.
@@ -100,31 +100,40 @@ def plain_place(c: Column) -> Column:
     return trim_blanks(F.regexp_replace(spaced, r"\s+", " "))
 
 
-def _any_in(text: Column, needles: tuple[str, ...]) -> Column:
+def any_in(text: Column, needles: tuple[str, ...]) -> Column:
     hit = text.contains(needles[0])
     for needle in needles[1:]:
         hit = hit | text.contains(needle)
     return hit
 
 
-def match_location(job_location: Column, wanted: Column) -> Column:
-    job, want = plain_place(job_location), plain_place(wanted)
-    known = _any_in(job, HANOI + HCMC + DANANG)
-    by_text = F.when(wanted == "other", ~known)
-    for aliases in CITY_ALIASES.values():
-        by_text = by_text.when(_any_in(want, aliases), _any_in(job, aliases))
-    by_text = by_text.otherwise(job.contains(want))
-    return F.when(wanted.isNull() | (wanted == "all"), F.lit(True)).otherwise(
-        F.coalesce(F.nullif(job_location, F.lit("")).isNotNull() & by_text, F.lit(False))
-    )
+def place_classes(job_location: Column) -> Column:
+    """City classes of a posting: known cities, ``other`` for none of them, and
+    ``free`` for any text at all; empty without a location."""
+    def classes(place: Column) -> Column:
+        known = [F.when(any_in(place, names), F.lit(name)) for name, names in CITY_ALIASES.items()]
+        other = F.when(~any_in(place, HANOI + HCMC + DANANG), F.lit("other"))
+        return F.array_compact(F.array(F.lit("free"), *known, other))
+
+    empty = F.array().cast("array<string>")
+    given = F.coalesce(job_location, F.lit("")) != ""
+    return F.when(given, let(plain_place(job_location), classes)).otherwise(empty)
+
+
+def wanted_class(wanted: Column) -> Column:
+    """The class a location filter asks for; ``free`` when it names no known city."""
+    place = plain_place(wanted)
+    kind = F.when(wanted == "other", F.lit("other"))
+    for name, aliases in CITY_ALIASES.items():
+        kind = kind.when(any_in(place, aliases), F.lit(name))
+    return kind.otherwise(F.lit("free"))
 
 
-def salary_floor(job_salary: Column) -> Column:
-    """Struct (currency, amount): the lowest amount a salary text names."""
-    pay = parse_salary(job_salary)
-    return F.struct(
-        pay["currency"].alias("currency"),
-        F.coalesce(pay["min"], pay["value"], pay["max"]).alias("amount"),
+def match_location(job_location: Column, wanted: Column) -> Column:
+    kind = wanted_class(wanted)
+    text = (kind != "free") | plain_place(job_location).contains(plain_place(wanted))
+    return F.when(wanted.isNull() | (wanted == "all"), F.lit(True)).otherwise(
+        F.coalesce(F.array_contains(place_classes(job_location), kind) & text, F.lit(False))
     )
 
 
@@ -142,22 +151,28 @@ def _in_range(amount: Column, low: int | None, high: int | None) -> Column:
     return amount.between(low, high)
 
 
-def salary_choice_tests(job_salary: Column) -> dict[str, Column]:
-    """The test behind every salary choice, on one posting."""
-    floor = salary_floor(job_salary)
-    tests = {"deal": is_open_salary(job_salary)}
-    for name, bounds in VND_RANGES.items():
-        tests[name] = (floor["currency"] == "VND") & _in_range(floor["amount"] / 1_000_000, *bounds)
-    for name, bounds in USD_RANGES.items():
-        tests[name] = (floor["currency"] == "USD") & _in_range(floor["amount"], *bounds)
-    return tests
+def salary_choices(job_salary: Column) -> Column:
+    """Array of the salary choices a posting meets, by the lowest amount it names."""
+    def ranges(pay: Column) -> Column:
+        amount = F.coalesce(pay["min"], pay["value"], pay["max"])
+        vnd = [
+            F.when((pay["currency"] == "VND") & _in_range(amount / 1_000_000, *bounds), F.lit(name))
+            for name, bounds in VND_RANGES.items()
+        ]
+        usd = [
+            F.when((pay["currency"] == "USD") & _in_range(amount, *bounds), F.lit(name))
+            for name, bounds in USD_RANGES.items()
+        ]
+        return F.array(*vnd, *usd)
+
+    opened = F.array(F.when(is_open_salary(job_salary), F.lit("deal")))
+    return F.array_compact(F.concat(opened, let(parse_salary(job_salary), ranges)))
 
 
 def match_salary(job_salary: Column, wanted: Column) -> Column:
-    result = F.when(wanted.isNull() | (wanted == "all"), F.lit(True))
-    for name, test in salary_choice_tests(job_salary).items():
-        result = result.when(wanted == name, F.coalesce(test, F.lit(False)))
-    return result.otherwise(F.lit(False))
+    return F.when(wanted.isNull() | (wanted == "all"), F.lit(True)).otherwise(
+        F.array_contains(salary_choices(job_salary), wanted)
+    )
 
 
 def match_keyword(title: Column, company: Column, keyword: Column) -> Column:

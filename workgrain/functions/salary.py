@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, trim_blanks
+from .text import contains_any, let, trim_blanks
 
 # Exchange rates of the warehouse and of the dashboard.
 WAREHOUSE_RATE = 24_000
@@ -50,18 +50,18 @@ def parse_salary(c: Column) -> Column:
         F.transform(tokens, lambda t: F.round(localized_number(t) * scale)),
         lambda n: n.isNotNull(),
     )
-    several = F.size(amounts) >= 2
-    single = F.get(amounts, F.lit(0))
     upper, lower = s.rlike(UPPER_CUE), s.rlike(LOWER_CUE)
-    return F.when(
-        known & (F.size(amounts) > 0),
-        F.struct(
+
+    def pay(found: Column) -> Column:
+        several, single = F.size(found) >= 2, F.get(found, F.lit(0))
+        return F.struct(
             F.when(usd, F.lit("USD")).otherwise(F.lit("VND")).alias("currency"),
-            F.when(several, F.array_min(amounts)).when(~upper & lower, single).alias("min"),
-            F.when(several, F.array_max(amounts)).when(upper, single).alias("max"),
+            F.when(several, F.array_min(found)).when(~upper & lower, single).alias("min"),
+            F.when(several, F.array_max(found)).when(upper, single).alias("max"),
             F.when(~several & ~upper & ~lower, single).alias("value"),
-        ),
-    )
+        )
+
+    return F.when(known, let(amounts, lambda found: F.when(F.size(found) > 0, pay(found))))
 
 
 def _digits(c: Column, pattern: str, group: int) -> Column:
@@ -149,9 +149,11 @@ def all_digits(c: Column) -> Column:
 
 def vnd_millions_mean(c: Column, rate: int = DASHBOARD_RATE) -> Column:
     """Mean of the parsed bounds in VND millions."""
-    parsed = parse_salary(c)
-    fallback = F.coalesce(parsed["value"], parsed["min"], parsed["max"])
-    low = F.coalesce(parsed["min"], fallback)
-    high = F.coalesce(parsed["max"], fallback)
-    unit = F.when(parsed["currency"] == "USD", F.lit(float(rate))).otherwise(F.lit(1.0))
-    return (low * unit / MILLION + high * unit / MILLION) / 2
+    def mean(parsed: Column) -> Column:
+        fallback = F.coalesce(parsed["value"], parsed["min"], parsed["max"])
+        low = F.coalesce(parsed["min"], fallback)
+        high = F.coalesce(parsed["max"], fallback)
+        unit = F.when(parsed["currency"] == "USD", F.lit(float(rate))).otherwise(F.lit(1.0))
+        return (low * unit / MILLION + high * unit / MILLION) / 2
+
+    return let(parse_salary(c), mean)
