@@ -65,7 +65,9 @@ def star(fact: DataFrame, **dims: DataFrame) -> DataFrame:
     for name, dim in dims.items():
         left, right = RELATIONS[name]
         shared = [c for c in dim.columns if c in fact.columns and c != right]
-        slim = dim.drop(*shared).withColumnRenamed(right, "_key")
+        slim = dim.drop(*shared).withColumn("_key", F.col(right))
+        if right in fact.columns:
+            slim = slim.drop(right)
         fact = fact.join(slim, fact[left] == slim["_key"], "left").drop("_key")
     return fact
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import dimensions as dims
 from ..operators import gold
 from ..operators import warehouse as wh
+from ..session import scratch_dir
+from ..sources.tables import materialize
 from . import sql
 from .fixtures import jobs_raw, staging_itviec, staging_topcv
 from .registry import query
@@ -35,6 +37,11 @@ def fact(spark: SparkSession, sf: str) -> DataFrame:
     return wh.fact_jobs(*bases(spark, sf), logos(spark, sf))
 
 
+def stored_fact(spark: SparkSession, sf: str) -> DataFrame:
+    """The fact table written out once, for queries that read it several times."""
+    return materialize(fact(spark, sf), "fact_jobs", path=scratch_dir(spark, "fact-jobs"))
+
+
 def share(part: str, whole: str) -> str:
     return f"round({part} * 100.0 / {whole}, 2)"
 
@@ -206,7 +213,7 @@ DIM_COMPANY = f"""SELECT {sql.key('source_platform', 'company_name')} AS company
 
 @query("a1_dim_company", sql.FACT + DIM_COMPANY)
 def a1(spark, sf):
-    return dims.dim_company(fact(spark, sf))
+    return dims.dim_company(stored_fact(spark, sf))
 
 
 DIM_LOCATION = f"""SELECT {sql.key('job_location')} AS location_id, job_location, count(DISTINCT url) AS total_jobs,
@@ -220,7 +227,7 @@ DIM_LOCATION = f"""SELECT {sql.key('job_location')} AS location_id, job_location
 
 @query("a2_dim_location", sql.FACT + DIM_LOCATION)
 def a2(spark, sf):
-    return dims.dim_location(fact(spark, sf))
+    return dims.dim_location(stored_fact(spark, sf))
 
 
 DIM_EDUCATION = f"""SELECT {sql.key('education_requirement')} AS education_id, education_requirement,
@@ -233,7 +240,7 @@ DIM_EDUCATION = f"""SELECT {sql.key('education_requirement')} AS education_id, e
 
 @query("a3_dim_education", sql.FACT + DIM_EDUCATION)
 def a3(spark, sf):
-    return dims.dim_education(fact(spark, sf))
+    return dims.dim_education(stored_fact(spark, sf))
 
 
 @query("a4_dim_salary_band", sql.FACT + f"""SELECT {sql.key('salary_band')} AS salary_band_id, salary_band,
@@ -244,7 +251,7 @@ def a3(spark, sf):
   FROM classified WHERE salary_band <> 'Not Specified'
   GROUP BY salary_band, salary_min_million, salary_max_million""")
 def a4(spark, sf):
-    return dims.dim_salary_band(fact(spark, sf))
+    return dims.dim_salary_band(stored_fact(spark, sf))
 
 
 DIM_WORK_MODEL = f"""SELECT {sql.key('work_model_normalized')} AS work_model_id, work_model_normalized,
@@ -256,7 +263,7 @@ DIM_WORK_MODEL = f"""SELECT {sql.key('work_model_normalized')} AS work_model_id,
 
 @query("a5_dim_work_model", sql.FACT + DIM_WORK_MODEL)
 def a5(spark, sf):
-    return dims.dim_work_model(fact(spark, sf))
+    return dims.dim_work_model(stored_fact(spark, sf))
 
 
 @query("a6_job_category_analysis", sql.FACT + f"""SELECT {sql.key('job_category')} AS job_category_id,
@@ -268,7 +275,7 @@ def a5(spark, sf):
   {urls(REMOTE)} AS remote_positions, {urls(HYBRID)} AS hybrid_positions,
   {share(urls(BACHELOR), 'count(*)')} AS pct_bachelor_required FROM classified GROUP BY job_category""")
 def a6(spark, sf):
-    return gold.job_category_analysis(fact(spark, sf))
+    return gold.job_category_analysis(stored_fact(spark, sf))
 
 
 @query("a7_job_market_daily", sql.FACT + f"""SELECT job_posted_date, source_platform,
@@ -280,7 +287,7 @@ def a6(spark, sf):
   {urls(ONSITE)} AS onsite_jobs, {urls(BACHELOR)} AS bachelor_required_count
   FROM classified GROUP BY job_posted_date, source_platform""")
 def a7(spark, sf):
-    return gold.job_market_daily(fact(spark, sf))
+    return gold.job_market_daily(stored_fact(spark, sf))
 
 
 @query("a8_platform_comparison", sql.FACT + f"""SELECT source_platform, count(*) AS total_job_postings,
@@ -294,7 +301,7 @@ def a7(spark, sf):
   min(job_posted_date) AS earliest_job_date, max(job_posted_date) AS latest_job_date
   FROM classified GROUP BY source_platform""")
 def a8(spark, sf):
-    return gold.platform_comparison(fact(spark, sf))
+    return gold.platform_comparison(stored_fact(spark, sf))
 
 
 @query("a9_salary_benchmark", sql.FACT + f"""SELECT {sql.key('salary_band')} AS salary_band_id, salary_band,
@@ -305,7 +312,7 @@ def a8(spark, sf):
   {urls(REMOTE)} AS remote_positions, {urls(HYBRID)} AS hybrid_positions, {urls(ONSITE)} AS on_site_positions
   FROM classified GROUP BY salary_band""")
 def a9(spark, sf):
-    return gold.salary_benchmark(fact(spark, sf))
+    return gold.salary_benchmark(stored_fact(spark, sf))
 
 
 SUMMARY = f"""SELECT c.company_id,
@@ -322,7 +329,7 @@ COMPANY_CTES = (*sql.FACT_CTES, f"dim_company AS ({DIM_COMPANY})")
 
 
 def hiring_summary(spark, sf):
-    rows = fact(spark, sf)
+    rows = stored_fact(spark, sf)
     return gold.company_hiring_summary(
         dims.dim_company(rows), rows, F.lit(GOLD_DAY).cast("date")
     )
@@ -338,7 +345,7 @@ def a10(spark, sf):
   ON c.company_name = j.company_name AND c.source_platform = j.source_platform
   WHERE j.job_category <> 'Others' GROUP BY ALL""")
 def j4(spark, sf):
-    rows = fact(spark, sf)
+    rows = stored_fact(spark, sf)
     keys = ["company_name", "source_platform"]
     offers = wh.classified(rows).groupBy(*keys).agg(F.count("*").alias("fact_rows"))
     companies = dims.dim_company(rows).select(*keys, "total_job_postings")
@@ -351,7 +358,7 @@ def j4(spark, sf):
 def w1(spark, sf):
     from ..operators.measures import global_rank
 
-    companies = dims.dim_company(fact(spark, sf)).filter(F.col("company_id").isNotNull())
+    companies = dims.dim_company(stored_fact(spark, sf)).filter(F.col("company_id").isNotNull())
     ranked = global_rank(companies, "total_job_postings", "company_id", "company_rank")
     return ranked.select("company_id", "total_job_postings", "company_rank")
 
@@ -364,7 +371,7 @@ def w1(spark, sf):
   {share('remote_jobs', 'total_jobs')} AS pct_remote, {share('hybrid_jobs', 'total_jobs')} AS pct_hybrid,
   education_requirements FROM l""")
 def w2(spark, sf):
-    rows = fact(spark, sf)
+    rows = stored_fact(spark, sf)
     return gold.location_salary_analysis(dims.dim_location(rows), rows)
 
 
@@ -375,7 +382,7 @@ def w2(spark, sf):
   round((avg_salary - round(avg(avg_salary) OVER (), 1)) / round(avg(avg_salary) OVER (), 1) * 100, 2)
     AS salary_vs_market_pct FROM e""")
 def w3_education(spark, sf):
-    return gold.education_distribution(dims.dim_education(fact(spark, sf)))
+    return gold.education_distribution(dims.dim_education(stored_fact(spark, sf)))
 
 
 @query("w3_work_model_analysis", with_(*sql.FACT_CTES, f"w AS ({DIM_WORK_MODEL})") + """SELECT w.*,
@@ -386,7 +393,7 @@ def w3_education(spark, sf):
     WHEN avg_salary < avg(avg_salary) OVER () THEN 'Below Average' ELSE 'At Market' END AS salary_positioning
   FROM w""")
 def w3_models(spark, sf):
-    return gold.work_model_analysis(dims.dim_work_model(fact(spark, sf)))
+    return gold.work_model_analysis(dims.dim_work_model(stored_fact(spark, sf)))
 
 
 @query("j13_pct_of_total", sql.FACT + f"""SELECT salary_band, {share('count(*)', '(SELECT count(*) FROM fact)')} AS pct_of_all
@@ -395,7 +402,7 @@ def j13(spark, sf):
     from ..operators.measures import share as percent
     from ..operators.measures import with_total
 
-    rows = fact(spark, sf)
+    rows = stored_fact(spark, sf)
     groups = rows.groupBy("salary_band").agg(F.count("*").alias("rows"))
     total = rows.agg(F.count("*").alias("total"))
     return with_total(groups, total).select(

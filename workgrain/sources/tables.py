@@ -52,4 +52,4 @@ def materialize(rows: DataFrame, name: str, mode: str = "table", path: str | Non
         rows.write.mode("overwrite").saveAsTable(name)
         return rows.sparkSession.table(name)
     rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
