@@ -181,11 +181,12 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
-def commit(rows: DataFrame, root: str) -> int:
+def commit(rows: DataFrame, root: str, number: int | None = None) -> int:
     """Writes the next version; readers see it once Spark marks it complete, so a
     lost executor or driver leaves the previous version in place."""
-    done = versions(rows.sparkSession, root)
-    number = done[-1] + 1 if done else 0
+    if number is None:
+        done = versions(rows.sparkSession, root)
+        number = done[-1] + 1 if done else 0
     rows.write.mode("overwrite").parquet(f"{root}/v={number}")
     return number
 

@@ -18,4 +18,6 @@ def read_batch(spark: SparkSession, path: str, schema: str, array_files: bool =
 
 
 def export_csv(rows: DataFrame, columns: Sequence[str], path: str) -> None:
-    rows.select(*columns).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    written = rows.select(*columns).write.mode("overwrite").option("escape", "\"")
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    written.options(**keep).csv(path, header=True)
