@@ -81,44 +81,47 @@ def tree(page: str) -> Node:
 _PART = re.compile(r"(?P<kind>[.#]?)(?P<name>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^]?=)['\"]?(?P<value>[^'\"\]]*)['\"]?)?\]")
 
 
-@lru_cache(maxsize=1024)
-def _compiled(selector: str):
-    """Comma parts, each a list of compound tests from the outermost inward."""
-    chains = []
-    for chain in selector.split(","):
-        steps = re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", chain.strip())
-        chains.append([[m.groupdict() for m in _PART.finditer(step)] for step in steps])
-    return chains
-
-
-def _fits(node: Node, tests) -> bool:
-    for t in tests:
-        if t["attr"]:
-            have = node.attrs.get(t["attr"])
-            if have is None:
-                return False
-            want, op = t["value"], t["op"]
-            if (op == "=" and have != want) or (op == "*=" and want not in have) or (
+class _Compound:
+    """Tests one element has to pass: tag, id, classes, attributes."""
+
+    __slots__ = ("tag", "ident", "classes", "attrs")
+
+    def __init__(self, step: str):
+        found = [m.groupdict() for m in _PART.finditer(step)]
+        self.tag = next((t["name"] for t in found if t["name"] and not t["kind"]), None)
+        self.ident = next((t["name"] for t in found if t["kind"] == "#"), None)
+        self.classes = frozenset(t["name"] for t in found if t["kind"] == ".")
+        self.attrs = [(t["attr"], t["op"], t["value"]) for t in found if t["attr"]]
+
+    def fits(self, node: Node) -> bool:
+        if self.tag and node.tag != self.tag:
+            return False
+        if self.classes and not self.classes <= node.classes:
+            return False
+        if self.ident and node.attrs.get("id") != self.ident:
+            return False
+        for name, op, want in self.attrs:
+            have = node.attrs.get(name)
+            if have is None or (op == "=" and have != want) or (op == "*=" and want not in have) or (
                 op == "^=" and not have.startswith(want)
             ):
                 return False
-        elif t["kind"] == ".":
-            if t["name"] not in node.classes:
-                return False
-        elif t["kind"] == "#":
-            if node.attrs.get("id") != t["name"]:
-                return False
-        elif node.tag != t["name"]:
-            return False
-    return True
+        return True
+
+
+@lru_cache(maxsize=1024)
+def _compiled(selector: str) -> list[list[_Compound]]:
+    """Comma parts, each a list of compounds from the outermost inward."""
+    steps = [re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", chain.strip()) for chain in selector.split(",")]
+    return [[_Compound(step) for step in chain] for chain in steps]
 
 
-def _matches(node: Node, chain) -> bool:
-    if not _fits(node, chain[-1]):
+def _matches(node: Node, chain: list[_Compound]) -> bool:
+    if not chain[-1].fits(node):
         return False
     left, above = len(chain) - 2, node.parent
     while left >= 0 and above is not None:
-        if _fits(above, chain[left]):
+        if chain[left].fits(above):
             left -= 1
         above = above.parent
     return left < 0

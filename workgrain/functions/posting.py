@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .experience import experience_months
 from .salary import parse_salary
+from .text import let
 
 VALID_DAYS = 14
 
@@ -41,22 +42,25 @@ def posting_document(
     """JSON posting object; null fields are left out, ``< > &`` are escaped."""
     published = created if posted is None else F.coalesce(posted, created)
     newest = published if last_seen is None else F.coalesce(last_seen, published)
-    pay = parse_salary(salary)
-    months = experience_months(experience)
 
     def given(c: Column) -> Column:
         return F.nullif(c, F.lit(""))
 
-    def amount(field: str) -> Column:
-        return pay[field].try_cast("bigint")
+    def base_salary(pay: Column) -> Column:
+        value = _typed(
+            "QuantitativeValue",
+            pay["value"].try_cast("bigint").alias("value"),
+            pay["min"].try_cast("bigint").alias("minValue"),
+            pay["max"].try_cast("bigint").alias("maxValue"),
+            F.lit("MONTH").alias("unitText"),
+        )
+        amount = _typed("MonetaryAmount", pay["currency"].alias("currency"), value.alias("value"))
+        return F.when(pay.isNotNull(), amount)
+
+    def requirement(months: Column) -> Column:
+        asked = _typed("OccupationalExperienceRequirements", months.alias("monthsOfExperience"))
+        return F.when(months.isNotNull(), asked)
 
-    value = _typed(
-        "QuantitativeValue",
-        amount("value").alias("value"),
-        amount("min").alias("minValue"),
-        amount("max").alias("maxValue"),
-        F.lit("MONTH").alias("unitText"),
-    )
     place = _typed(
         "PostalAddress",
         location.alias("addressLocality"),
@@ -77,14 +81,8 @@ def posting_document(
             "jobLocation"
         ),
         employment_type(title).alias("employmentType"),
-        F.when(
-            months.isNotNull(),
-            _typed("OccupationalExperienceRequirements", months.alias("monthsOfExperience")),
-        ).alias("experienceRequirements"),
-        F.when(
-            pay.isNotNull(),
-            _typed("MonetaryAmount", pay["currency"].alias("currency"), value.alias("value")),
-        ).alias("baseSalary"),
+        let(experience_months(experience), requirement).alias("experienceRequirements"),
+        let(parse_salary(salary), base_salary).alias("baseSalary"),
         F.lit(False).alias("directApply"),
         url.alias("url"),
     )

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # The skill terms, in the order results list them.
 SKILLS = (
     "react", "reactjs", "react native", "angular", "vue", "vuejs", "nextjs", "nuxt",
@@ -26,19 +28,42 @@ SKILLS = (
 ANYWHERE = ("c++", "c#", ".net")
 
 
-def _has_skill(low: Column, skill: str) -> Column:
-    """A plain search first: the regex only runs on texts that hold the term at all."""
-    if skill in ANYWHERE:
-        return low.contains(skill)
-    stem = re.split(r"\.", skill)[0]
-    return low.contains(stem) & low.rlike(f"(?<![A-Za-z0-9_]){skill}(?![A-Za-z0-9_])")
+WORDS = tuple(s for s in SKILLS if s.isalnum())
+PHRASES = tuple(s for s in SKILLS if not s.isalnum() and s not in ANYWHERE)
 
 
 def extract_skills(c: Column) -> Column:
-    """Array of the skills a text names, in list order; empty for null text."""
+    """Array of the skills a text names, in list order; empty for null text.
+
+    One-word skills are looked up in the set of the text's words. Only a text
+    that holds the first word of a phrase is searched for the phrase itself.
+    """
     low = F.lower(F.coalesce(c, F.lit("")))
-    found = F.array(*[F.when(_has_skill(low, skill), F.lit(skill)) for skill in SKILLS])
-    return F.array_except(found, F.array(F.lit(None).cast("string")))
+    heads = {skill: re.match("[a-z0-9]+", skill)[0] for skill in PHRASES}
+
+    def found(named: Column) -> Column:
+        phrases = [
+            F.when(
+                F.array_contains(named, heads[skill]) & low.rlike(f"(?<![A-Za-z0-9_]){skill}(?![A-Za-z0-9_])"),
+                F.lit(skill),
+            )
+            for skill in PHRASES if "." not in skill
+        ]
+        # A dot in a term stands for any character, so its words may run together.
+        dotted = [
+            F.when(
+                low.contains(heads[skill]) & low.rlike(f"(?<![A-Za-z0-9_]){skill}(?![A-Za-z0-9_])"),
+                F.lit(skill),
+            )
+            for skill in PHRASES if "." in skill
+        ]
+        anywhere = [F.when(low.contains(skill), F.lit(skill)) for skill in ANYWHERE]
+        every = F.array(*[F.lit(skill) for skill in SKILLS])
+        return F.array_intersect(every, F.concat(named, F.array(*phrases, *dotted, *anywhere)))
+
+    wanted = F.array(*[F.lit(w) for w in sorted({*WORDS, *heads.values()})])
+    named = F.array_intersect(wanted, F.split(low, "[^a-z0-9_]+"))
+    return let(named, found)
 
 
 def skill_gap(cv_skills: Column, job_skills: Column) -> Column:

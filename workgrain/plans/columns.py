@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, experience, labels, location, posting, salary, text
 from . import sql
-from .fixtures import AS_OF, as_of, jobs_raw, table
+from .fixtures import AS_OF, as_of, documents, jobs_raw, table
+from .fixtures import pages as given_pages
 from .registry import query
 from .sql import CITY_BUCKET, EXPERIENCE_LEVEL, JOBS, SALARY_TYPE, case, q, re_, with_
 
@@ -254,18 +255,25 @@ def f30(spark, sf):
         c("crawled_at"), c("url"),
     ).alias("doc"))
 
-    def field(path: str) -> F.Column:
-        return F.get_json_object("doc", path)
+    schema = (
+        "validThrough string, employmentType string, jobLocation struct<address:struct<addressRegion:string>>, "
+        "hiringOrganization struct<name:string>, experienceRequirements struct<monthsOfExperience:bigint>, "
+        "baseSalary struct<currency:string,value:struct<minValue:bigint,maxValue:bigint>>"
+    )
+    read = rows.select("id", "doc", F.from_json("doc", schema).alias("read"))
 
-    return rows.select(
-        "id", field("$.validThrough").alias("valid_through"),
-        field("$.employmentType").alias("employment_type"),
-        field("$.jobLocation.address.addressRegion").alias("region"),
-        field("$.hiringOrganization.name").alias("company"),
-        field("$.experienceRequirements.monthsOfExperience").cast("bigint").alias("months"),
-        field("$.baseSalary.currency").alias("currency"),
-        field("$.baseSalary.value.minValue").cast("bigint").alias("min_value"),
-        field("$.baseSalary.value.maxValue").cast("bigint").alias("max_value"),
+    def field(path: str) -> F.Column:
+        return F.col(f"read.{path}")
+
+    return read.select(
+        "id", field("validThrough").alias("valid_through"),
+        field("employmentType").alias("employment_type"),
+        field("jobLocation.address.addressRegion").alias("region"),
+        field("hiringOrganization.name").alias("company"),
+        field("experienceRequirements.monthsOfExperience").alias("months"),
+        field("baseSalary.currency").alias("currency"),
+        field("baseSalary.value.minValue").alias("min_value"),
+        field("baseSalary.value.maxValue").alias("max_value"),
         (c("doc").contains("\\u003c") & ~c("doc").contains("<")).alias("escaped"),
     )
 
@@ -303,7 +311,7 @@ def f35(spark, sf):
 @query("f36_http_url", """SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN
   CASE WHEN regexp_matches(url, '^https?://[^/?#]+$') THEN url || '/' ELSE url END END AS safe FROM pages""")
 def f36(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.http_url(c("url")).alias("safe"))
+    return given_pages(spark, sf).select("page_id", text.http_url(c("url")).alias("safe"))
 
 
 TEXT_ONLY = "trim(regexp_replace(replace(regexp_replace({}, '<[^>]*>?', '', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))"
@@ -312,15 +320,15 @@ TEXT_ONLY = "trim(regexp_replace(replace(regexp_replace({}, '<[^>]*>?', '', 'g')
 @query("h14_strip_markup", f"""SELECT 'page' AS kind, page_id AS id, md5({TEXT_ONLY.format('html')}) AS text_md5 FROM pages
   UNION ALL SELECT 'document', doc_id, md5({TEXT_ONLY.format('text')}) FROM documents""")
 def h14(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    from_pages = given_pages(spark, sf).select(
         F.lit("page").alias("kind"), c("page_id").alias("id"), F.md5(text.strip_tags(c("html"))).alias("text_md5")
     )
-    documents = table(spark, sf, "documents").select(
+    from_documents = documents(spark, sf).select(
         F.lit("document").alias("kind"), c("doc_id").alias("id"), F.md5(text.strip_tags(c("text"))).alias("text_md5")
     )
-    return pages.unionByName(documents)
+    return from_pages.unionByName(from_documents)
 
 
 @query("h6_node_text", """SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_md5 FROM documents""")
 def h6(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.squeeze(c("text"))).alias("text_md5"))
+    return documents(spark, sf).select("doc_id", F.md5(text.squeeze(c("text"))).alias("text_md5"))

@@ -123,8 +123,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when their file gives fewer splits than there are cores.
+
+    Text and page work is bound by the processor, and a small file with one row
+    group would keep it on one core. Large inputs have more splits than cores
+    and pass through without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def jobs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     customers = table(spark, sf_dir, "customer")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     return joined.selectExpr(*_items(JOBS_RAW))

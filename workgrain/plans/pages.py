@@ -17,7 +17,8 @@ from ..session import scratch_dir
 from ..sources import batches, seeds, tables
 from ..sources import pages as archive
 from . import sql
-from .fixtures import jobs_raw, staging_itviec, staging_topcv, table
+from .fixtures import jobs_raw, spread, staging_itviec, staging_topcv, table
+from .fixtures import pages as given_pages
 from .registry import query
 from .serving import CLEAN
 from .sql import JOBS, with_
@@ -89,10 +90,10 @@ def absolute() -> str:
 @query("h1_discover_links", f"""SELECT DISTINCT {absolute()} AS url FROM (SELECT
   unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), 'href="([^"]*)"', 1)) AS href FROM pages)""")
 def h1(spark, sf):
-    return pages.discover_links(table(spark, sf, "pages"), "nav a[href]", BASE)
+    return pages.discover_links(given_pages(spark, sf), "nav a[href]", BASE)
 
 
-PLAIN = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+PLAIN = """replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')"""
 
 
 @query("h2_extract_records", f"""SELECT page_id, trim(regexp_replace({PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, '\\s+', ' ', 'g')) AS title,
@@ -100,7 +101,7 @@ PLAIN = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
   md5(trim(regexp_replace({PLAIN.format("regexp_replace(regexp_extract(html, '<article>((?s:.*))</article>', 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))) AS description
   FROM pages""")
 def h2(spark, sf):
-    parsed = pages.parse(table(spark, sf, "pages").select("page_id", "html"), OWN)
+    parsed = pages.parse(given_pages(spark, sf).select("page_id", "html"), OWN)
     return parsed.select(
         "page_id", pages.text("title").alias("title"), pages.text("company").alias("company"),
         F.md5(pages.text("description")).alias("description"),
@@ -144,7 +145,7 @@ def h4(spark, sf):
   regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1), lambda t: trim(t)),
   lambda t: t <> ''), ', ') AS links FROM pages""")
 def h5(spark, sf):
-    parsed = pages.parse(table(spark, sf, "pages").select("page_id", "html"), OWN)
+    parsed = pages.parse(given_pages(spark, sf).select("page_id", "html"), OWN)
     return parsed.select("page_id", pages.joined("links", ", ").alias("links"))
 
 
@@ -190,7 +191,8 @@ def list_pages(jobs: DataFrame) -> DataFrame:
     cards = F.array_sort(F.collect_list(F.struct("order_key", "card")))
     grouped = card.groupBy("page_id").agg(cards.alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
-    return grouped.select("page_id", F.concat(F.lit("<main>"), body, F.lit("</main>")).alias("html"))
+    rendered = grouped.select("page_id", F.concat(F.lit("<main>"), body, F.lit("</main>")).alias("html"))
+    return spread(rendered, "page_id")
 
 
 def opt(col: str) -> str:
@@ -270,7 +272,7 @@ def h12(spark, sf):
 @query("h13_bad_pages", """SELECT page_id % 10 <> 0 AS readable, count(*) AS pages FROM pages GROUP BY 1""")
 def h13(spark, sf):
     """Every tenth page is empty: reported, while the others are read."""
-    rows = table(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 10 != 0, F.col("html")))
+    rows = given_pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 10 != 0, F.col("html")))
     good, bad = pages.split_errors(pages.parse(rows.select("page_id", "html"), OWN))
     parts = good.select(F.lit(True).alias("readable")).unionByName(bad.select(F.lit(False).alias("readable")))
     return parts.groupBy("readable").agg(F.count("*").alias("pages"))
@@ -279,7 +281,7 @@ def h13(spark, sf):
 @query("h15_clean_markup", """SELECT page_id, contains(html, '<article') AS had_article, false AS has_script,
   false AS has_article FROM pages""")
 def h15(spark, sf):
-    rows = pages.sanitize_html(table(spark, sf, "pages").withColumn("clean", F.col("html")), "clean")
+    rows = pages.sanitize_html(given_pages(spark, sf).withColumn("clean", F.col("html")), "clean")
     return rows.select(
         "page_id", F.col("html").contains("<article").alias("had_article"),
         F.col("clean").rlike("<script|<style").alias("has_script"),
@@ -293,7 +295,7 @@ def h15(spark, sf):
 def archived(spark: SparkSession, sf: str) -> str:
     """The given pages packed into an archive of three sources and ten days."""
     root = scratch_dir(spark, "page-archive")
-    rows = table(spark, sf, "pages").selectExpr(
+    rows = given_pages(spark, sf).selectExpr(
         "page_id", "html", "CASE page_id % 3 WHEN 0 THEN 'topcv' WHEN 1 THEN 'itviec' ELSE 'linkedin' END AS source",
         "'job_details' AS kind", "date_add(DATE '2024-01-01', CAST(page_id % 10 AS INT)) AS crawl_date",
     )

@@ -9,7 +9,7 @@ from ..functions import salary, text
 from ..operators import active, companies, dashboard, search
 from ..sources.tables import as_raw_jobs, scan_jobs
 from . import sql
-from .fixtures import AS_OF, as_of, jobs_raw, table
+from .fixtures import AS_OF, as_of, documents, jobs_raw, table
 from .registry import query
 from .sql import CITY_BUCKET, JOBS, any_in, q, with_
 
@@ -234,7 +234,7 @@ def v3_plain(spark, sf):
 def f27(spark, sf):
     from ..functions.skills import extract_skills
 
-    rows = table(spark, sf, "documents")
+    rows = documents(spark, sf)
     return rows.select("doc_id", F.array_join(extract_skills(F.col("text")), ",").alias("skills"))
 
 
@@ -272,7 +272,7 @@ def o5(spark, sf):
 
 @query("v1_encode_documents")
 def v1(spark, sf):
-    rows = table(spark, sf, "documents").withColumn("embedding", F.lit(None).cast("array<float>"))
+    rows = documents(spark, sf).withColumn("embedding", F.lit(None).cast("array<float>"))
     vectors = search.encode(rows, F.col("text")).select("doc_id", "embedding")
     norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     return vectors.select("doc_id", F.size("embedding").alias("size"), F.round(F.sqrt(norm), 4).alias("norm"))

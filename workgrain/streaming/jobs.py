@@ -123,7 +123,7 @@ def deliver_once(root: str, keys: Sequence[str], order: Sequence[str]) -> BatchS
 
 
 def hour_bucket(ts: Column) -> Column:
-    return F.date_trunc("HOUR", ts)
+    return F.date_trunc("HOUR", ts).cast("timestamp_ntz")
 
 
 def quota(stream: DataFrame, key: str, event_time: str, ident: str, limit: int, seconds: int) -> DataFrame:
