@@ -20,7 +20,7 @@ def scan_page_files(spark: SparkSession, root: str) -> DataFrame:
     )
     return files.select(
         last_segment(F.col("path")).alias("page_id"),
-        F.decode("content", F.lit("UTF-8")).alias("html"),
+        F.decode("content", "UTF-8").alias("html"),
         *PARTITIONS,
     )
 
