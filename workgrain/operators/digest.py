@@ -167,8 +167,8 @@ def run_digest(
         lost = failed.select("alert_id", F.lit(True).alias("lost")).distinct()
         matched = matched.join(lost, "alert_id", "left")
         undelivered = F.coalesce("lost", F.lit(False))
-    newest = scanned.agg(F.max("job_at").alias("newest_scanned"), F.count("*").alias("jobs_scanned"))
-    state = matched.join(F.broadcast(newest), F.lit(True)).select(
+    newest_scanned = scanned.agg(F.max("job_at")).scalar()
+    state = matched.withColumn("newest_scanned", newest_scanned).select(
         "alert_id", "email", "name", "last_sent_at", "last_delivered_job_at", "cutoff", "wanted",
         F.transform("found", lambda j: j["job_id"]).alias("job_ids"),
         F.array_max(F.transform("found", lambda j: j["job_at"])).alias("newest_match"),
@@ -197,8 +197,10 @@ def run_digest(
         F.count_if(sent).alias("emails_sent"),
         F.count_if(has_match & F.col("failed")).alias("emails_failed"),
     )
-    processed = due_alerts.agg(F.count("*").alias("alerts_processed"))
-    summary = processed.join(counts, F.lit(True)).join(newest.select("jobs_scanned"), F.lit(True))
+    summary = counts.withColumns({
+        "alerts_processed": due_alerts.agg(F.count("*")).scalar(),
+        "jobs_scanned": scanned.agg(F.count("*")).scalar(),
+    })
     return Digest(outbox, cursors, deliveries, summary)
 
 

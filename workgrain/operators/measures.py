@@ -87,8 +87,8 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def with_total(groups: DataFrame, total: DataFrame) -> DataFrame:
-    """Attaches a one-row total to every group."""
-    return groups.join(F.broadcast(total), F.lit(True))
+    """Attaches a one-row, one-column total to every group, as a scalar subquery."""
+    return groups.withColumn("total", total.scalar())
 
 
 def global_rank(rows: DataFrame, measure: str, ident: str, rank: str) -> DataFrame:

@@ -67,10 +67,14 @@ def knn(
     rows: DataFrame, query: Sequence[float], k: int = PAGE_SIZE, offset: int = 0,
     vector: str = "embedding", ident: str = "id",
 ) -> DataFrame:
-    """Exact nearest rows by cosine distance: a scan and a bounded top-k per task."""
+    """Exact nearest rows by cosine distance: a scan and a bounded top-k per task.
+
+    Rows without a similarity sort last and drop out after the cut; a filter
+    before it would make Spark score every row twice.
+    """
     scored = rows.withColumn("similarity", cosine_similarity(F.col(vector), query))
-    ranked = scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), ident)
-    return ranked.offset(offset).limit(k)
+    ranked = scored.orderBy(F.col("similarity").desc_nulls_last(), ident)
+    return ranked.offset(offset).limit(k).filter(F.col("similarity").isNotNull())
 
 
 def filtered(rows: DataFrame, word: str = "", place: str = "", origin: str = "") -> DataFrame:

@@ -208,17 +208,20 @@ PLAIN_WANT = PLACE_TEST.replace(
 def _wish_counts(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
     """Postings per sample filter, by the plain predicate."""
     samples = [
-        ("word", '{"keyword":"ENGINEER"}'), ("hcm", '{"location":"TP.Hồ Chí Minh"}'),
-        ("other", '{"location":"other"}'), ("text", '{"location":"cần_thơ"}'),
-        *[(c, f'{{"salary":"{c}"}}') for c in rules.SALARY_CHOICES[1:]],
+        ("word", {"keyword": "ENGINEER"}), ("hcm", {"location": "TP.Hồ Chí Minh"}),
+        ("other", {"location": "other"}), ("text", {"location": "cần_thơ"}),
+        *[(c, {"salary": c}) for c in rules.SALARY_CHOICES[1:]],
     ]
+
+    def wanted(values: dict[str, str]) -> F.Column:
+        return F.struct(*[F.lit(values.get(k)).cast("string").alias(k) for k in rules.KEY_CAPS])
     from ..operators.search import labelled
 
     jobs = labelled(jobs_raw(spark, sf))
     job = {c: F.col(c) for c in ("title", "company", "location", "salary", "category", "experience", "level")}
     tests = [
-        F.count_if(rules.matches(job, rules.clean_filters(F.lit(text)))).alias(f"t{i}")
-        for i, (name, text) in enumerate(samples) if names is None or name in names
+        F.count_if(rules.matches(job, wanted(values))).alias(f"t{i}")
+        for i, (name, values) in enumerate(samples) if names is None or name in names
     ]
     items = ", ".join(
         f"'{name}', t{i}" for i, (name, _) in enumerate(samples) if names is None or name in names
