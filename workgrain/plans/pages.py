@@ -17,7 +17,7 @@ from ..session import scratch_dir
 from ..sources import batches, seeds, tables
 from ..sources import pages as archive
 from . import sql
-from .fixtures import jobs_raw, spread, staging_itviec, staging_topcv, table
+from .fixtures import jobs_raw, staging_itviec, staging_topcv, table
 from .fixtures import pages as given_pages
 from .registry import query
 from .serving import CLEAN
@@ -189,10 +189,11 @@ def list_pages(jobs: DataFrame) -> DataFrame:
         html(CARD, **{n: safe(n) for n in names}).alias("card"),
     )
     cards = F.array_sort(F.collect_list(F.struct("order_key", "card")))
-    grouped = card.groupBy("page_id").agg(cards.alias("cards"))
+    # The stated partition count keeps later page parsing on all cores.
+    cores = jobs.sparkSession.sparkContext.defaultParallelism
+    grouped = card.repartition(cores, "page_id").groupBy("page_id").agg(cards.alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
-    rendered = grouped.select("page_id", F.concat(F.lit("<main>"), body, F.lit("</main>")).alias("html"))
-    return spread(rendered, "page_id")
+    return grouped.select("page_id", F.concat(F.lit("<main>"), body, F.lit("</main>")).alias("html"))
 
 
 def opt(col: str) -> str:
