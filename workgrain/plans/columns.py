@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, experience, labels, location, posting, salary, text
 from . import sql
-from .fixtures import AS_OF, as_of, documents, jobs_raw, table
+from .fixtures import AS_OF, documents, jobs_raw, table
 from .fixtures import pages as given_pages
 from .registry import query
 from .sql import CITY_BUCKET, EXPERIENCE_LEVEL, JOBS, SALARY_TYPE, case, q, re_, with_

@@ -11,7 +11,7 @@ from ..sources.tables import as_raw_jobs, scan_jobs
 from . import sql
 from .fixtures import AS_OF, as_of, documents, jobs_raw, table
 from .registry import query
-from .sql import CITY_BUCKET, JOBS, any_in, q, with_
+from .sql import JOBS, any_in, q, with_
 
 CLEAN = with_(sql.JOBS_SQL, sql.CLEAN_SQL)
 HANOI_OR = "(location ILIKE '%hà nội%' OR location ILIKE '%ha noi%')"

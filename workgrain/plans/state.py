@@ -13,7 +13,7 @@ from . import sql
 from .fixtures import AS_OF, alerts, as_of, jobs_audit, jobs_raw, staging_itviec, staging_topcv, table
 from .registry import query
 from .serving import jobs_with_vectors
-from .sql import ALERTS, AUDIT, JOBS, any_in, case, q, with_
+from .sql import ALERTS, AUDIT, JOBS, case, q, with_
 
 # ---- alerts ----
 
