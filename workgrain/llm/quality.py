@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import class_sample
+from .shared import stored
 
 PIECE = 4096
 LEVEL = 3
@@ -104,20 +104,32 @@ def measured(rows: DataFrame, model: QualityModel) -> DataFrame:
     return rows.select("y", "t").mapInArrow(measure, "y int, v array<double>")
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id",
-          per_class: int = 400, calibration: int = 2000, piece_bytes: int = 16384,
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality",
+          key_col: str = "doc_id", per_class: int = 400, calibration: int = 2000, piece_bytes: int = 16384,
           dictionary_bytes: int = 110_000) -> QualityModel:
     """Dictionaries from about ``per_class`` texts of each label, odds from about ``calibration`` other ones.
 
-    Both samples are drawn by a hash of key and text. Of a dictionary text, ``piece_bytes`` spread over the
-    whole text at most are used, so the driver's share is bounded: 2 * per_class * piece_bytes. Rows
-    with a null or other label, or a null or empty text, teach nothing. Without labels of both kinds every
-    score is the share of label 1 (0.5 without labels).
+    Both samples are drawn by a hash of the key from the labels alone, so the joined side is bounded by these
+    parameters and is broadcast: no text is shuffled. Of a dictionary text, ``piece_bytes`` spread over the
+    whole text at most are used, so the driver's share is bounded too: 2 * per_class * piece_bytes. Labels
+    that are null or neither 0 nor 1, and labels of a null or empty text, teach nothing; a key with
+    several labels teaches each. Without texts of both labels every score is the share of label 1 (0.5
+    without labels).
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.length(text_col) > 0)).select(
-        F.xxhash64(F.col(key_col), F.crc32(text_col)).alias("k"), F.col(text_col).alias("t"),
-        F.col(label_col).cast("int").alias("y"))
-    fold = F.pmod(F.xxhash64("k", F.lit("fold")), F.lit(2))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(
+        F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y"))
+    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    total = sum(shares.values())
+    prior = (shares.get(1, 0) + 0.5) / (total + 1)
+    model = QualityModel(offset=float(np.log(prior / (1 - prior))))
+    if len(shares) < 2:
+        return model
+    draw = F.pmod(F.xxhash64("k", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    words = F.when(F.col("y") == 1, min(0.5, per_class / shares[1])).otherwise(min(0.5, per_class / shares[0]))
+    use = F.when(draw < words, "dictionary").when(draw >= 1 - min(0.5, calibration / total), "odds")
+    chosen = known.select("k", "y", use.alias("use")).where("use IS NOT NULL")
+    texts = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).where(F.length("t") > 0)
+    sample = stored(texts.join(F.broadcast(chosen), "k"), "quality-sample")
 
     def cut(batches):
         for batch in batches:
@@ -125,23 +137,17 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
             for t in batch.column("t"):
                 data = t.as_py().encode("utf-8", "surrogatepass")
                 n, most = -(-len(data) // PIECE), piece_bytes // PIECE
-                chosen = range(n) if n <= most else np.linspace(0, n - 1, most).astype(int)
-                out.append(b"".join(data[i * PIECE : (i + 1) * PIECE] for i in chosen))
-            yield pa.record_batch({"k": batch.column("k"), "y": batch.column("y"), "t": pa.array(out, pa.binary())})
-
-    sample = class_sample(rows.where(fold == 0), "y", "k", per_class)
-    got = sample.mapInArrow(cut, "k long, y int, t binary").orderBy("k", "t").toArrow()
-    texts = own_lines(zip(got.column("y").to_pylist(), got.column("t").to_pylist(), strict=True))
-    shares = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    total = sum(shares.values())
-    prior = (shares.get(1, 0) + 0.5) / (total + 1)
-    model = QualityModel(offset=float(np.log(prior / (1 - prior))))
-    if not texts[0] or not texts[1]:
+                spread = range(n) if n <= most else np.linspace(0, n - 1, most).astype(int)
+                out.append(b"".join(data[i * PIECE : (i + 1) * PIECE] for i in spread))
+            yield pa.record_batch({"y": batch.column("y"), "t": pa.array(out, pa.binary())})
+
+    got = sample.where("use = 'dictionary'").select("y", "t").mapInArrow(cut, "y int, t binary").toArrow()
+    pairs = sorted(zip(got.column("y").to_pylist(), got.column("t").to_pylist(), strict=True))
+    lines = own_lines(pairs)
+    if not lines[0] or not lines[1]:
         return model
-    model.good, model.bad = (build_dictionary(texts[y], dictionary_bytes) for y in (1, 0))
-    rest = rows.where(fold == 1)
-    draw = F.pmod(F.xxhash64("k", F.lit("odds")), F.lit(1 << 30)) / float(1 << 30)
-    odds = measured(rest.where(draw < min(1.0, 2 * calibration / max(1, total))), model).toArrow().to_pylist()
+    model.good, model.bad = (build_dictionary(lines[y], dictionary_bytes) for y in (1, 0))
+    odds = measured(sample.where("use = 'odds'"), model).toArrow().to_pylist()
     odds.sort(key=lambda r: (r["y"], r["v"]))
     if len({r["y"] for r in odds}) == 2:
         model.weights, model.offset = calibrate(

@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.where(~held_out).join(labels, "doc_id"))
+    model = quality.train(docs, labels.where(~held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
