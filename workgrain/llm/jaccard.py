@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, stored
@@ -276,7 +276,7 @@ def _unsettled(tiles: DataFrame, settled: DataFrame, sets: DataFrame, num: int,
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                        num: int = 85, den: int = 100) -> DataFrame:
-    """Per row: doc_id, text_hash (xxhash64 of the text), n_shingles, component_id.
+    """Per row: doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, representative (one text a component).
 
     Documents link when den * intersection >= num * union of their sets of ``words``-word runs; component_id is
     the smallest doc_id reachable by links, itself included. A null or empty text, or one without words, has
@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     features = stored(_features(rows, words, num, den), "jaccard-sets")
     nodes = stored(
         features.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "jaccard-nodes")
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")), "jaccard-nodes")
     tiles = stored(_tiles(features), "jaccard-tiles")
     sets = stored(_sets(rows, nodes, tiles, words), "jaccard-members")
     hubs = tiles.groupBy("key").agg(F.min("node").alias("hub"))
@@ -306,11 +306,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links)
     labels = (
         nodes.join(found, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("component"), "smallest"))
-    smallest = labels.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = labels.join(smallest, "component").select("node", "component_id")
+        .select("node", F.coalesce("component", "node").alias("component"), "first"))
+    leaders = labels.groupBy("component").agg(F.min("first").alias("leader"))
+    named = labels.join(leaders, "component").select("node", "leader")
+    alone = F.col("n_shingles") == 0
     plain = features.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node")
     return (
         plain.join(named, "node", "left")
         .select("doc_id", "text_hash", "n_shingles",
-                F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                F.when(alone, F.col("doc_id")).otherwise(F.col("leader.doc_id")).alias("component_id"),
+                (alone | (F.col("doc_id").eqNullSafe(F.col("leader.doc_id"))
+                          & (F.col("text_hash") == F.col("leader.text_hash")))).alias("representative")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
+
+    Rows without any word stay; a row that repeats exactly (id and text) stays once.
+    """
+    kept = jaccard_components(docs, id_col, text_col, **how).where("representative")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
+    same = hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__text"])
+    order = Window.partitionBy(id_col, "__hash").orderBy(F.lit(0))
+    return (
+        hashed.join(kept, same, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+        .select(*(F.col(f"`{c}`") for c in docs.columns)))
