@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import jaccard, language, packing, quality, urls
+from . import jaccard, language, licenses, packing, quality, urls
 from .shared import id_remainder
 
 
@@ -29,6 +29,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op3_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
