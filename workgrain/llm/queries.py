@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import jaccard, language, licenses, packing, quality, urls
+from . import codes, jaccard, language, licenses, packing, quality, topk, urls
 from .shared import id_remainder
 
 
@@ -48,6 +48,16 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_exact_top_k", topk.ORACLE)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+@query("op9_embedding_near_dedup", codes.ORACLE)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 @query("op10_url_filter", urls.oracle())
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
