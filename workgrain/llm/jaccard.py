@@ -29,6 +29,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 GROWTH = 1.5
 BLOCK = 2048
 MOST_SEEDS = 64
+LIKELIEST_ROUNDS = 1
 BATCH_KEYS = 1 << 18
 
 
@@ -142,19 +143,19 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def may_link(n_a, bits_a: np.ndarray, n_b, bits_b: np.ndarray, num: int, den: int):
-    """Whether bit counts leave room for a link: members whose bit the other lacks are not shared."""
+def most_shared(n_a, bits_a: np.ndarray, n_b, bits_b: np.ndarray):
+    """Upper bound of the intersection: members whose bit the other set lacks are not shared."""
     only_a = np.bitwise_count(bits_a & ~bits_b).sum(axis=-1).astype(np.int64)
     only_b = np.bitwise_count(bits_b & ~bits_a).sum(axis=-1).astype(np.int64)
-    most = np.minimum(n_a - only_a, n_b - only_b)
-    return den * most >= num * (n_a + n_b - most)
+    return np.minimum(n_a - only_a, n_b - only_b)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Bitmap bound first, then the exact intersection of two sorted arrays."""
     bits_a, bits_b = bitmap(a), bitmap(b)
     words = min(len(bits_a), len(bits_b))
-    if not may_link(len(a), folded(bits_a, words), len(b), folded(bits_b, words), num, den):
+    most = int(most_shared(len(a), folded(bits_a, words), len(b), folded(bits_b, words)))
+    if den * most < num * (len(a) + len(b) - most):
         return False
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
@@ -230,26 +231,59 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(test("members_a", "members_b")).select("a", "b")
 
 
-def _unsettled(tiles: DataFrame, settled: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a tile from different components that the bitmap bound lets through, by blocks of the tile."""
+def _likeliest(size: int, component: np.ndarray, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Pairs, likeliest first, that join what is still apart: at most one fewer than there are rows."""
+    up = list(range(size))
+    first: dict[int, int] = {}
+    for row, c in enumerate(component.tolist()):  # rows of a component are one from the start
+        up[row] = first.setdefault(c, row)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    chosen = []
+    order = np.argsort(-likeness, kind="stable")
+    for at, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            up[y] = x
+            chosen.append(at)
+    return np.array(chosen, dtype=np.int64)
+
+
+def _unsettled(tiles: DataFrame, settled: DataFrame | None, sets: DataFrame, num: int, den: int, every_pair: bool) -> DataFrame:
+    """Pairs of a tile from different components that the bitmap bound lets through, by blocks of the tile.
+
+    Either every such pair, or of each block those that would join its components if they link.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         node, comp = (table.column(c).to_numpy() for c in ("node", "component"))
         block = table.column("block").to_numpy()
         one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sets_ = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("bits")]
+        maps = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("bits")]
         n = table.column("n").to_numpy()
-        words = min(map(len, sets_))
-        bits = np.stack([folded(b, words) for b in sets_])
-        a, b = [], []
+        words = min(map(len, maps))
+        bits = np.stack([folded(b, words) for b in maps])
+        a, b, likeness = [], [], []
         for x in np.flatnonzero(block == one):
             other = np.flatnonzero((block == two) & (comp != comp[x]) & ((node > node[x]) | (one != two)))
             if len(other):
-                other = other[may_link(n[x], bits[x], n[other], bits[other], num, den)]
-                a.append(np.minimum(node[x], node[other]))
-                b.append(np.maximum(node[x], node[other]))
+                most = most_shared(n[x], bits[x], n[other], bits[other])
+                near = den * most >= num * (n[x] + n[other] - most)
+                other, most = other[near], most[near]
+                a.append(np.full(len(other), x))
+                b.append(other)
+                likeness.append(most / (n[x] + n[other] - most))
         none = [np.zeros(0, dtype=np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        a, b = np.concatenate(a or none), np.concatenate(b or none)
+        if not every_pair and len(a):
+            chosen = _likeliest(len(node), comp, a, b, np.concatenate(likeness))
+            a, b = a[chosen], b[chosen]
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     def outline(batches):
         for batch in batches:
@@ -258,7 +292,9 @@ def _unsettled(tiles: DataFrame, settled: DataFrame, sets: DataFrame, num: int,
                 "node": batch.column("node"), "n": pa.array([len(m) for m in members], pa.int64()),
                 "bits": pa.array([bitmap(m).tobytes() for m in members], pa.binary())})
 
-    known = tiles.join(settled, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    component = F.col("node") if settled is None else F.coalesce("component", "node")
+    known = (tiles if settled is None else tiles.join(settled, "node", "left")).select(
+        "key", "node", component.alias("component"))
     open_tiles = known.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high")
     rows = known.join(open_tiles.select("key", "c"), "key")
@@ -284,8 +320,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (a component without any id has null). A repeated row gets its result once for each time it occurs.
 
     Sets are compared by 64-bit hashes of their members. No tile is capped: tiles with many documents are split
-    into blocks. Two rounds of comparison: every document with the first of its tiles, then, in tiles that
-    still hold several components, all pairs from different components that pass the bitmap bound.
+    into blocks. First come LIKELIEST_ROUNDS rounds that try, in each block, only pairs that would join its
+    components, likeliest first; then, in tiles that still hold several components, every pair from different
+    components that passes the bitmap bound is compared. So large groups of near copies are joined by about
+    as many comparisons as they have members, and no link between components is missed.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
@@ -295,17 +333,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")), "jaccard-nodes")
     tiles = stored(_tiles(features), "jaccard-tiles")
     sets = stored(_sets(rows, nodes, tiles, words), "jaccard-members")
-    hubs = tiles.groupBy("key").agg(F.min("node").alias("hub"))
-    first = stored(
-        tiles.join(hubs, "key").where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
-        .select("a", "b"), "jaccard-pairs")
-    links = stored(_checked(first, sets, num, den), "jaccard-links")
-    settled = components(links)
-    more = _unsettled(tiles, settled, sets, num, den).join(first, ["a", "b"], "left_anti")
-    links = links.union(stored(_checked(more, sets, num, den), "jaccard-links"))
-    found = components(links)
+    links, tried, settled = None, None, None
+    for every_pair in (False,) * LIKELIEST_ROUNDS + (True,):
+        pairs = _unsettled(tiles, settled, sets, num, den, every_pair)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        new = stored(_checked(pairs, sets, num, den), "jaccard-links")
+        links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
+        settled = components(links)
     labels = (
-        nodes.join(found, "node", "left")
+        nodes.join(settled, "node", "left")
         .select("node", F.coalesce("component", "node").alias("component"), "first"))
     leaders = labels.groupBy("component").agg(F.min("first").alias("leader"))
     named = labels.join(leaders, "component").select("node", "leader")
