@@ -10,11 +10,10 @@ is what words with a common prefix share.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +26,7 @@ MARK = "▁"
 CHARACTERS_AT_ONCE = 1 << 21
 WORDS_KEPT = 300_000
 LONGEST_KEPT = 48
+NEVER = float("-inf")
 
 
 class Pieces:
@@ -46,6 +46,7 @@ class Pieces:
         for byte, i in self.byte_id.items():
             self.raw[i] = bytes([byte])
         self.apart: dict[tuple[int, int], bool] = {}
+        self.traces: dict[int, tuple[list[float], list[str], list[str], bool]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self._build_suffixes()
 
@@ -68,40 +69,49 @@ class Pieces:
             own = ((len(p), self.id_of[p]),) if p in self.id_of else ()
             self.ends[me] = own + self.ends[self.fail[me]]
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces by the merge rules themselves: best score first, then leftmost."""
-        parts: list[str | None] = list(text)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(left: int) -> None:
-            right = after[left] if left >= 0 else len(parts)
-            if left >= 0 and right < len(parts):
-                both = parts[left] + parts[right]
-                if both in self.id_of:
-                    heapq.heappush(heap, (-self.score[self.id_of[both]], left, both))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while heap:
-            _, left, both = heapq.heappop(heap)
-            right = after[left]
-            if parts[left] is None or right >= len(parts) or parts[left] + parts[right] != both:
-                continue
-            parts[left], parts[right] = both, None
-            after[left] = after[right]
-            if after[left] < len(parts):
-                before[after[left]] = left
-            offer(before[left])
-            offer(left)
-        return [p for p in parts if p is not None]
+    def trace(self, piece: int) -> tuple[list[float], list[str], list[str], bool]:
+        """Merges of a piece's own text, best score first, then leftmost: their scores, the leftmost and the
+        rightmost part before the first merge and after each, and whether they end in the piece itself."""
+        if piece in self.traces:
+            return self.traces[piece]
+        parts = list(self.text_of[piece])
+        scores, firsts, lasts = [], [parts[0]], [parts[-1]]
+        while len(parts) > 1:
+            joint = [self.score[i] if (i := self.id_of.get(a + b)) is not None else NEVER for a, b in pairwise(parts)]
+            best = max(joint)
+            if best == NEVER:
+                break
+            at = joint.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            scores.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        self.traces[piece] = scores + [NEVER], firsts, lasts, len(parts) == 1
+        return self.traces[piece]
 
     def left_apart(self, one: int, two: int) -> bool:
-        """Whether the merge rules give exactly these two pieces for their joined text; one < 0: the second alone."""
-        b = self.text_of[two]
-        found = self.merged((self.text_of[one] if one >= 0 else "") + b) == ([self.text_of[one], b] if one >= 0 else [b])
-        self.apart[one, two] = found
-        return found
+        """Whether the merge rules give exactly these two pieces for their joined text; one < 0: the second alone.
+
+        Merges inside the two run in their own order; the better next one goes first. The two are not left
+        apart if, on the way, the parts that touch make a piece that is better than both next merges.
+        """
+        scores2, firsts, _, whole = self.trace(two)
+        if one >= 0:
+            scores1, _, lasts, whole1 = self.trace(one)
+            whole &= whole1
+            i = j = 0
+            while whole:
+                across = self.id_of.get(lasts[i] + firsts[j])
+                if across is not None and self.score[across] > scores1[i] and self.score[across] >= scores2[j]:
+                    whole = False
+                elif scores1[i] == scores2[j] == NEVER:
+                    break
+                elif scores1[i] >= scores2[j]:
+                    i += 1
+                else:
+                    j += 1
+        self.apart[one, two] = whole
+        return whole
 
     def encode_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Ids of words in sorted order: a depth-first walk of their trie that keeps the states of the current path."""

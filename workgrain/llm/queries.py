@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import codes, jaccard, language, licenses, packing, quality, topk, urls
+from ..session import scratch_dir
+from . import codes, counts, jaccard, language, licenses, packing, pieces, quality, topk, urls
 from .shared import id_remainder
 
 
@@ -34,6 +38,37 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents, take down the toxic ones, revise the bad ones, and send the first batch again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
+    rollup = counts.TokenRollup(spark, scratch_dir(spark, "token-rollup"))
+    inserts = docs.select("*", F.lit("upsert").alias("op"), F.lit(0).alias("seq"))
+    rollup.apply(1, inserts)
+    named = docs.join(labels, "doc_id")
+    deletes = named.where("toxic = 1").select(*docs.columns, F.lit("delete").alias("op"), F.lit(1).alias("seq"))
+    cleaned = named.where("quality = 0").withColumn("text", F.regexp_replace("text", r"[|$%&#*!]+", ""))
+    rollup.apply(2, deletes)
+    rollup.apply(3, cleaned.where("toxic = 0").select(*docs.columns, F.lit("upsert").alias("op"), F.lit(2).alias("seq")))
+    rollup.apply(1, inserts)
+    return rollup.totals()
+
+
+@query("op5_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and whether their text is the document's again."""
+
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(i.values.to_numpy().astype("<u4").tobytes()) if i.is_valid else None for i in ids], pa.int64())
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode_documents(pieces.encode_documents(docs))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
