@@ -102,7 +102,7 @@ class TokenRollup:
         each = signed.select("sign", "source", "lang", F.explode(F.arrays_zip(names.alias("tokenizer"), F.col("counts").alias("n"))).alias("c"))
         each.groupBy("source", "lang", F.col("c.tokenizer").alias("tokenizer")).agg(
             F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("c.n")).alias("n_tokens"),
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/deltas/batch_id={batch}")
+        ).write.mode("overwrite").parquet(f"{self.root}/deltas/batch_id={batch}")
         self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("overwrite").parquet(
             f"{self.root}/commits/batch_id={batch}")
         return True

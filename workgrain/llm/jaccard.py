@@ -325,6 +325,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     components that passes the bitmap bound is compared. So large groups of near copies are joined by about
     as many comparisons as they have members, and no link between components is missed.
     """
+    if 2 * num < den:
+        raise ValueError("tiles are selective for a similarity of one half or more only")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
     features = stored(_features(rows, words, num, den), "jaccard-sets")
