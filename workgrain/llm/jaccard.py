@@ -197,7 +197,7 @@ def _tiles(features: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, tiles: DataFrame, words: int) -> DataFrame:
-    """Members of every node that is in a tile, from the text of one of its documents."""
+    """Members and bitmap of every node that is in a tile, from the text of one of its documents."""
 
     def build(batches):
         for batch in batches:
@@ -208,13 +208,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, tiles: DataFrame, words: int) -> Da
                 cut = right[i : i + 512]
                 yield pa.record_batch({
                     "node": pa.array([node[j] for j in cut], pa.int64()),
+                    "n": pa.array([len(members[j]) for j in cut], pa.int64()),
+                    "bits": pa.array([bitmap(members[j]).tobytes() for j in cut], pa.binary()),
                     "members": pa.array([members[j].tobytes() for j in cut], pa.binary())})
 
     wanted = nodes.join(tiles.select("node").distinct(), "node").select(
         "node", F.col("first.text_hash").alias("text_hash"), F.col("first.doc_id").alias("wanted_id"))
     return (
         docs.join(wanted, (docs["text_hash"] == wanted["text_hash"]) & docs["doc_id"].eqNullSafe(wanted["wanted_id"]))
-        .select("node", "text").dropDuplicates(["node"]).mapInArrow(build, "node long, members binary"))
+        .select("node", "text").dropDuplicates(["node"]).mapInArrow(build, "node long, n long, bits binary, members binary"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -257,7 +259,8 @@ def _likeliest(size: int, component: np.ndarray, a: np.ndarray, b: np.ndarray, l
 def _unsettled(tiles: DataFrame, settled: DataFrame | None, sets: DataFrame, num: int, den: int, every_pair: bool) -> DataFrame:
     """Pairs of a tile from different components that the bitmap bound lets through, by blocks of the tile.
 
-    Either every such pair, or of each block those that would join its components if they link.
+    Columns key, a, b: either every such pair, or of each block those that would join its components if they
+    link, and then a row without a pair for each block that has further ones.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -280,17 +283,16 @@ def _unsettled(tiles: DataFrame, settled: DataFrame | None, sets: DataFrame, num
                 likeness.append(most / (n[x] + n[other] - most))
         none = [np.zeros(0, dtype=np.int64)]
         a, b = np.concatenate(a or none), np.concatenate(b or none)
+        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        none = np.zeros(len(a), dtype=bool)
         if not every_pair and len(a):
             chosen = _likeliest(len(node), comp, a, b, np.concatenate(likeness))
-            a, b = a[chosen], b[chosen]
-        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
-
-    def outline(batches):
-        for batch in batches:
-            members = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
-            yield pa.record_batch({
-                "node": batch.column("node"), "n": pa.array([len(m) for m in members], pa.int64()),
-                "bits": pa.array([bitmap(m).tobytes() for m in members], pa.binary())})
+            if len(chosen) < len(a):  # a row without a pair: this tile has more to try
+                low, high, none = np.append(low[chosen], 0), np.append(high[chosen], 0), np.arange(len(chosen) + 1) == len(chosen)
+            else:
+                low, high = low[chosen], high[chosen]
+        key = np.full(len(low), table.column("key")[0].as_py(), dtype=np.int64)
+        return pa.table({"key": key, "a": pa.array(low, mask=none), "b": pa.array(high, mask=none)})
 
     component = F.col("node") if settled is None else F.coalesce("component", "node")
     known = (tiles if settled is None else tiles.join(settled, "node", "left")).select(
@@ -298,16 +300,14 @@ def _unsettled(tiles: DataFrame, settled: DataFrame | None, sets: DataFrame, num
     open_tiles = known.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high")
     rows = known.join(open_tiles.select("key", "c"), "key")
-    marks = sets.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(
-        outline, "node long, n long, bits binary")
     blocks = F.ceil(F.col("c") / BLOCK).cast("long")
     dealt = (
-        rows.join(marks, "node")
+        rows.join(sets.select("node", "n", "bits"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
                 "block", "node", "component", "n", "bits"))
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "key long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
@@ -337,8 +337,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = stored(_sets(rows, nodes, tiles, words), "jaccard-members")
     links, tried, settled = None, None, None
     for every_pair in (False,) * LIKELIEST_ROUNDS + (True,):
-        pairs = _unsettled(tiles, settled, sets, num, den, every_pair)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        found = stored(_unsettled(tiles, settled, sets, num, den, every_pair), "jaccard-pairs")
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        tiles = tiles.join(found.where("a IS NULL").select("key").distinct(), "key", "left_semi")
         new = stored(_checked(pairs, sets, num, den), "jaccard-links")
         links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
         settled = components(links)
