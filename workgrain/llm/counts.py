@@ -75,8 +75,8 @@ class TokenRollup:
         """Apply (doc_id, op, seq, text, source, lang) rows; False if the batch was committed before.
 
         op 'upsert' inserts a document or revises its text, source or language; 'delete' removes it. Of several
-        changes of a document in a batch the one with the largest seq counts (ties and null seq: a delete
-        first). Deleting an unknown document changes nothing. A null source or language is a group of its own.
+        changes of a document in a batch the one with the largest seq counts (null: the smallest; of equal ones a delete
+        counts). Deleting an unknown document changes nothing. A null source or language is a group of its own.
         Every upsert without a doc_id is a document that can never be revised; a delete without one and a row
         with another op or none change nothing. Further columns are ignored.
         """
