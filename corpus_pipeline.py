@@ -16,20 +16,23 @@ NEAR_COPY = {"words": 5, "num": 80, "den": 100}
 ORACLE_SQL = None
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no column's name can clash with a stage's own."""
+    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; without letters or with a score below the least they go."""
     model = language.train(docs.where(F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False))))
-    told = language.identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), model)
-    kept = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.drop("lang_pred", "score").toDF(*docs.columns)
+    told = language.identify(whole_rows(docs), model)
+    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.train(docs, labels.where(F.coalesce(id_remainder("doc_id", 5) != 0, F.lit(False))))
-    scored = quality.score(docs.withColumnsRenamed({c: f"__{c}" for c in ("score", "predicted") if c in docs.columns}), model)
-    return scored.where("predicted = 1").drop("score", "predicted").toDF(*docs.columns)
+    return quality.score(whole_rows(docs), model).where("predicted = 1").select("row.*")
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
