@@ -79,14 +79,21 @@ def describe_filters(f: Column) -> Column:
     return F.coalesce(F.nullif(parts, F.lit("")), F.lit(NO_FILTER_TEXT))
 
 
+def known_zone(zone: Column) -> Column:
+    """Whether Spark knows a time zone by this name."""
+    moment = F.concat(F.lit("2000-01-01 00:00:00 "), zone)
+    return F.coalesce(F.try_to_timestamp(moment, F.lit("yyyy-MM-dd HH:mm:ss VV")).isNotNull(), F.lit(False))
+
+
 def local_hour(as_of: Column, zone: Column) -> Column:
-    """Hour in the alert's zone; ``as_of`` is a zone-less UTC timestamp."""
-    return F.hour(F.convert_timezone(F.lit("UTC"), zone, as_of))
+    """Hour in the alert's zone, null for an unknown zone; ``as_of`` is a zone-less UTC timestamp."""
+    return F.when(known_zone(zone), F.hour(F.convert_timezone(F.lit("UTC"), zone, as_of)))
 
 
 def is_due(zone: Column, last_sent: Column, as_of: Column) -> Column:
     guard = as_of - F.expr(f"INTERVAL {RESEND_GUARD_HOURS} HOURS")
-    return (local_hour(as_of, zone) == SEND_HOUR) & (last_sent.isNull() | (last_sent <= guard))
+    here = F.coalesce(local_hour(as_of, zone) == SEND_HOUR, F.lit(False))
+    return here & (last_sent.isNull() | (last_sent <= guard))
 
 
 def past_cooldown(last_sent: Column, created: Column, as_of: Column) -> Column:

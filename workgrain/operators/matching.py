@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many patterns the table is joined instead of unrolled.
-UNROLL_LIMIT = 200
-
 
 def pattern_values(text: str, patterns: Sequence[tuple[str, str]]) -> Column:
     """Array of the values whose pattern is found in a column, in pattern order.
@@ -17,10 +14,8 @@ def pattern_values(text: str, patterns: Sequence[tuple[str, str]]) -> Column:
     The patterns are literals, so each compiles once per task and the match is
     a projection: no join, no shuffle, and rows keep their partition.
     """
-    if len(patterns) > UNROLL_LIMIT:
-        raise ValueError(f"{len(patterns)} patterns; use join_patterns")
-    hits = [f"CASE WHEN `{text}` RLIKE r'{pattern}' THEN '{value}' END" for pattern, value in patterns]
-    return F.expr(f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)")
+    hits = [F.when(F.rlike(F.col(f"`{text}`"), F.lit(pattern)), F.lit(value)) for pattern, value in patterns]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def explode_patterns(

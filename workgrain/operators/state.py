@@ -24,14 +24,40 @@ def dedup(batch: DataFrame, key: str, order: Sequence[str | Column]) -> DataFram
     return keyed.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
 
 
+def one_per_key(
+    batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True,
+    first_of: Sequence[str] = (),
+) -> DataFrame:
+    """One row per key: the last (or first) one by ``order``, by default in the order of the input.
+
+    Columns in ``first_of`` take the key's first value that is not null. Rows with a null key stay as they
+    are: no other row has their key. Rows of a key are reduced per task before the shuffle.
+    """
+    keys, columns = list(keys), batch.columns
+    sort_by = [F.col(c) for c in order] if order else [F.monotonically_increasing_id()]
+    placed = batch.withColumn("_order", F.struct(*[o.alias(f"_{i}") for i, o in enumerate(sort_by)]))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    pick = F.max_by if last else F.min_by
+    kept = [
+        F.min_by(F.when(F.col(c).isNotNull(), F.struct(c)), F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
+        for c in first_of
+    ]
+    single = placed.filter(keyed).groupBy(*keys).agg(pick(F.struct(*columns), "_order").alias("_row"), *kept)
+    rows = single.select(*[F.col(c)[c].alias(c) if c in first_of else F.col("_row")[c].alias(c) for c in columns])
+    return rows.unionByName(batch.filter(~keyed))
+
+
 def merge(
     target: DataFrame, batch: DataFrame, keys: Sequence[str],
     on_match: dict[str, Callable[[Column, Column], Column]],
+    order: Sequence[str] | None = None, first_of: Sequence[str] = (),
 ) -> DataFrame:
     """Target after the batch: matched rows change by ``on_match`` (old, new), the
-    rest stays, unmatched batch rows are added. The batch has one row per key;
-    columns it lacks start as null."""
+    rest stays, unmatched batch rows are added; columns the batch lacks start as
+    null. A key that the batch repeats counts as by ``one_per_key``: the last row
+    by ``order`` wins, except for the first values of ``first_of``."""
     keys = list(keys)
+    batch = one_per_key(batch, keys, order, first_of=first_of)
     absent = [c for c in target.columns if c not in batch.columns]
     batch = batch.withColumns({c: F.lit(None).cast(target.schema[c].dataType) for c in absent})
     batch = batch.select(*target.columns)
@@ -58,25 +84,32 @@ def _take_new(old: Column, new: Column) -> Column:
     return new
 
 
-def upsert_jobs(target: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_jobs(target: DataFrame, batch: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Canonical upsert by id: texts are overwritten, the first crawl time stays,
-    and the vector is dropped when a field it was made from has changed."""
+    and the vector is dropped when a field it was made from has changed. Of a
+    repeated id the last row by ``order`` wins."""
     fields = F.struct(*[F.col(c) for c in SEMANTIC_FIELDS])
     fresh = F.struct(*[F.col("_new")[c].alias(c) for c in SEMANTIC_FIELDS])
     rules = {c: _take_new for c in POSTING_TEXT}
     rules["crawled_at"] = F.coalesce
     rules["embedding"] = lambda old, new: F.when(fields.eqNullSafe(fresh), old)
-    return merge(target, batch, ["id"], rules)
+    first_of = [c for c in ("crawled_at",) if c in batch.columns]
+    return merge(target, batch, ["id"], rules, order, first_of)
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def upsert(
+    target: DataFrame, batch: DataFrame, key: str, columns: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
     """Insert or overwrite the named columns by key; all other columns are kept."""
-    return merge(target, batch, [key], {c: _take_new for c in columns})
+    return merge(target, batch, [key], {c: _take_new for c in columns}, order)
 
 
-def insert_new(target: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Existing keys stay untouched; also returns the rows that were new."""
-    inserted = absent_rows(target, batch, [key])
+def insert_new(
+    target: DataFrame, batch: DataFrame, key: str, order: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Existing keys stay untouched, of a repeated new key the first row counts;
+    also returns the rows that were new."""
+    inserted = absent_rows(target, one_per_key(batch, [key], order, last=False), [key])
     return target.unionByName(inserted, allowMissingColumns=True), inserted
 
 
@@ -158,11 +191,11 @@ def dedup_cleaned_urls(rows: DataFrame) -> DataFrame:
     return dedup(cleaned, "url", ["id"])
 
 
-def ledger_upsert(target: DataFrame, rows: DataFrame) -> DataFrame:
+def ledger_upsert(target: DataFrame, rows: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Run-ledger merge: a known key refreshes some columns, error texts are cut."""
     cuts = {c: F.substring(c, 1, n) for c, n in LEDGER_CAPS.items() if c in rows.columns}
     refreshed = [c for c in LEDGER_REFRESHED if c in target.columns]
-    return merge(target, rows.withColumns(cuts), LEDGER_KEY, {c: _take_new for c in refreshed})
+    return merge(target, rows.withColumns(cuts), LEDGER_KEY, {c: _take_new for c in refreshed}, order)
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:

@@ -281,6 +281,31 @@ def u1(spark, sf):
     return rows.select("id", "title", "salary", "crawled_at", F.col("embedding").isNotNull().alias("has_vector"))
 
 
+@query("u1_repeated_ids", with_(sql.JOBS_SQL, """batch AS (SELECT id, title, crawled_at, 0 AS seq FROM jobs_raw WHERE order_key % 5 < 3
+  UNION ALL SELECT id, 'again ' || id, crawled_at + INTERVAL 1 DAY, 1 FROM jobs_raw WHERE order_key % 5 = 0
+  UNION ALL SELECT id, 'third ' || id, crawled_at - INTERVAL 1 DAY, 2 FROM jobs_raw WHERE order_key % 10 = 0)""",
+  "last AS (SELECT id, max_by(title, seq) AS title, min_by(crawled_at, seq) AS crawled_at FROM batch GROUP BY id)",
+  "target AS (SELECT id, title, crawled_at FROM jobs_raw WHERE order_key % 7 <> 0)") + """SELECT id,
+  CASE WHEN b.id IS NULL THEN t.title ELSE b.title END AS title, coalesce(t.crawled_at, b.crawled_at) AS crawled_at
+  FROM target t FULL JOIN last b USING (id)""")
+def u1_repeated(spark, sf):
+    """A batch that names an id up to three times: the last text wins, the first crawl time stays."""
+    jobs = jobs_raw(spark, sf)
+    columns = [*POSTING_TEXT, "crawled_at"]
+    target = jobs_with_vectors(spark, sf).filter("order_key % 7 <> 0").select(*columns, "embedding")
+
+    def copy(rows: DataFrame, word: str, days: int, seq: int) -> DataFrame:
+        return rows.withColumns({
+            "title": F.concat(F.lit(f"{word} "), "id"), "crawled_at": F.col("crawled_at") + F.expr(f"INTERVAL {days} DAY"),
+            "seq": F.lit(seq),
+        }).select(*columns, "seq")
+
+    first = jobs.filter("order_key % 5 < 3").select(*columns, F.lit(0).alias("seq"))
+    batch = first.unionByName(copy(jobs.filter("order_key % 5 = 0"), "again", 1, 1))
+    batch = batch.unionByName(copy(jobs.filter("order_key % 10 = 0"), "third", -1, 2))
+    return state.upsert_jobs(target, batch, ["seq"]).select("id", "title", "crawled_at")
+
+
 @query("u1_upsert_rerun", with_(sql.JOBS_SQL, TARGET, BATCH) + """SELECT (SELECT count(*) FROM target FULL JOIN batch USING (id)) AS jobs,
   (SELECT count(DISTINCT coalesce(t.id, b.id)) FROM target t FULL JOIN batch b ON t.id = b.id) AS ids,
   CAST(0 AS BIGINT) AS changed""")

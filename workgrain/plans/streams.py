@@ -19,14 +19,17 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return streams.read_files(spark, sf, LAYOUTS[name], f"{name}.parquet")
 
 
-def posting_stream(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customers = stream_of(spark, sf, "orders"), table(spark, sf, "customer")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).selectExpr(*_items(JOBS_RAW))
+def shuffled_stream(spark: SparkSession, sf: str, name: str, files: int = 4) -> DataFrame:
+    """The table as several files whose rows are in no time order, one file to a micro-batch."""
+    path = scratch_dir(spark, f"{name}-files")
+    rows = table(spark, sf, name)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
+    return streams.read_files(spark, path, rows.schema, "part-*", per_trigger=1)
 
 
-def zoned(rows: DataFrame, column: str) -> DataFrame:
-    """Event time as an instant, which watermarks need."""
-    return rows.withColumn(column, F.col(column).cast("timestamp"))
+def posting_stream(spark: SparkSession, sf: str) -> DataFrame:
+    orders, customers = shuffled_stream(spark, sf, "orders"), table(spark, sf, "customer")
+    return orders.join(customers, orders.o_custkey == customers.c_custkey).selectExpr(*_items(JOBS_RAW))
 
 
 @query("t1_incremental_ingest", with_(sql.JOBS_SQL, *sql.BRONZE_SQL)
@@ -41,26 +44,24 @@ def t1(spark, sf):
     return current(spark, f"{root}/table").select("id", "url", "title", "salary", "created_at")
 
 
-@query("t2_first_seen_dedup", "SELECT DISTINCT 'https://jobs.example/' || l_orderkey AS url FROM lineitem")
+@query("t2_first_seen_dedup", """SELECT 'https://jobs.example/' || l_orderkey AS url, min(l_shipdate) AS first_seen
+  FROM lineitem GROUP BY ALL""")
 def t2(spark, sf):
     root = scratch_dir(spark, "first-seen")
-    rows = stream_of(spark, sf, "lineitem").select(
-        F.concat(F.lit("https://jobs.example/"), "l_orderkey").alias("url"),
-        F.col("l_shipdate").cast("timestamp").alias("crawled_at"),
+    rows = shuffled_stream(spark, sf, "lineitem").select(
+        F.concat(F.lit("https://jobs.example/"), "l_orderkey").alias("url"), F.col("l_shipdate").alias("first_seen")
     )
-    streams.run(streams.first_seen(rows, "url", "crawled_at", "200 days"),
-                streams.append_to(f"{root}/urls"), f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/urls").select("url")
+    streams.run(rows, streams.first_seen_into(f"{root}/urls", "url", "first_seen"), f"{root}/checkpoint")
+    return streams.first_seen(spark, f"{root}/urls", "url", "first_seen")
 
 
 @query("t3_daily_counts", JOBS + """SELECT CAST(crawled_at AS DATE) AS day, source, count(*) AS total_jobs
   FROM jobs_raw GROUP BY ALL""")
 def t3(spark, sf):
     root = scratch_dir(spark, "daily-counts")
-    rows = zoned(posting_stream(spark, sf).select("crawled_at", "source"), "crawled_at")
-    streams.run(streams.daily_counts(rows, "crawled_at", "source"),
-                streams.append_to(f"{root}/counts"), f"{root}/checkpoint", "update")
-    return streams.latest_updates(spark, f"{root}/counts", ["day", "source"])
+    rows = posting_stream(spark, sf).select("crawled_at", "source")
+    streams.run(rows, streams.daily_counts_into(f"{root}/counts", "crawled_at", "source"), f"{root}/checkpoint")
+    return streams.daily_counts(spark, f"{root}/counts", "source")
 
 
 @query("t4_alert_cursor", with_(*(c.replace("'al-8'", "''") for c in DIGEST)) + f"""SELECT a.alert_id,
@@ -71,12 +72,11 @@ def t3(spark, sf):
   FROM alerts a LEFT JOIN ready r ON r.alert_id = a.alert_id LEFT JOIN per_alert p ON p.alert_id = a.alert_id""")
 def t4(spark, sf):
     from ..operators.digest import attach_users
-    from ..operators.state import current
 
     root = scratch_dir(spark, "digest")
     alerts = attach_users(*owned(spark, sf))
-    streams.run(posting_stream(spark, sf), streams.digest_into(root, alerts, as_of()), f"{root}/checkpoint")
-    stored = current(spark, f"{root}/alerts")
+    streams.run(posting_stream(spark, sf), streams.append_to(f"{root}/postings"), f"{root}/checkpoint")
+    stored = streams.digest_stored(spark, root, alerts, as_of())
     return stored.select("alert_id", "last_sent_at", "last_delivered_job_at")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,10 +33,10 @@ def build_session(app: str = "workgrain", master: str | None = None, **extra: st
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only a
-    session without that setting (a local test) falls back to a local folder.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; a session without that setting uses a
+    folder in its warehouse, which is shared as well wherever tables can be written.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = tempfile.mkdtemp(prefix="workgrain-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

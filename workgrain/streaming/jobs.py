@@ -63,50 +63,57 @@ def ingest_into(
     return write
 
 
-def first_seen(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
-    """First row of every key; keys are remembered for ``delay`` of event time."""
-    timed = stream.withWatermark(event_time, delay)
-    return timed.dropDuplicatesWithinWatermark([key])
+def first_seen_into(path: str, key: str, event_time: str) -> BatchSink:
+    """Earliest time per key of every batch, under the batch's number."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        seen = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(event_time).alias(event_time))
+        append_to(path)(seen, number)
 
-def daily_counts(stream: DataFrame, event_time: str, group: str, delay: str = "2 days") -> DataFrame:
-    """Rows per day and group in tumbling windows."""
-    timed = stream.withWatermark(event_time, delay)
-    counts = timed.groupBy(F.window(event_time, "1 day"), group).agg(F.count("*").alias("total_jobs"))
-    return counts.select(F.to_date("window.start").alias("day"), group, "total_jobs")
+    return write
 
 
-def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest row per key of an update-mode stream written by ``append_to``."""
-    updates = spark.read.parquet(path)
-    newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    placed = updates.withColumn("_place", F.row_number().over(newest))
-    return placed.filter("_place = 1").drop("_place", "batch")
+def first_seen(spark: SparkSession, path: str, key: str, event_time: str) -> DataFrame:
+    """Every key with its earliest time over all batches, whatever order they came in."""
+    return spark.read.parquet(path).groupBy(key).agg(F.min(event_time).alias(event_time))
 
 
-def digest_into(root: str, alerts: DataFrame, as_of: Column) -> BatchSink:
-    """One digest run per batch of new postings against the stored alert cursors.
+def daily_counts_into(path: str, event_time: str, group: str) -> BatchSink:
+    """Rows per day and group of every batch, under the batch's number.
 
-    The cursor version carries the batch number: deliveries are written first,
-    the version last, and a repeated batch that already has one does nothing.
+    The counts of the batches are added up when they are read, so a row counts
+    however late it comes: there is no watermark that could drop it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        table = f"{root}/alerts"
-        done = state.versions(spark, table)
-        if not done:
-            state.commit(alerts, table, 0)
-        elif done[-1] > number:
-            return
-        stored = state.current(spark, table)
-        result = digest.run_digest(stored, batch, as_of)
-        result.deliveries.write.mode("overwrite").parquet(f"{root}/deliveries/batch={number}")
-        state.commit(digest.apply_cursors(stored, result.cursors), table, number + 1)
+        day = F.to_date(event_time).alias("day")
+        append_to(path)(batch.groupBy(day, group).agg(F.count("*").alias("total_jobs")), number)
 
     return write
 
 
+def daily_counts(spark: SparkSession, path: str, group: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("day", group).agg(F.sum("total_jobs").alias("total_jobs"))
+
+
+def digest_stored(spark: SparkSession, root: str, alerts: DataFrame, as_of: Column) -> DataFrame:
+    """One digest run over all postings landed below ``root``, from every alert's own cursor.
+
+    Postings are landed by ``append_to(root + "/postings")``; how they were split into batches
+    makes no difference, and matches beyond one mail wait in the stored postings for the next run.
+    Deliveries are written first, the cursor version last. Returns the alerts after the run.
+    """
+    table = f"{root}/alerts"
+    if not state.versions(spark, table):
+        state.commit(alerts, table, 0)
+    number = state.versions(spark, table)[-1] + 1
+    stored = state.current(spark, table)
+    result = digest.run_digest(stored, spark.read.parquet(f"{root}/postings").drop("batch"), as_of)
+    result.deliveries.write.mode("overwrite").parquet(f"{root}/deliveries/run={number}")
+    state.commit(digest.apply_cursors(stored, result.cursors), table, number)
+    return state.current(spark, table)
+
+
 def deliver_once(root: str, keys: Sequence[str], order: Sequence[str]) -> BatchSink:
     """Keeps the first row per key over all batches: keys delivered before drop out."""
 
