@@ -60,8 +60,9 @@ def icontains(c: Column, needle: str) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    """Text without markup; ``&nbsp;`` and runs of blanks become one space."""
-    return squeeze(F.replace(F.regexp_replace(c, r"<[^>]*>?", ""), F.lit("&nbsp;"), F.lit(" ")))
+    """Text without markup, scripts and style sheets; ``&nbsp;`` and runs of blanks become one space."""
+    shown = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
+    return squeeze(F.replace(F.regexp_replace(shown, r"<[^>]*>?", ""), F.lit("&nbsp;"), F.lit(" ")))
 
 
 def cut_at(url: Column, marker: str) -> Column:

@@ -68,32 +68,34 @@ def report(rows: DataFrame, checks: Sequence[Check]) -> DataFrame:
     All row checks share one pass; every unique check is one more aggregation,
     as is the list of sample values of a check.
     """
-    simple = [c for c in checks if c.kind in ("not_null", "regex", "accepted")]
+    simple = [(n, c) for n, c in enumerate(checks) if c.kind in ("not_null", "regex", "accepted")]
     parts = []
     if simple:
-        counts = rows.agg(*[F.count_if(c.failing()).alias(f"c{i}") for i, c in enumerate(simple)])
-        items = ", ".join(f"'{c.kind}', '{c.column}', c{i}" for i, c in enumerate(simple))
-        parts.append(counts.selectExpr(f"stack({len(simple)}, {items}) AS (kind, column, failures)"))
-    for check in checks:
+        counts = rows.agg(*[F.count_if(c.failing()).alias(f"c{n}") for n, c in simple])
+        items = ", ".join(f"{n}, '{c.kind}', '{c.column}', c{n}" for n, c in simple)
+        parts.append(counts.selectExpr(f"stack({len(simple)}, {items}) AS (number, kind, column, failures)"))
+    for number, check in enumerate(checks):
         if check.kind == "row_count":
             inside = F.count("*").between(check.low, check.high)
             failures = F.when(inside, F.lit(0)).otherwise(F.count("*")).cast("bigint")
-            parts.append(_named(rows.agg(failures.alias("failures")), check))
+            parts.append(_named(rows.agg(failures.alias("failures")), number, check))
         elif check.kind == "unique":
             repeated = _repeated(rows, check.column)
             failures = F.coalesce(F.sum("times"), F.lit(0)).alias("failures")
-            parts.append(_named(repeated.agg(failures), check))
+            parts.append(_named(repeated.agg(failures), number, check))
     counted = reduce(DataFrame.unionByName, parts)
-    sampled = [s for c in checks if (s := _samples(rows, c)) is not None]
+    sampled = [s for n, c in enumerate(checks) if (s := _samples(rows, n, c)) is not None]
     if not sampled:
-        return counted.withColumn("samples", F.lit(""))
+        return counted.withColumn("samples", F.lit("")).drop("number")
     samples = reduce(DataFrame.unionByName, sampled)
-    joined = counted.join(samples, ["kind", "column"], "left")
-    return joined.withColumn("samples", F.coalesce("samples", F.lit("")))
+    joined = counted.join(samples, "number", "left")
+    return joined.withColumn("samples", F.coalesce("samples", F.lit(""))).drop("number")
 
 
-def _named(rows: DataFrame, check: Check) -> DataFrame:
-    return rows.select(F.lit(check.kind).alias("kind"), F.lit(check.column).alias("column"), "failures")
+def _named(rows: DataFrame, number: int, check: Check) -> DataFrame:
+    return rows.select(
+        F.lit(number).alias("number"), F.lit(check.kind).alias("kind"), F.lit(check.column).alias("column"), "failures"
+    )
 
 
 def _repeated(rows: DataFrame, column: str) -> DataFrame:
@@ -101,7 +103,7 @@ def _repeated(rows: DataFrame, column: str) -> DataFrame:
     return counts.filter("times > 1")
 
 
-def _samples(rows: DataFrame, check: Check) -> DataFrame | None:
+def _samples(rows: DataFrame, number: int, check: Check) -> DataFrame | None:
     """The first few distinct failing values in order; a top-k, not a collect."""
     if check.kind in ("row_count", "not_null"):
         return None
@@ -111,9 +113,7 @@ def _samples(rows: DataFrame, check: Check) -> DataFrame | None:
         failing = rows.filter(check.failing()).select(check.column).distinct()
     few = failing.orderBy(check.column).limit(SAMPLES)
     text = F.array_join(F.array_sort(F.collect_list(F.col(check.column).cast("string"))), ", ")
-    return few.agg(text.alias("samples")).select(
-        F.lit(check.kind).alias("kind"), F.lit(check.column).alias("column"), "samples"
-    )
+    return few.agg(text.alias("samples")).select(F.lit(number).alias("number"), "samples")
 
 
 class CheckFailed(ValueError):

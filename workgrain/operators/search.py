@@ -20,6 +20,17 @@ MAX_TEXT = 40_000
 MAX_FILTER = 120
 
 
+def check_request(
+    cv_text: str = "", word: str = "", place: str = "", origin: str = "", page: int = 1,
+    max_text: int = MAX_TEXT, max_filter: int = MAX_FILTER, max_page: int = MAX_PAGE,
+) -> None:
+    """Limits a service may put on what it is sent; the transforms themselves have none."""
+    if max(len(t.strip()) for t in (word, place, origin)) > max_filter:
+        raise ValueError("filter text is too long")
+    if len(cv_text.strip()) > max_text or not 1 <= page <= max_page:
+        raise ValueError("invalid CV text or page")
+
+
 def keyword(rows: DataFrame, word: str) -> DataFrame:
     return rows.filter(icontains(F.col("title"), word) | icontains(F.col("company"), word))
 
@@ -80,8 +91,6 @@ def knn(
 def filtered(rows: DataFrame, word: str = "", place: str = "", origin: str = "") -> DataFrame:
     """The shared predicate of a result page and its total."""
     word, place, origin = word.strip(), place.strip(), origin.strip()
-    if max(map(len, (word, place, origin))) > MAX_FILTER:
-        raise ValueError("filter text is too long")
     rows = has_url(rows)
     if word:
         rows = keyword(rows, word)
@@ -104,8 +113,8 @@ def match(
     Skills are taken from the page's rows only, after the top-k cut.
     """
     cv_text = cv_text.strip()
-    if len(cv_text) > MAX_TEXT or not 1 <= page <= MAX_PAGE:
-        raise ValueError("invalid CV text or page")
+    if page < 1:
+        raise ValueError("pages count from 1")
     rows = filtered(rows, word, place, origin)
     offset = (page - 1) * PAGE_SIZE
     if cv_text or cv_vector is not None:
@@ -175,11 +184,14 @@ def labelled(rows: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_jobs(rows: DataFrame, as_of: Column, limit: int = 10_000) -> DataFrame:
+def sitemap_jobs(rows: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them unless a limit is given."""
     fresh = recent(rows, as_of - F.expr("INTERVAL 30 DAYS"))
-    return fresh.select("id", "crawled_at").orderBy(F.desc("crawled_at"), "id").limit(limit)
+    ordered = fresh.select("id", "crawled_at").orderBy(F.desc("crawled_at"), "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def digest_candidates(rows: DataFrame, cutoff: Column, limit: int = 10_000) -> DataFrame:
-    fresh = recent(rows, cutoff, strict=True)
-    return fresh.select("id", "crawled_at").orderBy("crawled_at", "id").limit(limit)
+def digest_candidates(rows: DataFrame, cutoff: Column, limit: int | None = None) -> DataFrame:
+    """Oldest first; all of them unless a limit is given."""
+    ordered = recent(rows, cutoff, strict=True).select("id", "crawled_at").orderBy("crawled_at", "id")
+    return ordered if limit is None else ordered.limit(limit)

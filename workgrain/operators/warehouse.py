@@ -98,7 +98,7 @@ def categorize(
     return hits.withColumn("job_category", F.coalesce("job_category", F.lit(OTHERS)))
 
 
-def map_city(rows: DataFrame, patterns: Sequence[tuple] = CITY_PATTERNS) -> DataFrame:
+def map_city(rows: DataFrame, patterns: Sequence[tuple[str, ...]] = CITY_PATTERNS) -> DataFrame:
     """Adds ``job_location``, the English city name; null when no pattern is found."""
     names = [(row[0], row[2]) for row in patterns]
     return match_distinct(rows, "working_location", names, "job_location")
@@ -113,17 +113,20 @@ _BASE = (
 )
 
 
-def _base(bronze: DataFrame, columns: dict[str, Column]) -> DataFrame:
+Patterns = Sequence[tuple[str, ...]]
+
+
+def _base(bronze: DataFrame, columns: dict[str, Column], categories: Patterns) -> DataFrame:
     """Common columns, with the category patterns matched after the projection."""
     common = {
         "working_location": normal_location(F.col("working_location")),
         "job_posted_date": F.to_date("created_at"),
         "job_posted_timestamp": F.col("created_at"),
     }
-    return categorize(bronze.withColumns({**common, **columns})).select(*_BASE)
+    return categorize(bronze.withColumns({**common, **columns}), categories).select(*_BASE)
 
 
-def topcv_base(bronze: DataFrame) -> DataFrame:
+def topcv_base(bronze: DataFrame, categories: Patterns = CATEGORY_PATTERNS) -> DataFrame:
     """The ``*_million`` columns hold whole VND; their names are kept."""
     return _base(bronze, {
         "source_platform": F.lit("topcv"),
@@ -134,10 +137,10 @@ def topcv_base(bronze: DataFrame) -> DataFrame:
         "education_requirement": education_level(F.col("level_of_education")),
         "year_of_experiences": experience_phrase(F.col("experiences")),
         "tags": F.col("job_category"),
-    })
+    }, categories)
 
 
-def itviec_base(bronze: DataFrame) -> DataFrame:
+def itviec_base(bronze: DataFrame, categories: Patterns = CATEGORY_PATTERNS) -> DataFrame:
     return _base(bronze, {
         "source_platform": F.lit("itviec"),
         "work_arrangement": F.lit("Full-time"),
@@ -147,7 +150,7 @@ def itviec_base(bronze: DataFrame) -> DataFrame:
         "education_requirement": education_level(F.col("requirements_and_experiences")),
         "requirements": F.col("requirements_and_experiences"),
         "year_of_experiences": experience_phrase(F.col("requirements_and_experiences")),
-    })
+    }, categories)
 
 
 def explode_locations(base: DataFrame) -> DataFrame:
@@ -166,10 +169,12 @@ def join_logos(rows: DataFrame, logos: DataFrame) -> DataFrame:
     return linked.unionByName(bare)
 
 
-def fact_jobs(topcv: DataFrame, itviec: DataFrame, logos: DataFrame | None = None) -> DataFrame:
+def fact_jobs(
+    topcv: DataFrame, itviec: DataFrame, logos: DataFrame | None = None, cities: Patterns = CITY_PATTERNS
+) -> DataFrame:
     """The fact table: union, list explode, city match, logo join, keys and classes."""
     united = topcv.unionByName(itviec)
-    placed = map_city(explode_locations(united))
+    placed = map_city(explode_locations(united), cities)
     if logos is None:
         placed = placed.withColumn("logo_id", F.md5("logo_url"))
     else:

@@ -314,7 +314,8 @@ def f36(spark, sf):
     return given_pages(spark, sf).select("page_id", text.http_url(c("url")).alias("safe"))
 
 
-TEXT_ONLY = "trim(regexp_replace(replace(regexp_replace({}, '<[^>]*>?', '', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))"
+SHOWN = r"regexp_replace({}, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g')"
+TEXT_ONLY = "trim(regexp_replace(replace(regexp_replace(" + SHOWN + ", '<[^>]*>?', '', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))"
 
 
 @query("h14_strip_markup", f"""SELECT 'page' AS kind, page_id AS id, md5({TEXT_ONLY.format('html')}) AS text_md5 FROM pages

@@ -259,13 +259,13 @@ def o3(spark, sf):
 
 
 @query("o4_sitemap_jobs", JOBS + f"""SELECT id, crawled_at FROM jobs_raw
-  WHERE crawled_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY crawled_at DESC, id LIMIT 10000""")
+  WHERE crawled_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY crawled_at DESC, id""")
 def o4(spark, sf):
     return search.sitemap_jobs(jobs_raw(spark, sf), as_of())
 
 
 @query("o5_digest_candidates", JOBS + f"""SELECT id, crawled_at FROM jobs_raw
-  WHERE crawled_at > TIMESTAMP '{AS_OF}' - INTERVAL 1000 DAY ORDER BY crawled_at, id LIMIT 10000""")
+  WHERE crawled_at > TIMESTAMP '{AS_OF}' - INTERVAL 1000 DAY ORDER BY crawled_at, id""")
 def o5(spark, sf):
     return search.digest_candidates(jobs_raw(spark, sf), as_of() - F.expr("INTERVAL 1000 DAYS"))
 

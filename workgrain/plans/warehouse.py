@@ -353,12 +353,11 @@ def j4(spark, sf):
 
 
 @query("w1_global_rank", with_(*COMPANY_CTES) + """SELECT company_id, total_job_postings,
-  row_number() OVER (ORDER BY total_job_postings DESC, company_id) AS company_rank FROM dim_company
-  WHERE company_id IS NOT NULL""")
+  row_number() OVER (ORDER BY total_job_postings DESC, company_id NULLS LAST) AS company_rank FROM dim_company""")
 def w1(spark, sf):
     from ..operators.measures import global_rank
 
-    companies = dims.dim_company(stored_fact(spark, sf)).filter(F.col("company_id").isNotNull())
+    companies = dims.dim_company(stored_fact(spark, sf))
     ranked = global_rank(companies, "total_job_postings", "company_id", "company_rank")
     return ranked.select("company_id", "total_job_postings", "company_rank")
 
