@@ -141,6 +141,20 @@ def test_city_patterns_cover_every_province():
     assert by_code["ba_ria_vung_tau"][0].startswith(r"bà\s*rịa\s*[- ]?\s*vũng\s*tàu|")
 
 
+def test_unknown_zones_are_not_due(spark):
+    rows = spark.createDataFrame([("Asia/Ho_Chi_Minh",), ("Mars/Base",), ("",), (None,), ("UTC",)], "zone string")
+    now = F.expr("timestamp_ntz '2026-01-01 01:00:00'")
+    due = alerts.is_due(F.col("zone"), F.lit(None).cast("timestamp_ntz"), now)
+    assert [r[0] for r in rows.select(due).collect()] == [True, False, False, False, False]
+
+
+def test_scripts_and_styles_are_not_text(one):
+    from workgrain.functions import text
+
+    raw = "<p>a</p><SCRIPT type='x'>var t = '<p>no</p>';\n</script ><style>p {}</style> b<scripted>c"
+    assert one(text.strip_tags, raw) == "a bc"
+
+
 def test_alert_filters(one):
     cleaned = one(alerts.clean_filters, '{"salary":"invalid","keyword":"all","role":"data"}')
     assert {k: v for k, v in cleaned.asDict().items() if v} == {"role": "data"}

@@ -86,6 +86,42 @@ def test_global_rank_equals_row_number(spark):
     assert got == want
 
 
+def test_global_rank_keeps_rows_without_id(spark):
+    rows = spark.createDataFrame([(3, "b"), (3, None), (3, "a"), (None, "c"), (5, None)], "n int, k string")
+    got = measures.global_rank(rows, "n", "k", "rank").orderBy("rank").collect()
+    assert [(r["n"], r["k"]) for r in got] == [(5, None), (3, "a"), (3, "b"), (3, None), (None, "c")]
+
+
+def test_two_checks_of_one_kind_on_one_column(spark):
+    rows = spark.createDataFrame([("http://a",), ("ftp://b.example",)], "url string")
+    checks = [quality.Check("regex", "url", pattern="^http"), quality.Check("regex", "url", pattern="example$")]
+    got = rows_of(quality.report(rows, checks).select("failures", "samples"))
+    assert got == [(1, "ftp://b.example"), (1, "http://a")]
+
+
+def test_repeated_keys_of_a_batch(spark):
+    target = spark.createDataFrame([("a", "old", 1), ("c", "old", 1)], "k string, v string, t int")
+    batch = spark.createDataFrame(
+        [("a", "first", 5, 0), ("a", "last", 9, 1), ("b", "last", None, 3), ("b", "first", 4, 2), (None, "x", 1, 0), (None, "y", 1, 0)],
+        "k string, v string, t int, seq int",
+    )
+    for rows in (batch, batch.orderBy(F.desc("v")).coalesce(1)):
+        merged = state.merge(target, rows, ["k"], {"v": lambda old, new: new}, ["seq"], ["t"])
+        assert sorted(str(tuple(r)) for r in merged.collect()) == sorted(map(str, [
+            ("a", "last", 1), ("b", "last", 4), ("c", "old", 1), (None, "x", 1), (None, "y", 1)]))
+    _, inserted = state.insert_new(target, batch.drop("seq"), "k")
+    assert inserted.filter("k = 'b'").count() == 1 and inserted.filter("k = 'a'").count() == 0
+    _, first = state.insert_new(target.withColumn("seq", F.lit(0)), batch, "k", ["seq"])
+    assert [r["v"] for r in first.filter("k = 'b'").collect()] == ["first"]
+
+
+def test_patterns_with_quotes_and_many_patterns(spark):
+    texts = spark.createDataFrame([("it's",), ("n199",), ("none",)], "t string")
+    patterns = [("it's", "an 'apostrophe'")] + [(f"^n{i}$", f"v{i}") for i in range(300)]
+    got = rows_of(explode_patterns(texts, "t", patterns, "v").filter("v IS NOT NULL"))
+    assert got == [("it's", "an 'apostrophe'"), ("n199", "v199")]
+
+
 def test_dedup_drops_rows_without_key(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("", 1), (None, 1), ("b", 1)], "url string, n int")
     assert rows_of(state.dedup(rows, "url", ["n"])) == [("a", 1), ("b", 1)]
@@ -117,6 +153,11 @@ def test_search_rejects_bad_input(spark):
         search.source(rows.withColumn("source", F.lit("x")), "monster")
     with pytest.raises(ValueError):
         search.match(rows, page=0)
+    for wrong in ({"page": 1_001}, {"word": "x" * 121}, {"cv_text": "x" * 40_001}):
+        with pytest.raises(ValueError):
+            search.check_request(**wrong)
+    search.check_request("cv", "python", "hà nội", "all", 3)
+    assert search.filtered(rows.withColumns({"url": F.lit("u"), "company": F.lit("c")}), "x" * 500).count() == 0
 
 
 def test_digest_failed_mail_keeps_cursor(spark):
@@ -184,6 +225,28 @@ def test_itviec_cards(spark):
     assert (c.title, c.company, c["mode"], c.logo, c.location, c.tags) == ("T", "C", "Hybrid", "l.png", "Hà Nội", "go, k8s")
 
 
+def test_cards_links_and_bad_pages(spark):
+    card = '<div class="job-item-search-result"><h3 class="title">{}</h3><a class="company" href="{}"><span class="company-name">C</span></a></div>'
+    html = "".join([card.format('<a href="/viec-lam/1.html?ta_source=x">One</a>', "//www.topcv.vn/cong-ty/a"),
+                    card.format("No link", "/cong-ty/b"), card.format('<a href="https://x.example/2">Two</a>', "cong-ty/c")])
+    rows = spark.createDataFrame([(1, html), (2, ""), (3, "<![foo[x"), (4, None)], "page_id long, html string")
+    got = pages.extract_cards(rows, pages.TOPCV_CARDS, cut="?").select("title", "job_url", "company_url")
+    assert rows_of(got) == [("One", "https://www.topcv.vn/viec-lam/1.html", "https://www.topcv.vn/cong-ty/a"),
+                            ("Two", "https://x.example/2", "https://www.topcv.vn/cong-ty/c")]
+    told = pages.extract_cards(rows, pages.TOPCV_CARDS, errors=True).filter("parse_error IS NOT NULL")
+    assert {2, 4} <= {r["page_id"] for r in told.collect()} and told.count() >= 2
+    links = pages.discover_links(rows, "h3.title a[href]", "https://b.example", errors=True).collect()
+    assert sum(r["url"] is not None for r in links) == 2 and any(r["parse_error"] for r in links)
+    assert pages.discover_links(rows, "h3.title a[href]", "https://b.example").count() == 2
+
+
+def test_deadline_of_any_element(spark):
+    spot = '<div class="job-detail__info--deadline">{}</div>'
+    rows = spark.createDataFrame([("u", spot.format("Ứng tuyển") + spot.format("Hạn nộp hồ sơ: 1/2/2026")), ("v", spot.format("x"))],
+                                 "url string, html string")
+    assert rows_of(pages.extract_details(rows).select("url", F.coalesce("deadline", F.lit("")))) == [("u", "1/2/2026"), ("v", "")]
+
+
 def test_page_files_and_archive(spark, tmp_path):
     folder = tmp_path / "loose" / "source=topcv" / "kind=job_details" / "crawl_date=2024-01-05"
     folder.mkdir(parents=True)

@@ -185,8 +185,29 @@ def require(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows
 
 
+def deadline_line() -> Column:
+    """The first deadline element that names the deadline; null without one."""
+    named = F.filter(F.element_at("lists", F.lit("deadline")), lambda t: t.contains(DEADLINE_WORDS))
+    return F.get(named, F.lit(0))
+
+
+def absolute(link: Column, base: str) -> Column:
+    """A link resolved against a site's root; empty and null links are null."""
+    return (
+        F.when(F.coalesce(link, F.lit("")) == "", None)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.lit(base.split("//")[0]), link))
+        .when(link.startswith("/"), F.concat(F.lit(base), link))
+        .otherwise(F.concat(F.lit(f"{base}/"), link))
+    )
+
+
 # ---- layouts ----
 
+# Site roots, the words of a deadline, page selectors, url forms and output columns.
+TOPCV_ROOT = "https://www.topcv.vn"
+DEADLINE_WORDS = "Hạn nộp"
+
 _INFO = (
     ".job-detail__info--section",
     ((".job-detail__info--section-content-title", ".job-detail__info--section-content-value"),),
@@ -198,10 +219,12 @@ TOPCV_DETAIL = Spec(
     texts={
         "title": (".job-detail__info--title, h1",),
         "company": ("a.company-name", "h2.company-name"),
-        "deadline": (".job-detail__info--deadline, .job-detail__information-detail--actions-label",),
     },
     attrs={"company_url": ("a.company[href], a[href*='/cong-ty/']", "href")},
-    lists={"tags": ".job-tags a.item"},
+    lists={
+        "tags": ".job-tags a.item",
+        "deadline": ".job-detail__info--deadline, .job-detail__information-detail--actions-label",
+    },
     sections=_INFO,
     blocks=_BLOCKS,
 )
@@ -300,24 +323,33 @@ URL_FORMS = {
 
 def discover_links(
     pages: DataFrame, selector: str, base: str, hosts: tuple[str, str] | None = None,
-    html: str = "html",
+    html: str = "html", errors: bool = False,
 ) -> DataFrame:
-    """Distinct absolute links without query, with a country host replaced."""
+    """Distinct absolute links without query, with a country host replaced.
+
+    A page that is empty or cannot be read gives no link; with ``errors`` such pages
+    are reported in a column ``parse_error`` beside rows of links.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            links = [
-                urljoin(base, node.attrs["href"])
-                for page in batch[html] if page
-                for node in select(tree(page), selector) if node.attrs.get("href")
-            ]
-            yield pd.DataFrame({"url": pd.Series(links, dtype=object)})
-
-    found = pages.select(html).mapInPandas(run, "url string")
+            rows = []
+            for page in batch[html]:
+                try:
+                    if not page:
+                        raise ValueError("empty page")
+                    nodes = list(select(tree(page), selector))
+                    rows += [(urljoin(base, n.attrs["href"]), None) for n in nodes if n.attrs.get("href")]
+                except Exception as error:  # noqa: BLE001 - reported in a row, the batch goes on
+                    rows.append((None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["url", "parse_error"], dtype=object)
+
+    found = pages.select(html).mapInPandas(run, "url string, parse_error string")
     url = cut_at(F.col("url"), "?")
     if hosts:
         url = F.replace(url, F.lit(hosts[0]), F.lit(hosts[1]))
-    return found.select(url.alias("url")).distinct()
+    links = found.select(url.alias("url"), "parse_error")
+    return links.distinct() if errors else links.filter("url IS NOT NULL").select("url").distinct()
 
 
 def extract_records(pages: DataFrame, source: str, crawled_at: Column, ident: str = "page_id") -> DataFrame:
@@ -344,14 +376,27 @@ def extract_records(pages: DataFrame, source: str, crawled_at: Column, ident: st
     )
 
 
-def extract_cards(pages: DataFrame, spec: Spec) -> DataFrame:
-    """One row per list card, columns named as in the layout."""
+def extract_cards(
+    pages: DataFrame, spec: Spec, base: str = TOPCV_ROOT, links: Sequence[str] = ("job_url", "company_url"),
+    required: str = "job_url", cut: str | None = None, errors: bool = False,
+) -> DataFrame:
+    """One row per list card, columns named as in the layout.
+
+    ``links`` are made absolute (and lose what follows ``cut``); a card without the
+    ``required`` link is no posting and is left out. With ``errors`` a page that
+    cannot be read is a row with its ``parse_error``.
+    """
     names = [*spec.texts, *spec.attrs]
-    cards = parse(pages, spec).filter(F.col("parse_error").isNull())
+    values = {n: F.nullif(text(n), F.lit("")) for n in names}
+    values |= {n: F.nullif(joined(n, ", "), F.lit("")) for n in spec.lists}
+    for name in links:
+        if name in values:
+            link = absolute(values[name], base)
+            values[name] = cut_at(link, cut) if cut else link
     kept = [c for c in pages.columns if c != "html"]
-    columns = [F.nullif(text(n), F.lit("")).alias(n) for n in names]
-    columns += [F.nullif(joined(n, ", "), F.lit("")).alias(n) for n in spec.lists]
-    return cards.select(*kept, "card", *columns)
+    cards = parse(pages, spec).select(*kept, "card", *[c.alias(n) for n, c in values.items()], "parse_error")
+    good = F.col("parse_error").isNull() & (F.col(required).isNotNull() if required in values else F.lit(True))
+    return cards.filter(good | F.col("parse_error").isNotNull()) if errors else cards.filter(good).drop("parse_error")
 
 
 def extract_by_template(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -369,12 +414,12 @@ def extract_by_template(pages: DataFrame, url: str = "url") -> DataFrame:
             "type_of_work": info("Hình thức làm việc"),
         }
         return parse(rows, spec).select(
-            *kept, *[F.nullif(c, F.lit("")).alias(name) for name, c in values.items()]
+            *kept, *[F.nullif(c, F.lit("")).alias(name) for name, c in values.items()], "parse_error"
         )
 
     names = ("descriptions", "requirements", "education", "type_of_work")
     other = pages.filter(~brand & ~standard).select(
-        *kept, *[F.lit(None).cast("string").alias(n) for n in names]
+        *kept, *[F.lit(None).cast("string").alias(n) for n in (*names, "parse_error")]
     )
     return read(pages.filter(brand), BRAND_DETAIL).unionByName(
         read(pages.filter(standard), STANDARD_DETAIL)
@@ -428,6 +473,7 @@ def extract_company(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_replace(text("name"), r"(?i)\s*\|\s*TopCV.*$", ""), F.lit("")).alias("company_name_full"),
         *[newest(name) for name in PROFILE_LABELS],
         F.nullif(text("description"), F.lit("")).alias("company_description"),
+        "parse_error",
     )
 
 
@@ -447,15 +493,15 @@ def extract_details(pages: DataFrame) -> DataFrame:
     values = {
         "detail_title": text("title"), "detail_salary": info("Mức lương"),
         "detail_location": info("Địa điểm"), "detail_experience": info("Kinh nghiệm"),
-        "deadline": F.when(text("deadline").contains("Hạn nộp"), deadline(text("deadline"))),
+        "deadline": deadline(deadline_line()),
         "tags": joined("tags", "; "),
         "working_addresses": block_items(place[0], "; "),
         "working_times": block_items(place[1], "; "),
         "desc_mota": block("Mô tả công việc"), "desc_yeucau": block("Yêu cầu ứng viên"),
-        "desc_quyenloi": block("Quyền lợi"), "company_url_from_job": text("company_url"),
+        "desc_quyenloi": block("Quyền lợi"), "company_url_from_job": absolute(text("company_url"), TOPCV_ROOT),
     }
     parsed = parse(pages.select("url", "html"), TOPCV_DETAIL)
-    return parsed.select("url", *[F.nullif(c, blank).alias(n) for n, c in values.items()])
+    return parsed.select("url", *[F.nullif(c, blank).alias(n) for n, c in values.items()], "parse_error")
 
 
 def assemble(cards: DataFrame, details: DataFrame, companies: DataFrame) -> DataFrame:
@@ -463,9 +509,9 @@ def assemble(cards: DataFrame, details: DataFrame, companies: DataFrame) -> Data
     url path, the company link of the detail page before that of the card."""
     path = F.regexp_replace(cut_at(F.col("job_url"), "?"), "^https?://[^/]+", "")
     first = dedup(cards.withColumn("_path", path), "_path", ["page_id", "card"])
-    with_detail = first.join(details.withColumnRenamed("url", "job_url"), "job_url", "left")
+    with_detail = first.join(details.drop("parse_error").withColumnRenamed("url", "job_url"), "job_url", "left")
     link = F.coalesce("company_url_from_job", "company_url")
-    profiles = companies.withColumnRenamed("url", "_link")
+    profiles = companies.drop("parse_error").withColumnRenamed("url", "_link")
     linked = with_detail.withColumn("_link", link).join(profiles, "_link", "left")
     return linked.select(*ASSEMBLED)
 

@@ -173,7 +173,7 @@ def h7(spark, sf):
     page = F.when(F.col("order_key") % 3 == 0, html(BRAND, **values)).otherwise(html(STANDARD, **values))
     url = F.concat(F.lit("https://www.topcv.vn/"), F.expr(FORM), F.lit("/"), F.col("id"))
     rendered = jobs_raw(spark, sf).select("id", url.alias("url"), page.alias("html"))
-    return pages.extract_by_template(rendered).drop("url")
+    return pages.extract_by_template(rendered).drop("url", "parse_error")
 
 
 CARD = """<div class="job-item-search-result"><h3 class="title"><a href="{url}">{title}</a></h3>
@@ -202,7 +202,7 @@ def opt(col: str) -> str:
 
 @query("h8_list_cards", JOBS + f"""SELECT order_key // 60 AS page_id, {opt('title')} AS title, {opt('company')} AS company,
   {opt('salary')} AS salary_list, {opt('location')} AS address_list, {opt('experience')} AS exp_list, url AS job_url,
-  '/cong-ty/' || id AS company_url FROM jobs_raw WHERE source = 'topcv'""")
+  'https://www.topcv.vn/cong-ty/' || id AS company_url FROM jobs_raw WHERE source = 'topcv' AND url IS NOT NULL""")
 def h8(spark, sf):
     return pages.extract_cards(list_pages(topcv_jobs(spark, sf)), pages.TOPCV_CARDS).drop("card")
 
@@ -221,14 +221,14 @@ def profile_pages(spark: SparkSession, sf: str) -> DataFrame:
         PROFILE, company=safe("company"), id=safe("id"), size=safe("size"), industry=safe("industry"),
         location=F.lit("Hà Nội"), description=safe("industry"),
     )
-    return customers.select(F.concat(F.lit("/cong-ty/job-"), "id").alias("url"), page.alias("html"))
+    return customers.select(F.concat(F.lit("https://www.topcv.vn/cong-ty/job-"), "id").alias("url"), page.alias("html"))
 
 
-@query("h9_company_profile", """SELECT '/cong-ty/job-' || c_custkey AS url, c_name AS company_name_full,
+@query("h9_company_profile", """SELECT 'https://www.topcv.vn/cong-ty/job-' || c_custkey AS url, c_name AS company_name_full,
   'https://x.example/' || c_custkey AS company_website, c_nationkey || ' nhân viên' AS company_size,
   c_mktsegment AS company_industry, 'Hà Nội' AS company_address, c_mktsegment AS company_description FROM customer""")
 def h9(spark, sf):
-    return pages.extract_company(profile_pages(spark, sf))
+    return pages.extract_company(profile_pages(spark, sf)).drop("parse_error")
 
 
 @query("h10_deadline", JOBS + """SELECT id AS page_id, strftime(crawled_at, '%-d/%-m/%Y') AS deadline,
@@ -236,14 +236,14 @@ def h9(spark, sf):
 def h10(spark, sf):
     parsed = pages.parse(detail_pages(topcv_jobs(spark, sf)).select("page_id", "html"), pages.TOPCV_DETAIL)
     return parsed.select(
-        "page_id", pages.deadline(pages.text("deadline")).alias("deadline"),
+        "page_id", pages.deadline(pages.deadline_line()).alias("deadline"),
         pages.deadline(F.lit("Hạn nộp: sớm")).alias("plain"),
     )
 
 
 @query("h11_assemble", JOBS + f"""SELECT {opt('title')} AS title, {opt('title')} AS detail_title, url AS job_url,
-  {opt('company')} AS company, c_name AS company_name_full, '/cong-ty/' || id AS company_url,
-  '/cong-ty/' || id AS company_url_from_job, {opt('salary')} AS salary_list, {opt('salary')} AS detail_salary,
+  {opt('company')} AS company, c_name AS company_name_full, 'https://www.topcv.vn/cong-ty/' || id AS company_url,
+  'https://www.topcv.vn/cong-ty/' || id AS company_url_from_job, {opt('salary')} AS salary_list, {opt('salary')} AS detail_salary,
   {opt('location')} AS address_list, {opt('location')} AS detail_location, {opt('experience')} AS exp_list,
   {opt('experience')} AS detail_experience, strftime(crawled_at, '%-d/%-m/%Y') AS deadline, 'data; remote' AS tags,
   nullif(concat_ws('; ', {opt('location')}, {opt('company')}), '') AS working_addresses,
