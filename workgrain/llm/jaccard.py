@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import components, may_be_in, sketch, stored
 
 M64 = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -212,8 +212,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, tiles: DataFrame, words: int) -> Da
                     "bits": pa.array([bitmap(members[j]).tobytes() for j in cut], pa.binary()),
                     "members": pa.array([members[j].tobytes() for j in cut], pa.binary())})
 
-    wanted = nodes.join(tiles.select("node").distinct(), "node").select(
-        "node", F.col("first.text_hash").alias("text_hash"), F.col("first.doc_id").alias("wanted_id"))
+    wanted = stored(nodes.join(tiles.select("node").distinct(), "node").select(
+        "node", F.col("first.text_hash").alias("text_hash"), F.col("first.doc_id").alias("wanted_id")), "jaccard-wanted")
+    docs = docs.where(may_be_in(F.col("text_hash"), sketch(wanted.select("text_hash"))))
     return (
         docs.join(wanted, (docs["text_hash"] == wanted["text_hash"]) & docs["doc_id"].eqNullSafe(wanted["wanted_id"]))
         .select("node", "text").dropDuplicates(["node"]).mapInArrow(build, "node long, n long, bits binary, members binary"))
@@ -364,11 +365,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without any word stay; a row that repeats exactly (id and text) stays once.
     """
-    kept = jaccard_components(docs, id_col, text_col, **how).where("representative")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
+    rows = stored(jaccard_components(docs, id_col, text_col, **how), "jaccard-rows")
+    key = F.xxhash64("doc_id", "text_hash")
+    told = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), F.bool_or("representative").alias("stays"))
+    doubtful = stored(told.where("times > 1 OR NOT stays").select(
+        key.alias("__key"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "stays"), "jaccard-doubtful")
     hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    same = hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__text"])
+    maybe = hashed.withColumn("__maybe", may_be_in(F.xxhash64(F.col(id_col), F.col("__hash")), sketch(doubtful.select("__key"))))
+    gone = doubtful.where("NOT stays")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
     order = Window.partitionBy(id_col, "__hash").orderBy(F.lit(0))
-    return (
-        hashed.join(kept, same, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-        .select(*(F.col(f"`{c}`") for c in docs.columns)))
+    checked = (
+        maybe.where("__maybe").join(gone, same, "left_anti").withColumn("__nth", F.row_number().over(order)).where("__nth = 1"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return maybe.where("NOT __maybe").select(*columns).union(checked.select(*columns))

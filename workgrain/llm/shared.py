@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,33 @@ def slices(text: str, size: int, overlap: int = 0) -> Iterator[str]:
         start += size - overlap
 
 
+def sketch(hashes: DataFrame, bits: int = 26) -> np.ndarray:
+    """A bitmap of 2^bits places with a bit for each hash (the only column): which hashes may be among these.
+
+    Its size is fixed (8 MB by default) however many hashes there are; it is put together in Spark, and the
+    driver gets at most one word for each 64 places. The more hashes, the more others pass as well, so what
+    passes is still to be joined exactly: it only keeps rows that cannot match out of a shuffle.
+    """
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    words = hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("set"))
+    got = words.toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[got.column("word").to_numpy()] = got.column("set").to_numpy()
+    return out
+
+
+def may_be_in(hashed: Column, bitmap: np.ndarray) -> Column:
+    """False only for hashes that are surely not in a sketch."""
+
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        place = values.to_numpy() & (len(bitmap) * 64 - 1)
+        return pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test(hashed)
+
+
 def components(links: DataFrame, label: str = "components", checked_every: int = 1) -> DataFrame:
     """Smallest node reachable from each node of an undirected link table (a, b): columns node, component.
 
