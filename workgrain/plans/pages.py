@@ -120,6 +120,42 @@ def h2_board(spark, sf):
     return found.drop("crawled_at").join(times, "id").select(*found.columns)
 
 
+ITVIEC_PAGE = """<html><body><h1>{title}</h1><div class="employer-info__name">{company}</div><span class="location">{location}</span>
+<span class="salary">{salary}</span><div class="job-description">{description}</div><section class="job-requirements">{requirements}</section>
+<div class="job-tags"><a class="tag">data</a><a class="tag"></a><a class="tag">remote</a></div></body></html>"""
+LINKEDIN_PAGE = """<html><body><h1 class="top-card-layout__title">{title}</h1><a class="topcard__org-name-link">{company}</a>
+<span class="topcard__flavor--bullet">{location}</span><div class="description__text">{description}<p>{requirements}</p></div></body></html>"""
+
+
+def board_records(spark: SparkSession, sf: str, source: str, template: str) -> DataFrame:
+    """Records read back from pages in a board's layout, beside the time of the posting."""
+    names = ("title", "company", "salary", "location", "description", "requirements")
+    jobs = jobs_raw(spark, sf).filter(F.col("source") == source)
+    rendered = jobs.select(
+        F.concat(F.lit(f"{source}_"), "id").alias("page_id"), html(template, **{n: safe(n) for n in names}).alias("html")
+    )
+    found = pages.extract_records(rendered, source, F.lit(None).cast("timestamp_ntz"))
+    times = jobs.select(F.concat(F.lit(f"{source}_"), "id").alias("id"), "crawled_at")
+    return found.drop("crawled_at").join(times, "id").select(*found.columns)
+
+
+@query("h2_itviec_records", JOBS + f"""SELECT 'itviec_' || id AS id, {squeezed('title')} AS title, {squeezed('company')} AS company,
+  {squeezed('location')} AS location, {squeezed('salary')} AS salary, {squeezed('description')} AS description,
+  {squeezed('requirements')} AS requirements, '' AS experience, 'data, remote' AS tags, 'itviec' AS source,
+  'https://itviec.com/it-jobs/' || id AS url, crawled_at, CAST(NULL AS VARCHAR) AS parse_error FROM jobs_raw WHERE source = 'itviec'""")
+def h2_itviec(spark, sf):
+    return board_records(spark, sf, "itviec", ITVIEC_PAGE)
+
+
+@query("h2_linkedin_records", JOBS + f"""SELECT 'linkedin_' || id AS id, {squeezed('title')} AS title, {squeezed('company')} AS company,
+  {squeezed('location')} AS location, '' AS salary,
+  trim(concat_ws(' ', {squeezed('description')}, {squeezed('requirements')})) AS description, '' AS requirements, '' AS experience,
+  '' AS tags, 'linkedin' AS source, 'https://www.linkedin.com/jobs/view/' || id AS url, crawled_at,
+  CAST(NULL AS VARCHAR) AS parse_error FROM jobs_raw WHERE source = 'linkedin'""")
+def h2_linkedin(spark, sf):
+    return board_records(spark, sf, "linkedin", LINKEDIN_PAGE)
+
+
 @query("h3_label_sections", JOBS + f"""SELECT id AS page_id, {squeezed('salary')} AS salary, {squeezed('location')} AS location,
   '' AS absent FROM jobs_raw WHERE source = 'topcv'""")
 def h3(spark, sf):
@@ -396,6 +432,18 @@ def s7(spark, sf):
     return clean.groupBy("location_clean").agg(F.count("*").alias("jobs"))
 
 
+@query("s7_incremental", JOBS + """SELECT id, CASE WHEN order_key % 5 = 0 THEN upper(title) ELSE title END AS title, crawled_at
+  FROM jobs_raw WHERE order_key % 3 = 0 OR order_key % 5 = 0""")
+def s7_incremental(spark, sf):
+    """A table built from one part of the postings, then brought up to date by an overlapping one."""
+    path = scratch_dir(spark, "incremental-jobs")
+    jobs = jobs_raw(spark, sf)
+    first = jobs.filter("order_key % 3 = 0").select("id", "title", "crawled_at")
+    second = jobs.filter("order_key % 5 = 0").select("id", F.upper("title").alias("title"), "crawled_at")
+    tables.materialize(first, "jobs", "incremental", path, key=["id"])
+    return tables.materialize(second, "jobs", "incremental", path, key=["id"])
+
+
 @query("s8_flat_export", JOBS + "SELECT id, title, company, salary FROM jobs_raw WHERE coalesce(title, '') <> '' AND coalesce(company, '') <> '' AND coalesce(salary, '') <> ''")
 def s8(spark, sf):
     rows = pages.require(jobs_raw(spark, sf), ["title", "company", "salary"])

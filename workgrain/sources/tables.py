@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import state
 from ..schemas import POSTING_COLUMNS
 
 # A catalog is a folder of parquet tables or a set of JDBC options.
@@ -41,13 +44,32 @@ def as_raw_jobs(rows: DataFrame) -> DataFrame:
     return rows.select(*POSTING_COLUMNS)
 
 
-def materialize(rows: DataFrame, name: str, mode: str = "table", path: str | None = None) -> DataFrame:
-    """``view`` names a plan, ``table`` writes it out in full and reads it back."""
+def materialize(
+    rows: DataFrame, name: str, mode: str = "table", path: str | None = None,
+    key: Sequence[str] = (), order: Sequence[str] | None = None,
+) -> DataFrame:
+    """``view`` names a plan, ``table`` writes it out in full and reads it back.
+
+    ``incremental`` keeps a versioned table at ``path``: the first call writes the
+    rows, each later one merges its rows into it by ``key`` (a repeated key counts
+    by ``order``); without a key the rows are added.
+    """
     if mode == "view":
         rows.createOrReplaceTempView(name)
         return rows
+    if mode == "incremental":
+        if path is None:
+            raise ValueError("an incremental table needs a path")
+        spark = rows.sparkSession
+        fresh = state.one_per_key(rows, key, order) if key else rows
+        if state.versions(spark, path):
+            before = state.current(spark, path)
+            taken = {c: lambda old, new: new for c in before.columns if c not in key}
+            fresh = state.merge(before, rows, key, taken, order) if key else before.unionByName(rows)
+        state.commit(fresh, path)
+        return state.current(spark, path)
     if mode != "table":
-        raise ValueError(f"unknown materialisation {mode!r}; incremental tables use operators.state")
+        raise ValueError(f"unknown materialisation {mode!r}")
     if path is None:
         rows.write.mode("overwrite").saveAsTable(name)
         return rows.sparkSession.table(name)
