@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import contains_any, trim_blanks
 
-YEARS = "(năm|years?)"
-DASHES = "(-|–|đến|to)"
+# Cue patterns of experience texts.
+SPAN = r"(?iu)(\d+\s*(-|–|đến|to)\s*\d+\+?)\s*(năm|years?)"
+HAS_PLUS = r"(?iu)\d+\s*\+\s*(năm|years|year?)"
+PLUS = r"(?iu)(\d+\s*\+)\s*(năm|years?)"
+BELOW = r"(?iu)(dưới|below|less than)\s*(\d+)\s*(năm|years?)"
+LEAST = r"(?iu)(tối thiểu|ít nhất|trên|at least|minimum)\s*(\d+)\s*(năm|years?)"
+SINGLE = r"(?iu)(\d+)\s*(năm|years?)"
 
 
 def education_level(c: Column) -> Column:
@@ -48,18 +53,12 @@ def _group(c: Column, pattern: str, group: int) -> Column:
 
 def experience_phrase(c: Column) -> Column:
     """``a - b``, ``n+``, ``n-`` (below n), ``n+`` (at least n), ``n`` or ``Unknown``."""
-    below = rf"(?iu)(dưới|below|less than)\s*(\d+)\s*{YEARS}"
-    least = rf"(?iu)(tối thiểu|ít nhất|trên|at least|minimum)\s*(\d+)\s*{YEARS}"
-    span = rf"(?iu)(\d+\s*{DASHES}\s*\d+\+?)\s*{YEARS}"
     return (
-        F.when(c.rlike(span), _group(c, span, 1))
-        .when(
-            c.rlike(r"(?iu)\d+\s*\+\s*(năm|years|year?)"),
-            _group(c, rf"(?iu)(\d+\s*\+)\s*{YEARS}", 1),
-        )
-        .when(c.rlike(below), F.concat(_group(c, below, 2), F.lit("-")))
-        .when(c.rlike(least), F.concat(_group(c, least, 2), F.lit("+")))
-        .when(c.rlike(rf"(?iu)\d+\s*{YEARS}"), _group(c, rf"(?iu)(\d+)\s*{YEARS}", 1))
+        F.when(c.rlike(SPAN), _group(c, SPAN, 1))
+        .when(c.rlike(HAS_PLUS), _group(c, PLUS, 1))
+        .when(c.rlike(BELOW), F.concat(_group(c, BELOW, 2), F.lit("-")))
+        .when(c.rlike(LEAST), F.concat(_group(c, LEAST, 2), F.lit("+")))
+        .when(c.rlike(SINGLE), _group(c, SINGLE, 1))
         .otherwise(F.lit("Unknown"))
     )
 

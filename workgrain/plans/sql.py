@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions import salary as pay
-from ..functions.experience import YEARS
 from ..functions.skills import ANYWHERE, SKILLS
 from ..sources.seeds import CATEGORY_PATTERNS, CITY_PATTERNS
 from .fixtures import ALERTS_SQL, AUDIT_SQL, JOBS_SQL
@@ -89,13 +88,15 @@ def education(col: str) -> str:
 
 
 def phrase(col: str) -> str:
-    span = rf"(?i)((\d+)\s*(-|–|đến|to)\s*(\d+\+?))\s*{YEARS}"
-    below = rf"(?i)(dưới|below|less than)\s*(\d+)\s*{YEARS}"
-    least = rf"(?i)(tối thiểu|ít nhất|trên|at least|minimum)\s*(\d+)\s*{YEARS}"
-    single = rf"(?i)(\d+)\s*{YEARS}"
+    # Cue patterns of experience texts.
+    span = r"(?i)((\d+)\s*(-|–|đến|to)\s*(\d+\+?))\s*(năm|years?)"
+    plus = r"(?i)((\d+)\s*\+)\s*(năm|years?)"
+    below = r"(?i)(dưới|below|less than)\s*(\d+)\s*(năm|years?)"
+    least = r"(?i)(tối thiểu|ít nhất|trên|at least|minimum)\s*(\d+)\s*(năm|years?)"
+    single = r"(?i)(\d+)\s*(năm|years?)"
     return case(
         (re_(col, span), group(col, span, 1)),
-        (re_(col, r"(?i)\d+\s*\+\s*(năm|years|year?)"), group(col, rf"(?i)((\d+)\s*\+)\s*{YEARS}", 1)),
+        (re_(col, r"(?i)\d+\s*\+\s*(năm|years|year?)"), group(col, plus, 1)),
         (re_(col, below), group(col, below, 2) + " || '-'"),
         (re_(col, least), group(col, least, 2) + " || '+'"),
         (re_(col, single), group(col, single, 1)),
