@@ -21,6 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MARK = "▁"
 CHARACTERS_AT_ONCE = 1 << 21
@@ -209,23 +210,18 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(text: Column, path: str) -> Column:
-    """Ids of a text as the model gives them; null for a null text, no ids for an empty one."""
-
-    @F.arrow_udf("array<int>")
-    def encode(batch: pa.Array) -> pa.Array:
-        pieces, out, held, size = load(path), [], [], 0
-        for i, text in enumerate(batch):
-            held.append(text.as_py() or "")
-            size += len(held[-1])
-            if size >= CHARACTERS_AT_ONCE or i + 1 == len(batch):
-                out += pieces.encode_texts(held)
-                held, size = [], 0
-        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        flat = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=batch.is_null())
-
-    return encode(text)
+def encode_batch(texts: pa.Array, path: str) -> pa.Array:
+    """Ids of texts as the model gives them; null for a null text, no ids for an empty one."""
+    pieces, out, held, size = load(path), [], [], 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= CHARACTERS_AT_ONCE or i + 1 == len(texts):
+            out += pieces.encode_texts(held)
+            held, size = [], 0
+    ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+    flat = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=texts.is_null())
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -240,9 +236,18 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Every row with ``ids``; a column of that name is replaced. Repeated rows stay."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
-    return docs.select(*kept, encoded(F.col(text_col), path or default_model()).alias("ids"))
+    """Every row with ``ids``; a column of that name is replaced. Repeated rows stay.
+
+    Rows pass through the tasks whole: a column expression would be computed again for each use of ``ids``.
+    """
+    kept, path = docs.drop("ids"), path or default_model()
+
+    def run(batches):
+        for batch in batches:
+            ids = encode_batch(batch.column(text_col), path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode_documents(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
