@@ -28,6 +28,11 @@ SPECIAL = "<|endoftext|>"
 PIECES_PER_BATCH = 4096
 
 
+@lru_cache(maxsize=2)
+def special_reader(json_path: str) -> Tokenizer:
+    return Tokenizer.from_file(json_path)
+
+
 @lru_cache(maxsize=4)
 def encoder(json_path: str, ranks_path: str):
     """text → ids of ``tokenizers`` with the json file.
@@ -38,11 +43,10 @@ def encoder(json_path: str, ranks_path: str):
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(json_path)
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(special_reader(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
     return encode
