@@ -19,13 +19,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MARK = "▁"
-CHARACTERS_AT_ONCE = 1 << 21
-WORDS_KEPT = 300_000
+CHARACTERS_AT_ONCE = 1 << 20
+WORDS_KEPT = 150_000
 LONGEST_KEPT = 48
 NEVER = float("-inf")
 
@@ -224,15 +224,17 @@ def encode_batch(texts: pa.Array, path: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), flat, mask=texts.is_null())
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """Text of ids; null for null."""
+def decode_batch(ids: pa.Array, path: str) -> pa.Array:
+    """Texts of ids; null for null."""
+    pieces = load(path)
+    return pa.array([pieces.decode(i.values.to_numpy()) if i.is_valid else None for i in ids], pa.string())
 
-    @F.arrow_udf("string")
-    def decode(batch: pa.Array) -> pa.Array:
-        pieces = load(path)
-        return pa.array([None if not i.is_valid else pieces.decode(i.values.to_numpy()) for i in batch], pa.string())
 
-    return decode(ids)
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into smaller ones, so that a task holds little more than one at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -243,7 +245,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     kept, path = docs.drop("ids"), path or default_model()
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = encode_batch(batch.column(text_col), path)
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
@@ -252,5 +254,10 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
 
 def decode_documents(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """Every row with ``decoded``; a column of that name is replaced."""
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != "decoded"]
-    return rows.select(*kept, decoded(F.col(ids_col), path or default_model()).alias("decoded"))
+    kept, path = [F.col(f"`{c}`") for c in rows.columns if c != "decoded"], path or default_model()
+
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        return decode_batch(ids, path)
+
+    return rows.select(*kept, decode(F.col(ids_col)).alias("decoded"))

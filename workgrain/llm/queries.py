@@ -57,16 +57,23 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_sentencepiece")
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document and whether their text is the document's again."""
-
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(i.values.to_numpy().astype("<u4").tobytes()) if i.is_valid else None for i in ids], pa.int64())
+    """Number and checksum of every document's ids, and whether they give its text again."""
+    path = pieces.default_model()
+
+    def digest(batches):
+        for batch in pieces.parts(batches):
+            texts = batch.column("text")
+            ids = pieces.encode_batch(texts, path)
+            again = pieces.decode_batch(ids, path)
+            crc = [zlib.crc32(i.values.to_numpy().astype("<u4").tobytes()) if i.is_valid else None for i in ids]
+            same = [a == b for a, b in zip(texts.to_pylist(), again.to_pylist(), strict=True)]
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "n_ids": pa.array(ids.value_lengths(), pa.int64()),
+                "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode_documents(pieces.encode_documents(docs))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(digest, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
 
 
 @query("op6_best_fit_packing")
