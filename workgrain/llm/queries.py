@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..session import scratch_dir
 from . import codes, counts, jaccard, language, licenses, packing, pieces, quality, topk, urls
-from .shared import id_remainder
+from .shared import id_remainder, may_be_in, sketch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,14 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = counts.TokenRollup(spark, scratch_dir(spark, "token-rollup"))
     inserts = docs.select("*", F.lit("upsert").alias("op"), F.lit(0).alias("seq"))
     rollup.apply(1, inserts)
-    named = docs.join(labels, "doc_id")
-    deletes = named.where("toxic = 1").select(*docs.columns, F.lit("delete").alias("op"), F.lit(1).alias("seq"))
-    cleaned = named.where("quality = 0").withColumn("text", F.regexp_replace("text", r"[|$%&#*!]+", ""))
+    none = F.lit(None).cast("string")
+    deletes = labels.where("toxic = 1").select(
+        "doc_id", none.alias("text"), none.alias("source"), none.alias("lang"), F.lit("delete").alias("op"), F.lit(1).alias("seq"))
+    bad = labels.where("quality = 0 AND toxic = 0").select("doc_id")
+    some = docs.where(may_be_in(F.xxhash64("doc_id"), sketch(bad.select(F.xxhash64("doc_id")))))
+    cleaned = some.join(bad, "doc_id").withColumn("text", F.regexp_replace("text", r"[|$%&#*!]+", ""))
     rollup.apply(2, deletes)
-    rollup.apply(3, cleaned.where("toxic = 0").select(*docs.columns, F.lit("upsert").alias("op"), F.lit(2).alias("seq")))
+    rollup.apply(3, cleaned.select(*docs.columns, F.lit("upsert").alias("op"), F.lit(2).alias("seq")))
     rollup.apply(1, inserts)
     return rollup.totals()
 
