@@ -109,6 +109,42 @@ def test_licenses_by_hand(spark, messy, no_documents):
         licenses.label_documents(no_documents, phrases={"mit": "mit"})
 
 
+def edited_notices():
+    """(notice, edited words, words still covered): every insertion and every deletion of one word."""
+    for notice, label in licenses.NOTICES.items():
+        own = notice.split()
+        for at in range(len(own) + 1):
+            yield label, own[:at] + ["zzz"] + own[at:], len(own) - (at in (1, len(own) - 1))
+        for at in range(len(own)):
+            outer = at in (1, len(own) - 2)  # the word outside it has no neighbour left
+            yield label, own[:at] + own[at + 1 :], len(own) - 1 - outer
+
+
+def test_licenses_with_one_word_changed(spark):
+    size = {label: len(notice.split()) for notice, label in licenses.NOTICES.items()}
+    cases = [(i, *case) for i, case in enumerate(edited_notices())]
+    docs = spark.createDataFrame([(i, "xx yy " + " ".join(words) + " ww") for i, _, words, _ in cases], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.label_documents(docs).collect()}
+    lost = [(label, " ".join(words)) for i, label, words, held in cases
+            if held / size[label] >= licenses.COVERED and label not in got[i]]
+    assert not lost
+    assert sum(held / size[label] < licenses.COVERED for _, label, _, held in cases) < 20
+
+
+def test_license_spans(spark):
+    apache, mit = list(licenses.NOTICES)[1], "released under the mit license"
+    own = apache.split()
+    docs = spark.createDataFrame([
+        (1, apache + " " + apache), (2, mit + " mit license"), (3, " ".join(own[:9] + ["zzz"] + own[9:])),
+        (4, "the license " * 2000), (5, " ".join(w + " zzz" for w in own)),
+    ], "doc_id long, text string")
+    spans = licenses.scan(docs, phrases={}).where("label IS NOT NULL").collect()
+    got = sorted((r.doc_id, r.label, r.start, r.words, r.covered) for r in spans)
+    n = len(own)
+    assert got == [(1, "apache-notice", 0, n, 1.0), (1, "apache-notice", n, n, 1.0), (2, "mit-line", 0, 5, 1.0),
+                   (3, "apache-notice", 0, n + 1, 1.0)]
+
+
 ODD = ["", " ", "   ", "\n", "\n\n a", "a  b   c\n\td", "  lead", "é ﬁ é 🤗  z", "<s> <0x0A> </s>", "a" * 3000, "=====----- ++",
        "\x00​　x", "日本語テキスト 東京", "don't 12345678 3.14", "▁x▁▁y"]
 

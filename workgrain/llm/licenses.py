@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Mapping
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ NEIGHBOUR = 2
 COVERED = 0.8
 STRETCH = 1.25
 ROWS = 1 << 17
+SPANS = "array<struct<start: long, words: long, held: long>>"
 
 _WORD = set(range(0x80, 0x100)) | set((string.digits + string.ascii_letters).encode())
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD else 32 for b in range(256))
@@ -106,14 +108,55 @@ def votes(docs: DataFrame, templates: DataFrame, gram: int) -> DataFrame:
         .agg(F.collect_set("at").alias("agree")))
 
 
+def spans_of(parts: list[dict], size: int, gram: int) -> list[dict]:
+    """Spans of one template, not overlapping in the text, from the diagonals of one stretch of a text.
+
+    Runs of agreeing positions are chained in the order of text and template, each at most ``NEIGHBOUR`` beside
+    the one before, whatever stands between them; a word of text or template counts once. Of the chains within
+    ``STRETCH`` times the template, those that hold the most words come first, then the shortest.
+    """
+    runs = []
+    for part in parts:
+        offset, agree = part["diagonal"], sorted(part["agree"])
+        cuts = [0, *(i for i in range(1, len(agree)) if agree[i] > agree[i - 1] + 1), len(agree)]
+        runs += [(offset + agree[i], agree[i], agree[j - 1] + gram - agree[i], offset) for i, j in pairwise(cuts)]
+    runs.sort()
+    most, chains, seen = int(STRETCH * size), [], {}
+    for start, at, words, offset in runs:
+        held = {start: words}
+        for beside in range(offset - NEIGHBOUR, offset + NEIGHBOUR + 1):
+            for other, other_at, other_words, other_held in seen.get(beside, ()):
+                if other >= start or other_at >= at:
+                    continue
+                gain = words - max(0, other + other_words - start, other_at + other_words - at)
+                if gain > 0:
+                    for first, n in other_held.items():
+                        if start + words - first <= most:
+                            held[first] = max(held.get(first, 0), n + gain)
+        best, kept = 0, {}
+        for first in sorted(held, reverse=True):  # an earlier start is worth keeping only with more words
+            if held[first] > best:
+                best = kept[first] = held[first]
+        seen.setdefault(offset, []).append((start, at, words, kept))
+        chains += [(-n, start + words - first, first) for first, n in kept.items()]
+    out, taken = [], set()
+    for n, words, first in sorted(chains):
+        if taken.isdisjoint(range(first, first + words)):
+            taken.update(range(first, first + words))
+            out.append({"start": first, "words": words, "held": -n})
+    return out
+
+
 def scan(docs: DataFrame, phrases: Mapping[str, str] = BASE_PHRASES, notices: Mapping[str, str] = NOTICES,
          id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """Verified spans: doc_id, text_hash, template, label, base, start, words, covered.
 
     A base phrase is a span where every n-gram of the phrase agrees on one diagonal. For a notice, diagonals of
     one text less than ``NEIGHBOUR`` + 1 apart (a word inserted or left out moves the offset by one) are merged
-    as long as their spans touch; the merged span counts if it covers at least ``COVERED`` of the notice's
-    words within ``STRETCH`` times its length. Rows below that keep ``label`` null and only their cover.
+    by ``spans_of`` as long as their spans touch; diagonals of other offsets in between (words that the notice
+    repeats) do not part them. The merged span counts if it covers at least ``COVERED`` of the notice's
+    words within ``STRETCH`` times its length. Rows below that keep ``label`` null and only their cover. A word
+    is covered with its neighbour only: a change next to a notice's outer word leaves that word uncovered too.
     The templates are a parameter and are broadcast: their size does not depend on the documents. A
     repeated row (id and text) has one set of spans.
     """
@@ -132,16 +175,28 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = BASE_PHRASES, notices: Ma
     last = F.col("diagonal") + F.array_max("agree") + (gram - 1)
     loose = found.where("NOT base").select("*", first.alias("first"), last.alias("last"))
     each = Window.partitionBy("doc_id", "text_hash", "template").orderBy("first", "last", "diagonal")
-    before = F.lag("diagonal").over(each)
     reach = F.max("last").over(each.rowsBetween(Window.unboundedPreceding, -1))
-    new = before.isNull() | (F.abs(F.col("diagonal") - before) > NEIGHBOUR) | (F.col("first") > reach + NEIGHBOUR + 1)
-    merged = (
-        loose.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("span", F.sum("new").over(each))
-        .groupBy("doc_id", "text_hash", "template", "label", "base", "size", "span")
+    new = reach.isNull() | (F.col("first") > reach + NEIGHBOUR + 1)
+    stretches = (
+        loose.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("stretch", F.sum("new").over(each))
+        .groupBy("doc_id", "text_hash", "template", "label", "base", "size", "stretch")
         .agg(F.min("first").alias("start"), (F.max("last") - F.min("first") + 1).alias("words"),
-             F.array_distinct(F.flatten(F.collect_list("agree"))).alias("agree")))
-    held = F.array_distinct(F.flatten(F.transform("agree", lambda a: F.sequence(a, a + (gram - 1)))))
-    share = F.size(held) / F.col("size")
+             F.collect_list(F.struct("diagonal", "agree")).alias("parts")))
+
+    @F.arrow_udf(SPANS)
+    def chained(parts: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array([p and spans_of(p, n, gram) for p, n in zip(parts.to_pylist(), sizes.to_pylist(), strict=True)],
+                        pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "held")])))
+
+    agree = F.col("parts")[0]["agree"]
+    held = F.size(F.array_distinct(F.flatten(F.transform(agree, lambda a: F.sequence(a, a + (gram - 1)))))).cast("long")
+    alone = F.array(F.struct("start", "words", held.alias("held")))
+    several = F.when(F.size("parts") > 1, F.col("parts"))
+    merged = (
+        stretches.withColumn("several", chained(several, F.col("size")))
+        .withColumn("span", F.explode(F.coalesce("several", alone)))
+        .select("doc_id", "text_hash", "template", "label", "base", "size", "span.*"))
+    share = F.col("held") / F.col("size")
     whole = (share >= COVERED) & (F.col("words") <= STRETCH * F.col("size"))
     spans = merged.select("doc_id", "text_hash", "template", F.when(whole, F.col("label")).alias("label"), "base", "start",
                           "words", share.alias("covered"))
