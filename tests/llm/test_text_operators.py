@@ -73,6 +73,17 @@ def test_quality_odd_rows(spark, messy, no_documents):
     assert quality.score(no_documents, quality.train(no_documents, labels)).count() == 0
 
 
+def test_quality_of_repeated_texts(spark):
+    assert quality.own_lines([(0, b"a\nb"), (0, b"a\nc"), (1, b"d")]) == {0: [b"b", b"c"], 1: [b"d"]}
+    assert quality.own_lines([(0, b"a\nx"), (0, b"a\nx"), (1, b"x\nd")]) == {0: [b"a"], 1: [b"d"]}
+    assert quality.own_lines([(0, b"a\nb"), (1, b"a"), (1, b"a")]) == {0: [b"b"], 1: [b"a"]}
+    good = "a label that one text makes up is learned from that text, whose lines all its copies share"
+    rows = [(i, good, 1) for i in range(40)] + [(i, f"$$ {i * 7919} || {i * 104729} %% buy {i}", 0) for i in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = quality.score(docs, quality.train(docs, docs.select("doc_id", "quality"))).collect()
+    assert min(r.score for r in out if r.quality == 1) > max(r.score for r in out if r.quality == 0)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,14 +41,23 @@ def build_dictionary(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
-def own_lines(sample: Iterable[tuple[int, bytes]]) -> dict[int, list[bytes]]:
-    """Texts by label without the lines that several sampled texts share: copied passages say nothing of quality."""
+def own_lines(sample: list[tuple[int, bytes]]) -> dict[int, list[bytes]]:
+    """Texts by label without the lines that several sampled texts share: copied passages say nothing of quality.
+
+    A label that would be left without lines keeps each line of its own once, and if the other label
+    has all of them too, its texts whole, each once.
+    """
     cut = [(y, t.split(b"\n")) for y, t in sample]
     seen = Counter(line for _, lines in cut for line in set(lines))
     out: dict[int, list[bytes]] = {0: [], 1: []}
     for y, lines in cut:
         if text := b"\n".join(line for line in lines if seen[line] == 1):
             out[y].append(text)
+    for label in out:
+        if not out[label]:
+            others = {line for y, lines in cut if y != label for line in lines}
+            own = dict.fromkeys(line for y, lines in cut if y == label for line in lines if line and line not in others)
+            out[label] = list(own) or list(dict.fromkeys(t for y, t in sample if y == label))
     return out
 
 
@@ -113,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     parameters and is broadcast: no text is shuffled. Of a dictionary text, ``piece_bytes`` spread over the
     whole text at most are used, so the driver's share is bounded too: 2 * per_class * piece_bytes. Labels
     that are null or neither 0 nor 1, and labels of a null or empty text, teach nothing; a key with
-    several labels teaches each. Without texts of both labels every score is the share of label 1 (0.5
+    several labels teaches each. Lines that several dictionary texts share are left out (``own_lines``), unless
+    a label has no others. Without texts of both labels every score is the share of label 1 (0.5
     without labels).
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(
