@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Fixed values: (verdict, host, path) rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Hand-labelled urls, 1 to block and 0 to allow.
+#: Hand-labelled urls, 1 to block and 0 to allow, written around the names of the given pages (see README).
 LABELLED = tuple((1, u) for u in (
     "https://casino-win.example/play", "http://www.casino-royal.test/slots", "https://best-casino.test/bonus",
     "https://online-casino.example/en/1", "http://m.casino-win.test/en/22.html", "https://blog.casino-city.test/en/771",
