@@ -62,6 +62,18 @@ def test_jaccard_equals_brute_force(spark, words, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, words, num, 100)
 
 
+@pytest.mark.parametrize("words,num,block", [(4, 85, 2048), (2, 60, 3)])
+def test_jaccard_link_counts(spark, monkeypatch, words, num, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = edited(words)
+    rows += [rows[0], rows[20], (None, rows[0][1]), (None, None), (5000, rows[0][1])]
+    sets = [shingles(t, words) for _, t in rows]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= num * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard.link_counts(spark.createDataFrame(rows, "doc_id long, text string"), words=words, num=num).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), n) for (i, _), n in zip(rows, want))
+    assert max(want) > 3
+
+
 def test_jaccard_tables(spark, small):
     rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
     got = jaccard.jaccard_components(small).collect()

@@ -324,7 +324,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     into blocks. First come LIKELIEST_ROUNDS rounds that try, in each block, only pairs that would join its
     components, likeliest first; then, in tiles that still hold several components, every pair from different
     components that passes the bitmap bound is compared. So large groups of near copies are joined by about
-    as many comparisons as they have members, and no link between components is missed.
+    as many comparisons as they have members, and no link between components is missed. Links inside a component are
+    not all found: ``link_counts`` has their number.
     """
     if 2 * num < den:
         raise ValueError("tiles are selective for a similarity of one half or more only")
@@ -360,6 +361,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                           & (F.col("text_hash") == F.col("leader.text_hash")))).alias("representative")))
 
 
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85,
+                den: int = 100) -> DataFrame:
+    """Per row: doc_id, text_hash, n_links: the number of other rows that it links with, by the rule of the components.
+
+    Every pair of different sets that the bitmap bound lets through is compared, once however many tiles it shares;
+    rows with equal sets link with each other, and each occurrence of a repeated row counts. The pairs of a group
+    grow with the square of its distinct sets, unlike the comparisons that the components need.
+    """
+    if 2 * num < den:
+        raise ValueError("tiles are selective for a similarity of one half or more only")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
+                       F.col(text_col).alias("text"))
+    features = stored(_features(rows, words, num, den), "jaccard-sets")
+    nodes = stored(
+        features.where("n > 0").groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"),
+            F.count("*").alias("times")), "jaccard-nodes")
+    tiles = stored(_tiles(features), "jaccard-tiles")
+    sets = stored(_sets(rows, nodes, tiles, words), "jaccard-members")
+    pairs = stored(_unsettled(tiles, None, sets, num, den, True).select("a", "b").distinct(), "jaccard-pairs")
+    links = stored(_checked(pairs, sets, num, den), "jaccard-links")
+    both = links.select(F.col("a").alias("own"), F.col("b").alias("node")).union(links.select("b", "a"))
+    others = both.join(nodes.select("node", "times"), "node").groupBy(F.col("own").alias("node")).agg(F.sum("times").alias("others"))
+    counted = nodes.join(others, "node", "left").select(
+        "node", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return features.select("doc_id", "text_hash", "n", "node").join(counted, "node", "left").select(
+        "doc_id", "text_hash", F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
