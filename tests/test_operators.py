@@ -263,3 +263,17 @@ def test_seed_from_file(spark, tmp_path):
     path = tmp_path / "map.csv"
     path.write_text("pattern,target_job_category\n(?i)\\bba\\b,Data Analyst\n", encoding="utf-8")
     assert rows_of(seeds.load_seed(spark, "job_category_mapping", str(path))) == [("(?i)\\bba\\b", "Data Analyst")]
+
+
+def test_cleaned_markup_and_its_errors(spark):
+    markup = {
+        1: '<article><p onclick="x()">a &amp; b<br></p><script>bad()</script><a href="javascript:x" title="t">l</a></article>',
+        2: '<a href="http://[x">broken</a>', 3: None, 4: '<ul><li>one<li>two</ul><a href="https://a.test/?q=1">go</a>',
+    }
+    rows = spark.createDataFrame(list(markup.items()), "id long, html string")
+    got = {r.id: (r.html, r.parse_error) for r in pages.sanitize_html(rows, "html").collect()}
+    extras = 'target="_blank" rel="noopener noreferrer nofollow"'
+    assert got[1] == (f'<p>a &amp; b<br /></p><a title="t" {extras}>l</a>', None)
+    assert got[2][0] is None and got[2][1].startswith("ValueError")
+    assert got[3] == (None, None)
+    assert got[4] == (f'<ul><li>one<li>two</li></li></ul><a href="https://a.test/?q=1" {extras}>go</a>', None)

@@ -517,13 +517,23 @@ def assemble(cards: DataFrame, details: DataFrame, companies: DataFrame) -> Data
 
 
 def sanitize_html(rows: DataFrame, column: str) -> DataFrame:
-    """Cleans the markup of one column; the page helper runs on Arrow batches."""
+    """Cleans the markup of one column; the page helper runs on Arrow batches.
 
-    @F.pandas_udf("string")
-    def clean(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else clean_html(v))
+    Markup that cannot be read becomes null with its ``parse_error`` (such a column is replaced).
+    """
 
-    return rows.withColumn(column, clean(F.col(column)))
+    @F.pandas_udf("markup string, parse_error string")
+    def clean(values: pd.Series) -> pd.DataFrame:
+        done = []
+        for value in values:
+            try:
+                done.append((None if value is None else clean_html(value), None))
+            except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
+                done.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(done, columns=["markup", "parse_error"], dtype=object)
+
+    cleaned = rows.withColumn("__clean", clean(F.col(column)))
+    return cleaned.withColumns({column: F.col("__clean.markup"), "parse_error": F.col("__clean.parse_error")}).drop("__clean")
 
 
 def page_id(path: Column) -> Column:
