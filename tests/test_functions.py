@@ -249,3 +249,21 @@ def test_wrong_encoder_fails_the_batch(spark):
 ])
 def test_clean_html(raw, clean):
     assert clean_html(raw) == clean
+
+
+def test_entry_survives_a_missing_package(tmp_path):
+    """Without a package of the optional operators, the other queries are registered and a warning names it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    code = (
+        "import sys, warnings; sys.modules['zstandard'] = None; warnings.simplefilter('always')\n"
+        "import __spark_entry__ as e; q = e.queries(); print(len(q), 'a1_job_category_analysis' in q or 'a1' in str(list(q)))"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[0]) > 150
+    if (root / "workgrain" / "llm").exists():
+        assert "zstandard" in out.stderr

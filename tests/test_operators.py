@@ -3,7 +3,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import SMALL
 from pyspark.sql import functions as F
 
 from workgrain.operators import digest, measures, pages, quality, search, state
@@ -13,6 +12,8 @@ from workgrain.plans.state import target_and_batch
 from workgrain.sources import pages as archive
 from workgrain.sources import seeds, tables
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
@@ -277,3 +278,23 @@ def test_cleaned_markup_and_its_errors(spark):
     assert got[2][0] is None and got[2][1].startswith("ValueError")
     assert got[3] == (None, None)
     assert got[4] == (f'<ul><li>one<li>two</li></li></ul><a href="https://a.test/?q=1" {extras}>go</a>', None)
+
+
+def test_ranks_over_many_equal_values_and_nulls(spark):
+    """A million rows, most of one value: the same numbers as row_number, and no task with most of the rows."""
+    rows = spark.range(1_000_000).select(
+        F.when(F.col("id") % 10 < 8, F.lit(5)).when(F.col("id") % 10 == 8, F.col("id")).alias("n"),
+        F.when(F.col("id") % 1000 != 1, F.md5(F.col("id").cast("string"))).alias("key"), "id")
+    ranked = measures.global_rank(rows, "n", "key", "rank")
+    numbers = ranked.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+    assert tuple(numbers) == (1_000_000, 1, 1_000_000)
+    # Rows without a key come behind all others of their value, so numbers inside a value agree with the window's.
+    behind = ranked.groupBy("n").agg(
+        F.max(F.when(F.col("key").isNotNull(), F.col("rank"))).alias("last"),
+        F.min(F.when(F.col("key").isNull(), F.col("rank"))).alias("first")).where("last > first")
+    assert behind.count() == 0
+    plain = rows.selectExpr("id", "n", "key", "row_number() OVER (ORDER BY n DESC NULLS LAST, key ASC NULLS LAST) AS expected")
+    assert ranked.join(plain, "id").where(ranked["key"].isNotNull() & (F.col("rank") != F.col("expected"))).count() == 0
+    plan = ranked._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    assert measures.global_rank(rows.limit(0), "n", "key", "rank").count() == 0

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 SALARY = "salary_avg_million"
 
 
@@ -92,29 +94,5 @@ def with_total(groups: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def global_rank(rows: DataFrame, measure: str, ident: str, rank: str) -> DataFrame:
-    """``row_number`` over all rows by falling measure, then id, without one big task.
-
-    Rows are cut into cells by measure value and the first two characters of the
-    id (a hash in hex, so evenly spread). Cell sizes are a small table; their
-    running total plus the row number inside a cell is the global rank. Rows
-    without an id come last among equal measures.
-    """
-    from pyspark.sql import Window
-
-    celled = rows.withColumn("_cell", F.substring(ident, 1, 2))
-    cells = celled.groupBy(measure, "_cell").agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.col(measure).desc_nulls_last(), F.col("_cell").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(
-        F.col(measure).alias("_measure"),
-        F.col("_cell").alias("_start_cell"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy(measure, "_cell").orderBy(ident)
-    numbered = celled.withColumn("_row", F.row_number().over(inside))
-    joined = numbered.join(
-        starts,
-        F.col(measure).eqNullSafe(F.col("_measure")) & F.col("_cell").eqNullSafe(F.col("_start_cell")),
-    )
-    ranked = joined.withColumn(rank, F.col("_start") + F.col("_row"))
-    return ranked.drop("_cell", "_row", "_start", "_measure", "_start_cell")
+    """``row_number`` over all rows by falling measure, then id; rows without an id come last among equal measures."""
+    return numbered(rows, [F.col(measure).desc_nulls_last(), F.col(ident).asc_nulls_last()], rank)
