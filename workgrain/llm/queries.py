@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..session import scratch_dir
-from . import codes, counts, jaccard, language, licenses, packing, pieces, quality, topk, urls
+from . import codes, counts, jaccard, language, licenses, main_text, packing, pieces, quality, resampling, topk, urls, vafile
 from .shared import id_remainder, may_be_in, sketch
 
 
@@ -107,3 +107,19 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.default_model(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_importance_resampling", resampling.ORACLE)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                               longest=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+
+
+@query("op12_centroid_clustering", vafile.oracle())
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024.0, seed=3)
+
+
+@query("op13_html_extraction", main_text.ORACLE)
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
