@@ -71,15 +71,6 @@ def fixtures_dir(spark):
     return scratch_dir(spark, "test")
 
 
-def test_versions_ignore_unfinished_writes(spark, tmp_path):
-    root = f"{tmp_path}/table"
-    rows = spark.range(3)
-    assert state.commit(rows, root) == 0
-    (tmp_path / "table" / "v=1").mkdir()
-    assert state.versions(spark, root) == [0] and state.current(spark, root).count() == 3
-    assert state.commit(rows.limit(1), root) == 1 and state.current(spark, root).count() == 1
-
-
 def test_global_rank_equals_row_number(spark):
     rows = spark.range(500).select((F.col("id") % 7).alias("n"), F.md5(F.col("id").cast("string")).alias("k"))
     got = [r["k"] for r in measures.global_rank(rows, "n", "k", "rank").orderBy("rank").collect()]

@@ -41,11 +41,12 @@ def test_ingest_keeps_late_rows(spark, tmp_path):
     rows = wh.bronze_topcv(stream(spark, path, staging.schema))
     sink = streams.ingest_into(f"{tmp_path}/t", "url", [F.desc("created_at"), "id"])
     streams.run(rows, sink, f"{tmp_path}/c")
-    stored = state.current(spark, f"{tmp_path}/t")
+    table = streams.ingested(spark, f"{tmp_path}/t", "url")
+    stored = table.read()
     assert rows_of(stored.select("id", "title")) == rows_of(wh.bronze_topcv(staging).select("id", "title"))
-    assert len(state.versions(spark, f"{tmp_path}/t")) == 3
+    assert len(table.versions()) == 3
     streams.run(rows, sink, f"{tmp_path}/c")
-    assert len(state.versions(spark, f"{tmp_path}/t")) == 3
+    assert len(table.versions()) == 3
 
 
 @pytest.mark.parametrize("order", [None, "at", "-at"])

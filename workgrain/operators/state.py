@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_at, last_segment
@@ -28,13 +28,13 @@ def one_per_key(
     batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True,
     first_of: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per key: the last (or first) one by ``order``, by default in the order of the input.
+    """One row per key: the last (or first) one by ``order``, by default by the row's values, column by column.
 
-    Columns in ``first_of`` take the key's first value that is not null. Rows with a null key stay as they
+    A table has no order of its own, so a batch in which later rows count must carry a column that says so. Columns in ``first_of`` take the key's first value that is not null. Rows with a null key stay as they
     are: no other row has their key. Rows of a key are reduced per task before the shuffle.
     """
     keys, columns = list(keys), batch.columns
-    sort_by = [F.col(c) for c in order] if order else [F.monotonically_increasing_id()]
+    sort_by = [F.col(c) for c in order or columns]
     placed = batch.withColumn("_order", F.struct(*[o.alias(f"_{i}") for i, o in enumerate(sort_by)]))
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     pick = F.max_by if last else F.min_by
@@ -196,33 +196,3 @@ def ledger_upsert(target: DataFrame, rows: DataFrame, order: Sequence[str] | Non
     cuts = {c: F.substring(c, 1, n) for c, n in LEDGER_CAPS.items() if c in rows.columns}
     refreshed = [c for c in LEDGER_REFRESHED if c in target.columns]
     return merge(target, rows.withColumns(cuts), LEDGER_KEY, {c: _take_new for c in refreshed}, order)
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of a table folder, oldest first."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = []
-    for status in files.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and files.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def commit(rows: DataFrame, root: str, number: int | None = None) -> int:
-    """Writes the next version; readers see it once Spark marks it complete, so a
-    lost executor or driver leaves the previous version in place."""
-    if number is None:
-        done = versions(rows.sparkSession, root)
-        number = done[-1] + 1 if done else 0
-    rows.write.mode("overwrite").parquet(f"{root}/v={number}")
-    return number
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={versions(spark, root)[-1]}")

@@ -426,15 +426,16 @@ def j11(spark, sf):
 @query("u6_delivery_flag", JOBS + """SELECT posted OR (url IS NOT NULL AND order_key % 4 = 0) AS posted_to_discord,
   count(*) AS jobs FROM jobs_raw WHERE source = 'topcv' GROUP BY 1""")
 def u6(spark, sf):
-    """The flag written back as the next table version and read again."""
+    """The flag written back into the keyed table of its source, a commit for each half of the sent urls, and read again."""
     from ..session import scratch_dir
+    from ..sources.keyed import KeyedTable
 
     jobs = jobs_raw(spark, sf)
-    root = scratch_dir(spark, "delivery-flags")
-    state.commit(staging_topcv(jobs), root)
-    sent = jobs.filter("order_key % 4 = 0").select("url")
-    state.commit(state.mark_posted(state.current(spark, root), sent), root)
-    return state.current(spark, root).groupBy("posted_to_discord").agg(F.count("*").alias("jobs"))
+    stored = KeyedTable(spark, scratch_dir(spark, "delivery-flags"), ["url"], buckets=16)
+    stored.apply(staging_topcv(jobs), lambda held, batch: batch)
+    for half in (0, 4):
+        stored.apply(jobs.filter(f"order_key % 8 = {half}").select("url"), state.mark_posted)
+    return stored.read().groupBy("posted_to_discord").agg(F.count("*").alias("jobs"))
 
 
 @query("p11_unposted_rows", JOBS + """SELECT title, url, logo_url AS logo, location, salary FROM jobs_raw

@@ -39,9 +39,7 @@ def t1(spark, sf):
     rows = wh.bronze_topcv(staging_topcv(posting_stream(spark, sf)))
     sink = streams.ingest_into(f"{root}/table", "url", [F.desc("created_at"), "id"])
     streams.run(rows, sink, f"{root}/checkpoint")
-    from ..operators.state import current
-
-    return current(spark, f"{root}/table").select("id", "url", "title", "salary", "created_at")
+    return streams.ingested(spark, f"{root}/table", "url").read().select("id", "url", "title", "salary", "created_at")
 
 
 @query("t2_first_seen_dedup", """SELECT 'https://jobs.example/' || l_orderkey AS url, min(l_shipdate) AS first_seen

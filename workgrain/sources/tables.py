@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..schemas import POSTING_COLUMNS
+from .keyed import KeyedTable
 
 # A catalog is a folder of parquet tables or a set of JDBC options.
 Catalog = str | dict[str, str]
@@ -50,9 +51,9 @@ def materialize(
 ) -> DataFrame:
     """``view`` names a plan, ``table`` writes it out in full and reads it back.
 
-    ``incremental`` keeps a versioned table at ``path``: the first call writes the
-    rows, each later one merges its rows into it by ``key`` (a repeated key counts
-    by ``order``); without a key the rows are added.
+    ``incremental`` keeps a keyed table at ``path``: the first call writes the rows, each later one
+    merges its rows into it by ``key`` (a repeated key counts by ``order``); without a key the rows are added.
+    What is written follows the rows given, not what is stored.
     """
     if mode == "view":
         rows.createOrReplaceTempView(name)
@@ -60,14 +61,19 @@ def materialize(
     if mode == "incremental":
         if path is None:
             raise ValueError("an incremental table needs a path")
-        spark = rows.sparkSession
-        fresh = state.one_per_key(rows, key, order) if key else rows
-        if state.versions(spark, path):
-            before = state.current(spark, path)
-            taken = {c: lambda old, new: new for c in before.columns if c not in key}
-            fresh = state.merge(before, rows, key, taken, order) if key else before.unionByName(rows)
-        state.commit(fresh, path)
-        return state.current(spark, path)
+        if not key:
+            rows.write.mode("append").parquet(path)
+            return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+        def change(held: DataFrame | None, batch: DataFrame) -> DataFrame:
+            if held is None:
+                return state.one_per_key(batch, key, order)
+            taken = {c: lambda old, new: new for c in held.columns if c not in key}
+            return state.merge(held, batch, key, taken, order)
+
+        stored = KeyedTable(rows.sparkSession, path, key)
+        stored.apply(rows, change)
+        return stored.read()
     if mode != "table":
         raise ValueError(f"unknown materialisation {mode!r}")
     if path is None:

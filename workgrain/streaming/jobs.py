@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import digest, state
+from ..sources.keyed import KeyedTable
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -42,27 +43,33 @@ def append_to(path: str) -> BatchSink:
 
 
 def ingest_into(
-    root: str, key: str, order: Sequence[str | Column], keep: Sequence[str] = ("created_at",)
+    root: str, key: str, order: Sequence[str | Column], keep: Sequence[str] = ("created_at",), buckets: int = 16
 ) -> BatchSink:
-    """Keyed upsert of every batch into a versioned table; late rows arrive as well.
+    """Keyed upsert of every batch into a keyed table; late rows arrive as well.
 
-    ``keep`` lists columns whose first value stays.
+    ``keep`` lists columns whose first value stays. A commit notes its batch, so a batch that Spark repeats is
+    not applied twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = state.versions(spark, root)
-        if done and done[-1] >= number:
+        table = ingested(batch.sparkSession, root, key, buckets)
+        if table.version() is not None and table.note() >= number:
             return
-        fresh = state.dedup(batch, key, order)
-        if done:
-            columns = [c for c in batch.columns if c != key and c not in keep]
-            fresh = state.upsert(state.current(spark, root), fresh, key, columns)
-        state.commit(fresh, root, number)
+
+        def change(held: DataFrame | None, rows: DataFrame) -> DataFrame:
+            columns = [c for c in rows.columns if c != key and c not in keep]
+            return rows if held is None else state.upsert(held, rows, key, columns)
+
+        table.apply(state.dedup(batch, key, order), change, note=number)
 
     return write
 
 
+def ingested(spark: SparkSession, root: str, key: str, buckets: int = 16) -> KeyedTable:
+    """The table that ``ingest_into`` keeps."""
+    return KeyedTable(spark, root, [key], buckets)
+
+
 def first_seen_into(path: str, key: str, event_time: str) -> BatchSink:
     """Earliest time per key of every batch, under the batch's number."""
 
@@ -96,22 +103,21 @@ def daily_counts(spark: SparkSession, path: str, group: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("day", group).agg(F.sum("total_jobs").alias("total_jobs"))
 
 
-def digest_stored(spark: SparkSession, root: str, alerts: DataFrame, as_of: Column) -> DataFrame:
+def digest_stored(spark: SparkSession, root: str, alerts: DataFrame, as_of: Column, buckets: int = 16) -> DataFrame:
     """One digest run over all postings landed below ``root``, from every alert's own cursor.
 
     Postings are landed by ``append_to(root + "/postings")``; how they were split into batches
     makes no difference, and matches beyond one mail wait in the stored postings for the next run.
-    Deliveries are written first, the cursor version last. Returns the alerts after the run.
+    Deliveries are written first, then the cursors of the alerts that took part. Returns the alerts after the run.
     """
-    table = f"{root}/alerts"
-    if not state.versions(spark, table):
-        state.commit(alerts, table, 0)
-    number = state.versions(spark, table)[-1] + 1
-    stored = state.current(spark, table)
+    table = KeyedTable(spark, f"{root}/alerts", ["alert_id"], buckets)
+    if table.version() is None:
+        table.apply(alerts, lambda held, batch: batch)
+    stored = table.read()
     result = digest.run_digest(stored, spark.read.parquet(f"{root}/postings").drop("batch"), as_of)
-    result.deliveries.write.mode("overwrite").parquet(f"{root}/deliveries/run={number}")
-    state.commit(digest.apply_cursors(stored, result.cursors), table, number)
-    return state.current(spark, table)
+    result.deliveries.write.mode("overwrite").parquet(f"{root}/deliveries/run={table.version() + 1}")
+    table.apply(result.cursors, digest.apply_cursors)
+    return table.read()
 
 
 def deliver_once(root: str, keys: Sequence[str], order: Sequence[str]) -> BatchSink:
