@@ -2,8 +2,8 @@
 
 Every vector is kept twice: as cell numbers of a few bits per dimension, and in full. A round reads the cells only. For each
 centroid a table has the least and the most that a cell of a dimension can add to the squared distance; their sums over the
-dimensions are an interval that holds the exact distance (less a part that all centroids share). A vector whose nearest interval ends before all others begin is assigned
-by that; only vectors with overlapping intervals, and vectors that change their cluster (their components move from one sum
+dimensions are an interval that holds the exact distance, less the distance to the centroid that the cells' middles suggest. A vector
+for which all other intervals begin above that one's is assigned by the cells alone; only vectors with overlapping intervals, and vectors that change their cluster (their components move from one sum
 to another), are fetched in full by a join on their row number. All arithmetic is on integers, so nothing depends on order.
 """
 
@@ -20,7 +20,7 @@ from .shared import stored
 from .topk import usable
 
 BITS = 6
-SPREAD = 3.0  # inner cell edges lie within so many standard deviations of the mean
+TAIL = 0.005  # share of the components on either side that the two outer cells of a dimension take
 LARGEST = 1 << 26  # beyond it squared distances and their sums would leave 64 bits
 
 
@@ -31,13 +31,16 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def edges_of(vectors: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Cell edges [dimension, cells + 1]: least and greatest component outside, even steps about the mean inside."""
+    """Cell edges [dimension, cells + 1]: least and greatest component outside, even steps between two quantiles inside.
+
+    The quantiles are approximate; they only decide how narrow the cells are, never what a bound holds.
+    """
     sums = vectors.agg(*(e for i in range(width) for e in (
-        F.min(F.col("v")[i]), F.max(F.col("v")[i]), F.avg(F.col("v")[i]), F.stddev_pop(F.col("v")[i])))).first()
+        F.min(F.col("v")[i]), F.max(F.col("v")[i]), F.percentile_approx(F.col("v")[i], [TAIL, 1 - TAIL], 1000)))).first()
     out = np.zeros((width, (1 << bits) + 1), dtype=np.int64)
     for i in range(width):
-        low, high, mean, spread = sums[4 * i : 4 * i + 4]
-        inner = np.floor(mean + spread * SPREAD * np.linspace(-1, 1, (1 << bits) - 1)).astype(np.int64)
+        low, high, (first, last) = sums[3 * i : 3 * i + 3]
+        inner = np.floor(np.linspace(first, last + 1, (1 << bits) - 1)).astype(np.int64)
         out[i] = np.concatenate([[low], np.clip(inner, low, high + 1), [high + 1]])
     return out
 
@@ -59,24 +62,30 @@ def unpacked(codes: pa.Array, width: int, bits: int) -> np.ndarray:
     return np.packbits(np.concatenate([np.zeros((len(codes), width, 8 - bits), np.uint8), wide], axis=2), axis=2)[:, :, 0]
 
 
-def lookup(centroids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lookup(centroids: np.ndarray, edges: np.ndarray, reference: int) -> tuple[np.ndarray, np.ndarray]:
     """(least, most) [centroid, dimension, cell]: what a component of the cell can add to the squared distance.
 
-    The distance to the centroids' middle is taken off everywhere: it is the same for all centroids, so intervals
-    compare as before, and what is left is linear in the component, so it is least and most at the ends of the cell.
+    The distance to a reference centroid is taken off everywhere: intervals compare as before, and what is left is
+    linear in the component, so it is least and most at the ends of the cell.
     """
     low, high = edges[None, :, :-1], np.maximum(edges[None, :, 1:] - 1, edges[None, :, :-1])
-    c, middle = centroids[:, :, None], (centroids.sum(axis=0) // len(centroids))[None, :, None]
-    at_low, at_high = ((x - c) ** 2 - (x - middle) ** 2 for x in (low, high))
+    c, r = centroids[:, :, None], centroids[reference][None, :, None]
+    at_low, at_high = ((x - c) ** 2 - (x - r) ** 2 for x in (low, high))
     return np.minimum(at_low, at_high), np.maximum(at_low, at_high)
 
 
 def intervals(cells: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(least, most) [row, centroid] of the squared distances less the distance to the middle."""
+    """(least, most) [row, centroid] of the squared distances less the one to the reference."""
     dims = np.arange(cells.shape[1])
     return tuple(np.stack([t[dims[None, :], cells].sum(axis=1) for t in table], axis=1) for table in tables)
 
 
+def likely(cells: np.ndarray, centroids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The centroid nearest to the middle of each row's cells."""
+    middle = ((edges[:, :-1] + edges[:, 1:] - 1) // 2)[np.arange(cells.shape[1])[None, :], cells]
+    return nearest(middle, centroids)[0]
+
+
 def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cluster, squared distance) of each row; ties go to the smaller number."""
     d = np.stack([((v - c) ** 2).sum(axis=1) for c in centroids], axis=1)
@@ -150,15 +159,15 @@ def _round(state: DataFrame, full: DataFrame, centroids: np.ndarray, edges: np.n
     k = len(centroids)
 
     def by_cells(batches):
-        tables = lookup(centroids, edges)
+        tables = [lookup(centroids, edges, r) for r in range(k)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            least, most = intervals(unpacked(batch.column("codes"), width, bits), tables)
-            best = most.argmin(axis=1)
-            ends = most[np.arange(len(best)), best]
-            least[np.arange(len(best)), best] = np.iinfo(np.int64).max
-            sure = ends < least.min(axis=1) if k > 1 else np.ones(len(best), dtype=bool)
+            cells = unpacked(batch.column("codes"), width, bits)
+            best, sure = likely(cells, centroids, edges), np.zeros(batch.num_rows, dtype=bool)
+            for r in np.unique(best):  # its own interval is 0 to 0: sure if all others begin above
+                mine = np.flatnonzero(best == r)
+                sure[mine] = (np.delete(intervals(cells[mine], tables[r])[0], r, axis=1) > 0).all(axis=1)
             yield pa.record_batch({
                 "row": batch.column("row"), "codes": batch.column("codes"), "old": batch.column("cluster"),
                 "new": pa.array(best.astype(np.int32), mask=~sure)})
