@@ -200,3 +200,46 @@ def test_codes_bound_and_estimate():
     true = u @ u.T
     assert (true <= estimate + margin + 1e-4).all()
     assert abs((estimate - true)[~np.eye(400, dtype=bool)].mean()) < 0.01
+
+
+def test_sets_that_cannot_link_make_no_tile(spark):
+    """One-shingle sets link with equal ones only, so a table of short texts has no tile, and takes no longer than others."""
+    short = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.lit("b"), F.lit("c"), "id").alias("text"))
+    docs = short.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    features, nodes, seed = jaccard._named(docs, 4)
+    assert nodes.count() == 3000 and seed == 0
+    assert jaccard._tiles(jaccard._keys(docs, nodes, 4, 85, 100, seed)).count() == 0
+    bands = jaccard.Bands(85, 100)
+    sizes = [len(bands.keys(np.arange(n, dtype=np.uint64))) for n in range(1, 9)]
+    assert sizes[:5] == [0] * 5 and sizes[5] == 1 and sizes[6] == 8
+    linked = short.union(short.where("doc_id < 5").select(F.col("doc_id") + 9000, F.upper("text")))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(linked).collect()}
+    assert all(got[9000 + i] == i for i in range(5)) and len(set(got.values())) == 3000
+
+
+def test_two_sets_of_one_name_are_named_anew(spark, monkeypatch):
+    rows = [(1, "one two three four five"), (2, "six seven eight nine ten"), (3, "one two three four five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    seeds = []
+    real = jaccard._features
+
+    def features(d, words, seed):
+        seeds.append(seed)
+        out = real(d, words, seed)
+        return out.withColumn("node", F.lit(7).cast("long")) if seed == 0 else out
+
+    monkeypatch.setattr(jaccard, "_features", features)
+    _, nodes, seed = jaccard._named(docs, 4)
+    assert seeds == [0, 1] and seed == 1 and nodes.count() == 2
+
+
+def test_rows_kept_whatever_their_columns_are_called(spark):
+    names = ("mark", "row", "maybe", "known_id", "nth", "__hash", "__id", "text_hash", "node")
+    df = spark.createDataFrame([(i % 7, f"some words that make a text of their own {i % 5}") for i in range(40)], "doc_id long, text string")
+    df = df.select("*", *(F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names))
+    kept = jaccard.one_of_each(df, words=2, num=99, den=100)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert len({r["text"] for r in rows}) == len(rows) == 5
+    assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)

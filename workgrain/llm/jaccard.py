@@ -5,7 +5,8 @@ most H members (H: the end of its size band). Then they differ in at most k = H(
 by hash into m > k parts, so at least one part is the same in both; documents meet in the tile of that part. A
 part without members says nothing, so m has slack for empty parts, and a set with more empty parts than that is
 dealt again with another seed (and again, until a seed suits it): of two similar sets the one that stops first
-has a filled part that the other one shares. Sets so small that k ≤ 1 meet by their members less one.
+has a filled part that the other one shares. Sets so small that k ≤ 1 meet by their members less one, and only where a
+set and the set without one member are that similar at all: below that size only equal sets link.
 
 In the tiles, bitmaps of hashed members bound the overlap from above; pairs that the bound lets through are
 compared by intersecting sorted arrays. Documents with equal sets are one node from the start.
@@ -56,9 +57,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(run + np.uint64(n * 0x632BE59BD9B4E019 & M64)))
 
 
-def node_of(members: np.ndarray) -> int:
-    """64-bit hash of a whole set, as a signed number."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64))
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def node_of(members: np.ndarray, seed: int = 0) -> int:
+    """64-bit name of a whole set, as a signed number."""
+    return signed(xxhash.xxh3_64_intdigest(members.tobytes(), seed))
 
 
 @dataclass(frozen=True)
@@ -110,9 +115,10 @@ class Bands:
         for number, band in self.of(len(members)) if len(members) else ():
             salt = (number + 1) * 0xD6E8FEB86659FD93 & M64
             if not band.parts:
-                spread = mix(members)
+                n, spread = len(members), mix(members)
                 whole = spread.sum(dtype=np.uint64)
-                out.append(mix(np.append(whole - spread, whole) + np.uint64(salt)))
+                met = [whole - spread] * ((n - 1) * self.den >= self.num * n) + [whole[None]] * (n * self.den >= self.num * (n + 1))
+                out += [mix(m + np.uint64(salt)) for m in met]
                 continue
             for seed in range(MOST_SEEDS):
                 dealt = members if seed == 0 else np.sort(mix(members + np.uint64(seed * MULTIPLIER & M64)))
@@ -163,75 +169,115 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def _features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _features(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """doc_id, text_hash, n, node, check: size and two independent names of every document's set."""
+
     def measure(batches):
+        for batch in batches:
+            told = [(len(m := shingle_set(t.as_py(), words)), node_of(m, 2 * seed), node_of(m, 2 * seed + 1)) for t in batch.column("text")]
+            n, node, check = zip(*told, strict=True) if told else ((), (), ())
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()),
+                "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(measure, f"doc_id {kind}, text_hash long, n long, node long, check long")
+
+
+def _named(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
+    """(features, nodes, seed): every set has a 64-bit name of its own; nodes are the distinct sets.
+
+    Should two different sets have one name, which a second name tells, all are named anew with another seed.
+    """
+    for seed in range(MOST_SEEDS):
+        features = stored(_features(docs, words, seed), "jaccard-sets")
+        nodes = stored(
+            features.where("n > 0").groupBy("node").agg(
+                F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"),
+                F.count("*").alias("times"), F.min("check").alias("low"), F.max("check").alias("high")), "jaccard-nodes")
+        if nodes.where("low <> high").isEmpty():
+            return features.drop("check"), nodes.select("node", "first", "times"), seed
+    raise AssertionError("unreachable")
+
+
+def _row_mark(doc_id, text_hash):
+    return F.xxhash64(doc_id, text_hash).alias("mark")
+
+
+def _keys(docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int, seed: int) -> DataFrame:
+    """key, node: the tile keys of each distinct set, made from the text again and never stored.
+
+    A sketch lets through the text that each set was first seen in, and few others, whose rows repeat.
+    """
+
+    def deal(batches):
         bands = Bands(num, den)
         for batch in batches:
-            ids, hashes, texts = batch.columns
-            done, rows, held = 0, [], 0
-            for i, text in enumerate(texts):
+            keys, nodes, held = [], [], 0
+            for text in batch.column("text"):
                 members = shingle_set(text.as_py(), words)
-                rows.append((len(members), node_of(members), bands.keys(members).view(np.int64)))
-                held += len(rows[-1][2])
-                if held >= BATCH_KEYS or i + 1 == len(texts):
-                    n, nodes, keys = zip(*rows, strict=True)
-                    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                    yield pa.record_batch({
-                        "doc_id": ids.slice(done, len(rows)), "text_hash": hashes.slice(done, len(rows)),
-                        "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()),
-                        "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
-                    })
-                    done, rows, held = i + 1, [], 0
+                keys.append(bands.keys(members).view(np.int64))
+                nodes.append(np.full(len(keys[-1]), node_of(members, 2 * seed)))
+                held += len(keys[-1])
+                if held >= BATCH_KEYS:
+                    yield pa.record_batch({"key": np.concatenate(keys), "node": np.concatenate(nodes)})
+                    keys, nodes, held = [], [], 0
+            if held:
+                yield pa.record_batch({"key": np.concatenate(keys), "node": np.concatenate(nodes)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(measure, f"doc_id {kind}, text_hash long, n long, node long, keys array<long>")
+    first = sketch(nodes.select(_row_mark("first.doc_id", "first.text_hash")))
+    return docs.where(may_be_in(_row_mark("doc_id", "text_hash"), first)).select("text").mapInArrow(deal, "key long, node long")
 
 
-def _tiles(features: DataFrame) -> DataFrame:
+def _tiles(keys: DataFrame) -> DataFrame:
     """(key, node) of tiles with several nodes; of tiles with the same nodes one stays."""
-    rows = features.where("n > 0").select(F.explode("keys").alias("key"), "node").repartition("key")
+    rows = keys.repartition("key")
     mark = [F.sum(F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 32))).alias(f"s{s}") for s in (1, 2)]
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c"), *mark)
     chosen = shared.where("low < high").groupBy("low", "high", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
     return rows.join(chosen.hint("shuffle_hash"), "key").distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, tiles: DataFrame, words: int) -> DataFrame:
-    """Members and bitmap of every node that is in a tile, from the text of one of its documents."""
+def _texts(docs: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """node, text: one text for every node that is in a tile. Texts travel once, and only those that a sketch lets through."""
+    wanted = stored(nodes.join(tiles.select("node").distinct(), "node").select(
+        "node", _row_mark("first.doc_id", "first.text_hash").alias("mark"),
+        F.col("first.text_hash").alias("wanted_hash"), F.col("first.doc_id").alias("wanted_id")), "jaccard-wanted")
+    marked = docs.withColumn("mark", _row_mark("doc_id", "text_hash"))
+    some = marked.where(may_be_in(F.col("mark"), sketch(wanted.select("mark"))))
+    same = (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    return some.join(wanted, "mark").where(same).dropDuplicates(["mark", "node"]).select("node", "text")
+
+
+def _bitmaps(texts: DataFrame, words: int) -> DataFrame:
+    """node, n, bits: size and bitmap of every set."""
 
     def build(batches):
         for batch in batches:
-            node = batch.column("node").to_pylist()
-            members = [shingle_set(t.as_py(), words) for t in batch.column("text")]
-            right = [i for i, m in enumerate(members) if node_of(m) == node[i]]
-            for i in range(0, len(right), 512):
-                cut = right[i : i + 512]
-                yield pa.record_batch({
-                    "node": pa.array([node[j] for j in cut], pa.int64()),
-                    "n": pa.array([len(members[j]) for j in cut], pa.int64()),
-                    "bits": pa.array([bitmap(members[j]).tobytes() for j in cut], pa.binary()),
-                    "members": pa.array([members[j].tobytes() for j in cut], pa.binary())})
+            told = [(len(m := shingle_set(t.as_py(), words)), bitmap(m).tobytes()) for t in batch.column("text")]
+            n, bits = zip(*told, strict=True) if told else ((), ())
+            yield pa.record_batch({"node": batch.column("node"), "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    wanted = stored(nodes.join(tiles.select("node").distinct(), "node").select(
-        "node", F.col("first.text_hash").alias("text_hash"), F.col("first.doc_id").alias("wanted_id")), "jaccard-wanted")
-    docs = docs.where(may_be_in(F.col("text_hash"), sketch(wanted.select("text_hash"))))
-    return (
-        docs.join(wanted, (docs["text_hash"] == wanted["text_hash"]) & docs["doc_id"].eqNullSafe(wanted["wanted_id"]))
-        .select("node", "text").dropDuplicates(["node"]).mapInArrow(build, "node long, n long, bits binary, members binary"))
+    return texts.mapInArrow(build, "node long, n long, bits binary")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) that link."""
+def _checked(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) that link. Only texts of nodes in a pair travel."""
 
     @F.arrow_udf("boolean")
     def test(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([
-            linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den)
-            for x, y in zip(a, b, strict=True)], pa.bool_())
+        last, members, out = None, None, []
+        for x, y in zip(a, b, strict=True):
+            if (text := y.as_py()) != last:  # rows come in the order of b
+                last, members = text, shingle_set(text, words)
+            out.append(linked(shingle_set(x.as_py(), words), members, num, den))
+        return pa.array(out, pa.bool_())
 
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("members_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("members_b"))
-    return pairs.join(left, "a").join(right, "b").where(test("members_a", "members_b")).select("a", "b")
+    there = sketch(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("mark")))
+    some = texts.where(may_be_in(F.xxhash64("node"), there))
+    left = some.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(left, "a").join(right, "b").where(test("text_a", "text_b")).select("a", "b")
 
 
 def _likeliest(size: int, component: np.ndarray, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> np.ndarray:
@@ -331,19 +377,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("tiles are selective for a similarity of one half or more only")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
-    features = stored(_features(rows, words, num, den), "jaccard-sets")
-    nodes = stored(
-        features.where("n > 0").groupBy("node").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")), "jaccard-nodes")
-    tiles = stored(_tiles(features), "jaccard-tiles")
-    sets = stored(_sets(rows, nodes, tiles, words), "jaccard-members")
+    features, nodes, seed = _named(rows, words)
+    tiles = stored(_tiles(_keys(rows, nodes, words, num, den, seed)), "jaccard-tiles")
+    texts = stored(_texts(rows, nodes, tiles), "jaccard-texts")
+    sets = stored(_bitmaps(texts, words), "jaccard-bitmaps")
     links, tried, settled = None, None, None
     for every_pair in (False,) * LIKELIEST_ROUNDS + (True,):
         found = stored(_unsettled(tiles, settled, sets, num, den, every_pair), "jaccard-pairs")
         pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-candidates")
         tiles = tiles.join(found.where("a IS NULL").select("key").distinct(), "key", "left_semi")
-        new = stored(_checked(pairs, sets, num, den), "jaccard-links")
+        new = stored(_checked(pairs, texts, words, num, den), "jaccard-links")
         links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
         settled = components(links)
     labels = (
@@ -373,15 +417,12 @@ def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("tiles are selective for a similarity of one half or more only")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
-    features = stored(_features(rows, words, num, den), "jaccard-sets")
-    nodes = stored(
-        features.where("n > 0").groupBy("node").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"),
-            F.count("*").alias("times")), "jaccard-nodes")
-    tiles = stored(_tiles(features), "jaccard-tiles")
-    sets = stored(_sets(rows, nodes, tiles, words), "jaccard-members")
+    features, nodes, seed = _named(rows, words)
+    tiles = stored(_tiles(_keys(rows, nodes, words, num, den, seed)), "jaccard-tiles")
+    texts = stored(_texts(rows, nodes, tiles), "jaccard-texts")
+    sets = stored(_bitmaps(texts, words), "jaccard-bitmaps")
     pairs = stored(_unsettled(tiles, None, sets, num, den, True).select("a", "b").distinct(), "jaccard-pairs")
-    links = stored(_checked(pairs, sets, num, den), "jaccard-links")
+    links = stored(_checked(pairs, texts, words, num, den), "jaccard-links")
     both = links.select(F.col("a").alias("own"), F.col("b").alias("node")).union(links.select("b", "a"))
     others = both.join(nodes.select("node", "times"), "node").groupBy(F.col("own").alias("node")).agg(F.sum("times").alias("others"))
     counted = nodes.join(others, "node", "left").select(
@@ -396,16 +437,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without any word stay; a row that repeats exactly (id and text) stays once.
     """
     rows = stored(jaccard_components(docs, id_col, text_col, **how), "jaccard-rows")
-    key = F.xxhash64("doc_id", "text_hash")
     told = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), F.bool_or("representative").alias("stays"))
     doubtful = stored(told.where("times > 1 OR NOT stays").select(
-        key.alias("__key"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "stays"), "jaccard-doubtful")
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    maybe = hashed.withColumn("__maybe", may_be_in(F.xxhash64(F.col(id_col), F.col("__hash")), sketch(doubtful.select("__key"))))
-    gone = doubtful.where("NOT stays")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
-    order = Window.partitionBy(id_col, "__hash").orderBy(F.lit(0))
+        _row_mark("doc_id", "text_hash").alias("mark"), F.col("doc_id").alias("known_id"), F.col("text_hash").alias("known_hash"), "stays"), "jaccard-doubtful")
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
+                        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    maybe = whole.withColumn("maybe", may_be_in(_row_mark("doc_id", "text_hash"), sketch(doubtful.select("mark"))))
+    same = F.col("doc_id").eqNullSafe(F.col("known_id")) & (F.col("text_hash") == F.col("known_hash"))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
     checked = (
-        maybe.where("__maybe").join(gone, same, "left_anti").withColumn("__nth", F.row_number().over(order)).where("__nth = 1"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return maybe.where("NOT __maybe").select(*columns).union(checked.select(*columns))
+        maybe.where("maybe").join(doubtful.where("NOT stays"), same, "left_anti")
+        .withColumn("nth", F.row_number().over(order)).where("nth = 1"))
+    return maybe.where("NOT maybe").select("row.*").union(checked.select("row.*"))
