@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_active
 from ..functions.text import surrogate_key
 from .measures import global_rank, grouped, share, with_total
+from .ranking import numbered, quantiles
 from .warehouse import classified
 
 
-def market_mean(measure: str) -> Column:
-    """Mean over all rows of a dimension with few values."""
-    return F.avg(measure).over(Window.partitionBy())
+def with_mean(rows: DataFrame, measure: str, name: str) -> DataFrame:
+    """Adds the mean over all rows as a scalar subquery."""
+    return rows.withColumn(name, rows.agg(F.avg(measure)).scalar())
 
 
-def small_rank(measure: str, ident: str) -> Column:
-    """Rank over a dimension with a bounded number of values (models, levels, cities)."""
-    order = Window.orderBy(F.col(measure).desc_nulls_last(), F.col(ident).asc_nulls_last())
-    return F.row_number().over(order).cast("bigint")
+def ranked(rows: DataFrame, measure: str, ident: str, name: str) -> DataFrame:
+    """Adds the place by falling measure, then by the name of the row."""
+    return numbered(rows, [F.col(measure).desc_nulls_last(), F.col(ident).asc_nulls_last()], name)
 
 
 def job_category_analysis(fact: DataFrame) -> DataFrame:
@@ -28,10 +28,9 @@ def job_category_analysis(fact: DataFrame) -> DataFrame:
         distinct=["company_name", "job_location"],
     )
     total = fact.agg(F.count("*").alias("total"))
-    return with_total(groups, total).select(
+    return with_total(ranked(groups, "rows", "job_category", "title_rank"), total).select(
         surrogate_key(F.col("job_category")).alias("job_category_id"),
-        small_rank("rows", "job_category").alias("title_rank"),
-        "job_category",
+        "title_rank", "job_category",
         F.col("rows").alias("num_positions"),
         F.col("d_company_name").alias("num_companies"),
         F.col("d_job_location").alias("num_locations"),
@@ -93,25 +92,19 @@ def platform_comparison(fact: DataFrame) -> DataFrame:
 
 
 def salary_benchmark(fact: DataFrame, exact: bool = True) -> DataFrame:
-    """Quartiles per band. ``exact`` sorts distinct values; otherwise sketches are merged."""
+    """Quartiles per band. ``exact`` ranks the counted values; otherwise sketches are merged."""
     rows = classified(fact)
     groups = grouped(
         rows, ["salary_band"], flags=["salaried", "remote", "hybrid", "onsite"]
     )
-    salary = F.col("salary_avg_million")
-    points = (0.25, 0.50, 0.75)
+    points = {"salary_q1": 0.25, "salary_median": 0.50, "salary_q3": 0.75}
+    names = tuple(points)
     if exact:
-        # One row per distinct value with its frequency keeps the state small.
-        weighted = rows.groupBy("salary_band", salary).agg(F.count("*").alias("times"))
-        cuts = [F.percentile(salary, F.lit(p), F.col("times")) for p in points]
+        quartiles = quantiles(rows, ["salary_band"], "salary_avg_million", points)
     else:
-        weighted = rows
-        cuts = [F.percentile_approx(salary, p) for p in points]
-    names = ("salary_q1", "salary_median", "salary_q3")
-    quartiles = weighted.groupBy("salary_band").agg(
-        *[cut.cast("double").alias(name) for cut, name in zip(cuts, names)]
-    )
-    return groups.join(quartiles, "salary_band").select(
+        quartiles = rows.groupBy("salary_band").agg(
+            *[F.percentile_approx("salary_avg_million", p).cast("double").alias(n) for n, p in points.items()])
+    return groups.join(quartiles, "salary_band", "left").select(
         surrogate_key(F.col("salary_band")).alias("salary_band_id"),
         "salary_band",
         F.col("rows").alias("num_positions"),
@@ -143,39 +136,29 @@ def company_hiring_summary(companies: DataFrame, fact: DataFrame, as_of: Column)
 
 
 def education_distribution(education: DataFrame) -> DataFrame:
-    market = F.round(market_mean("avg_salary"), 1)
     gap = F.col("avg_salary") - F.col("market_avg_salary")
-    return (
-        education.withColumn("demand_rank", small_rank("job_count", "education_requirement"))
-        .withColumn("market_avg_salary", market)
-        .withColumns({
-            "salary_vs_market": gap,
-            "salary_vs_market_pct": F.round(gap / F.col("market_avg_salary") * 100, 2),
-        })
-    )
+    placed = with_mean(ranked(education, "job_count", "education_requirement", "demand_rank"), "avg_salary", "_mean")
+    return placed.withColumn("market_avg_salary", F.round("_mean", 1)).drop("_mean").withColumns({
+        "salary_vs_market": gap,
+        "salary_vs_market_pct": F.round(gap / F.col("market_avg_salary") * 100, 2),
+    })
 
 
 def work_model_analysis(models: DataFrame) -> DataFrame:
-    mean = market_mean("avg_salary")
-    return (
-        models.withColumn("_mean", mean)
-        .withColumns({
-            "demand_rank": small_rank("job_count", "work_model_normalized"),
-            "market_avg_salary": F.round("_mean", 1),
-            "salary_vs_market": F.round(F.col("avg_salary") - F.col("_mean"), 1),
-            "salary_positioning": F.when(F.col("avg_salary") > F.col("_mean"), "Above Average")
-            .when(F.col("avg_salary") < F.col("_mean"), "Below Average")
-            .otherwise("At Market"),
-        })
-        .drop("_mean")
-    )
+    placed = with_mean(ranked(models, "job_count", "work_model_normalized", "demand_rank"), "avg_salary", "_mean")
+    return placed.withColumns({
+        "market_avg_salary": F.round("_mean", 1),
+        "salary_vs_market": F.round(F.col("avg_salary") - F.col("_mean"), 1),
+        "salary_positioning": F.when(F.col("avg_salary") > F.col("_mean"), "Above Average")
+        .when(F.col("avg_salary") < F.col("_mean"), "Below Average")
+        .otherwise("At Market"),
+    }).drop("_mean")
 
 
 def location_salary_analysis(locations: DataFrame, fact: DataFrame) -> DataFrame:
     total = fact.agg(F.count("*").alias("total"))
-    return with_total(locations, total).select(
-        small_rank("avg_salary_by_location", "location_id").alias("salary_rank"),
-        "location_id", "job_location", "total_jobs", "num_companies", "num_platforms",
+    return with_total(ranked(locations, "avg_salary_by_location", "location_id", "salary_rank"), total).select(
+        "salary_rank", "location_id", "job_location", "total_jobs", "num_companies", "num_platforms",
         share(F.col("total_jobs"), F.col("total")).alias("pct_of_total_jobs"),
         "avg_salary_by_location", "highest_salary", "lowest_salary",
         "remote_jobs", "hybrid_jobs", "onsite_jobs", "fulltime_jobs",

@@ -14,7 +14,7 @@ from ..functions.location import normal_location, work_arrangement, work_model
 from ..functions.salary import max_salary, mid_salary, min_salary, salary_band
 from ..functions.text import lower_trim, surrogate_key, title_case, trim_blanks, upper_trim
 from ..sources.seeds import CATEGORY_PATTERNS, CITY_PATTERNS
-from .matching import explode_patterns, match_distinct
+from .matching import explode_patterns
 
 OTHERS = "Others"
 ELSEWHERE = "nơi khác"
@@ -99,9 +99,12 @@ def categorize(
 
 
 def map_city(rows: DataFrame, patterns: Sequence[tuple[str, ...]] = CITY_PATTERNS) -> DataFrame:
-    """Adds ``job_location``, the English city name; null when no pattern is found."""
+    """Adds ``job_location``, the English city name; null when no pattern is found.
+
+    The patterns are matched in the projection itself: rows stay where they are, whatever place is the commonest.
+    """
     names = [(row[0], row[2]) for row in patterns]
-    return match_distinct(rows, "working_location", names, "job_location")
+    return explode_patterns(rows, "working_location", names, "job_location")
 
 
 _BASE = (
@@ -160,21 +163,62 @@ def explode_locations(base: DataFrame) -> DataFrame:
     return kept.withColumn("working_location", trim_blanks(F.col("working_location")))
 
 
+LOGO_SALTS = 1024
+
+
 def join_logos(rows: DataFrame, logos: DataFrame) -> DataFrame:
-    """Adds ``logo_id`` of registered logos. Many rows share no logo at all, so
-    rows without a url skip the shuffle instead of meeting in one partition."""
-    known = logos.select("logo_url", "logo_id").filter(F.col("logo_url").isNotNull())
-    bare = rows.filter(F.col("logo_url").isNull()).withColumn("logo_id", F.lit(None).cast("string"))
-    linked = rows.filter(F.col("logo_url").isNotNull()).join(known, "logo_url", "left")
-    return linked.unionByName(bare)
+    """Adds ``logo_id`` of registered logos. Rows without a logo get one of many keys by a hash of the
+    row, so that they spread over the join's tasks instead of meeting in one."""
+    known = logos.filter(F.col("logo_url").isNotNull()).select(F.col("logo_url").alias("_logo"), "logo_id")
+    salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(LOGO_SALTS)).cast("string"))
+    keyed = rows.withColumn("_key", F.coalesce("logo_url", salt))
+    return keyed.join(known, F.col("_key") == F.col("_logo"), "left").drop("_key", "_logo")
+
+
+def base_jobs(jobs: DataFrame, categories: Patterns = CATEGORY_PATTERNS) -> DataFrame:
+    """The bases of both boards in one pass over the canonical table: each column is chosen per row by its source.
+
+    Gives the rows that ``topcv_base`` and ``itviec_base`` give of the boards' staging tables.
+    """
+    is_topcv = F.col("source") == "topcv"
+
+    def either(topcv: Column, itviec: Column) -> Column:
+        return F.when(is_topcv, topcv).otherwise(itviec)
+
+    told = F.concat_ws(" ", "requirements", "experience")
+    first = jobs.filter(F.col("source").isin("topcv", "itviec")).select(
+        F.col("source").alias("source_platform"), trim_blanks(F.col("url")).alias("url"),
+        trim_blanks(F.col("logo_url")).alias("logo_url"), title_case(F.col("title")).alias("title"),
+        upper_trim(F.col("company")).alias("company"), normal_location(title_case(F.col("location"))).alias("working_location"),
+        either(title_case(F.col("work_arrangement")), F.lit("Full-time")).alias("work_arrangement"),
+        either(F.lit("On-Site"), title_case(F.col("work_model"))).alias("work_model"),
+        F.when(is_topcv, F.replace(title_case(F.col("salary")), F.lit(","), F.lit(""))).alias("salary"),
+        either(title_case(F.col("requirements")), lower_trim(told)).alias("_education"),
+        either(lower_trim(F.col("experience")), lower_trim(told)).alias("_experience"),
+        lower_trim(F.col("description")).alias("descriptions"),
+        either(lower_trim(F.col("requirements")), lower_trim(told)).alias("requirements"),
+        either(F.col("tags"), title_case(F.col("tags"))).alias("tags"), F.col("posted").alias("posted_to_discord"),
+        F.to_date("crawled_at").alias("job_posted_date"), F.col("crawled_at").alias("job_posted_timestamp"),
+    )
+    read = first.withColumns({
+        "salary_min_million": min_salary(F.col("salary")),
+        "salary_max_million": max_salary(F.col("salary")),
+        "education_requirement": education_level(F.col("_education")),
+        "year_of_experiences": experience_phrase(F.col("_experience")),
+    })
+    return categorize(read, categories).select(*_BASE)
 
 
 def fact_jobs(
     topcv: DataFrame, itviec: DataFrame, logos: DataFrame | None = None, cities: Patterns = CITY_PATTERNS
 ) -> DataFrame:
-    """The fact table: union, list explode, city match, logo join, keys and classes."""
-    united = topcv.unionByName(itviec)
-    placed = map_city(explode_locations(united), cities)
+    """The fact table of two bases."""
+    return fact_of(topcv.unionByName(itviec), logos, cities)
+
+
+def fact_of(base: DataFrame, logos: DataFrame | None = None, cities: Patterns = CITY_PATTERNS) -> DataFrame:
+    """The fact table of a base: list explode, city match, logo join, keys and classes, each row read once."""
+    placed = map_city(explode_locations(base), cities)
     if logos is None:
         placed = placed.withColumn("logo_id", F.md5("logo_url"))
     else:

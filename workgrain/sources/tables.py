@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
 from ..schemas import POSTING_COLUMNS
+from ..session import scratch_dir
 from .keyed import KeyedTable
 
 # A catalog is a folder of parquet tables or a set of JDBC options.
@@ -81,3 +85,38 @@ def materialize(
         return rows.sparkSession.table(name)
     rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Names, sizes and times of the files below some paths, as one hash; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    about = F.concat_ws("|", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))
+    total = files.agg(F.sum(F.xxhash64(about).cast("decimal(38,0)")), F.count("*")).first()
+    return hashlib.md5(f"{total[0]} {total[1]} {sorted(paths)}".encode()).hexdigest()
+
+
+def layer(spark: SparkSession, name: str, paths: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from files, built once for as long as these files stay the same.
+
+    Its catalog name holds the fingerprint of the files; it is entered when the table is complete. Queries that
+    share a layer read one build; changed files give another name. A layer whose files are gone is built again.
+    """
+    known = f"layer_{name}_{fingerprint(spark, paths)}"
+    if spark.catalog.tableExists(known):
+        try:
+            stored = spark.table(known)
+            if stored.inputFiles():
+                return stored
+        except (AnalysisException, Py4JJavaError):
+            pass
+        spark.sql(f"DROP TABLE IF EXISTS {known}")
+    path = scratch_dir(spark, name)
+    rows = build()
+    rows.write.parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    try:
+        spark.sql(f"CREATE TABLE {known} ({', '.join(f'`{c.name}` {c.dataType.simpleString()}' for c in rows.schema)}) USING parquet LOCATION '{path}'")
+    except AnalysisException as taken:  # built by another thread in the meantime
+        if taken.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+            raise
+    return stored
