@@ -6,8 +6,9 @@ They only look at one page at a time; Spark partitions and shuffles the pages.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -16,22 +17,15 @@ SILENT = frozenset(("script", "style", "template"))
 
 
 class Node:
-    """An element with its parts (texts and elements) in document order."""
+    """An element with its parts (texts and elements); ``at`` and ``end`` number it and its last descendant in page order."""
 
-    __slots__ = ("tag", "attrs", "classes", "parent", "parts")
+    __slots__ = ("tag", "attrs", "classes", "parent", "parts", "at", "end")
 
-    def __init__(self, tag, attrs=(), parent=None):
+    def __init__(self, tag, attrs=None, parent=None):
         self.tag, self.parent, self.parts = tag, parent, []
-        self.attrs = {name: value or "" for name, value in attrs}
-        self.classes = frozenset(self.attrs.get("class", "").split())
-
-    def walk(self):
-        """Elements below this one in document order, without recursion."""
-        stack = [p for p in reversed(self.parts) if isinstance(p, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
+        self.attrs = attrs or {}
+        self.classes = frozenset(self.attrs["class"].split()) if "class" in self.attrs else frozenset()
+        self.at = self.end = 0
 
     def text(self):
         """Texts joined by one space; script and style parts are left out."""
@@ -46,36 +40,59 @@ class Node:
         return " ".join(words)
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.open = Node("")
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, attrs, self.open)
-        self.open.parts.append(node)
-        if tag not in VOID:
-            self.open = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.open.parts.append(Node(tag, attrs, self.open))
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style", "textarea", "title")}
 
-    def handle_endtag(self, tag):
-        node = self.open
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.open = node.parent
 
-    def handle_data(self, data):
-        self.open.parts.append(data)
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag; the first of a repeated name counts."""
+    found = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def tree(page: str) -> Node:
-    parser = _Tree()
-    parser.feed(page)
-    parser.close()
-    return parser.root
+    """The page's elements. An end tag closes the nearest open element of its name, one that is not open is ignored."""
+    root = open_ = Node("")
+    at, number, opened = 0, 0, {}
+    while at < len(page):
+        found = _MARKUP.search(page, at)
+        if (end := found.start() if found else len(page)) > at:
+            data = page[at:end]
+            open_.parts.append(unescape(data) if "&" in data else data)
+        if not found:
+            break
+        at = found.end()
+        if name := found[2]:
+            name, rest, number = name.lower(), found[3], number + 1
+            node = Node(name, _attributes(rest) if rest else None, open_)
+            node.at = number
+            open_.parts.append(node)
+            if name not in VOID and not rest.endswith("/"):
+                open_ = node
+                opened[name] = opened.get(name, 0) + 1
+                if name in _RAW_END:
+                    close = _RAW_END[name].search(page, at)
+                    to = close.start() if close else len(page)
+                    if to > at:
+                        node.parts.append(page[at:to] if name in SILENT else unescape(page[at:to]))
+                    at = to
+            else:
+                node.end = number
+        elif (name := (found[1] or "").lower()) and opened.get(name):
+            while True:
+                node, open_ = open_, open_.parent
+                node.end = number
+                opened[node.tag] -= 1
+                if node.tag == name:
+                    break
+    while open_ is not None:
+        open_.end, open_ = number, open_.parent
+    return root
 
 
 _PART = re.compile(r"(?P<kind>[.#]?)(?P<name>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^]?=)['\"]?(?P<value>[^'\"\]]*)['\"]?)?\]")
@@ -127,14 +144,63 @@ def _matches(node: Node, chain: list[_Compound]) -> bool:
     return left < 0
 
 
-def select(root: Node, selector: str):
-    """Elements below ``root`` that fit a selector of tags, classes, ids and attributes."""
-    chains = _compiled(selector)
-    return (node for node in root.walk() if any(_matches(node, chain) for chain in chains))
+class Selectors:
+    """A set of selectors, sorted by what their innermost step names, so that one walk finds the matches of all."""
+
+    def __init__(self, selectors):
+        self._by: dict[str, list] = {}
+        self.names = list(dict.fromkeys(selectors))
+        for number, selector in enumerate(self.names):
+            for chain in _compiled(selector):
+                last = chain[-1]
+                if last.classes:
+                    key = "." + min(last.classes)
+                elif last.ident:
+                    key = "#" + last.ident
+                else:
+                    key = last.tag or "*"
+                self._by.setdefault(key, []).append((number, chain))
+
+    def find(self, root: Node) -> Matches:
+        """Every selector's matches on a page, in page order."""
+        found: list[list[Node]] = [[] for _ in self.names]
+        by, stack = self._by, [p for p in reversed(root.parts) if isinstance(p, Node)]
+        anywhere = by.get("*", ())
+        while stack:
+            node = stack.pop()
+            tries = list(by.get(node.tag, ()))
+            for name in node.classes:
+                tries += by.get("." + name, ())
+            if "id" in node.attrs:
+                tries += by.get("#" + node.attrs["id"], ())
+            for number, chain in (*tries, *anywhere):
+                here = found[number]
+                if (not here or here[-1] is not node) and _matches(node, chain):
+                    here.append(node)
+            stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
+        return Matches(dict(zip(self.names, found, strict=True)))
+
 
+class Matches:
+    """The matches of a page by selector; those inside an element are a slice, by its place in the page."""
 
-def select_one(root: Node, selector: str) -> Node | None:
-    return next(select(root, selector), None)
+    def __init__(self, found: dict[str, list[Node]]):
+        self._found = found
+        self._at = {selector: [n.at for n in nodes] for selector, nodes in found.items()}
+
+    def below(self, node: Node, selector: str) -> list[Node]:
+        places = self._at[selector]
+        return self._found[selector][bisect_right(places, node.at):bisect_right(places, node.end)]
+
+    def first(self, node: Node, selector: str) -> Node | None:
+        places = self._at[selector]
+        at = bisect_right(places, node.at)
+        return self._found[selector][at] if at < len(places) and places[at] <= node.end else None
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Elements below ``root`` that fit a selector of tags, classes, ids and attributes."""
+    return Selectors([selector]).find(root).below(root, selector)
 
 
 # Tags, link attributes and schemes that stay in cleaned descriptions.

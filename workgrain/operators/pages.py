@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import Node, clean_html, select, select_one, tree
+from ..functions.html import Matches, Node, Selectors, clean_html, select, tree
 from ..functions.text import cut_at, last_segment, trim_blanks
+from ..session import scratch_dir
 from .state import dedup
 
 Pairs = Sequence[tuple[str, str]]
@@ -49,9 +50,21 @@ PARSED = (
 )
 
 
-def _first_text(root: Node, selectors: Sequence[str]) -> str:
+ITEMS = "div, li"
+
+
+def _selectors(spec: Spec) -> list[str]:
+    """Every selector of a layout."""
+    named = [*(s for chosen in spec.texts.values() for s in chosen), *(s for s, _ in spec.attrs.values()), *spec.lists.values()]
+    for part in (spec.sections, spec.blocks):
+        if part:
+            named += [part[0], *(s for pair in part[1] for s in pair if s)]
+    return [*named, *spec.container, *([spec.card] if spec.card else []), *([ITEMS] if spec.blocks else [])]
+
+
+def _first_text(found: Matches, root: Node, selectors: Sequence[str]) -> str:
     for selector in selectors:
-        node = select_one(root, selector)
+        node = found.first(root, selector)
         if node is not None:
             text = node.attrs.get("content", "") if node.tag == "meta" else node.text()
             if text:
@@ -59,61 +72,70 @@ def _first_text(root: Node, selectors: Sequence[str]) -> str:
     return ""
 
 
-def _pair(row: Node, pairs: Pairs) -> tuple[Node | None, Node | None]:
+def _pair(found: Matches, row: Node, pairs: Pairs) -> tuple[Node | None, Node | None]:
     """Key and value of a row by the first pair whose key is there."""
     for key, value in pairs:
-        found = select_one(row, key)
-        if found is not None:
-            return found, select_one(row, value) if value else None
+        node = found.first(row, key)
+        if node is not None:
+            return node, found.first(row, value) if value else None
     return None, None
 
 
-def _read(root: Node, spec: Spec) -> tuple[dict, dict, list, list]:
-    texts = {name: _first_text(root, selectors) for name, selectors in spec.texts.items()}
+def _read(found: Matches, root: Node, spec: Spec) -> tuple[dict, dict, list, list]:
+    texts = {name: _first_text(found, root, selectors) for name, selectors in spec.texts.items()}
     for name, (selector, attr) in spec.attrs.items():
-        node = select_one(root, selector)
+        node = found.first(root, selector)
         texts[name] = node.attrs.get(attr, "") if node is not None else ""
-    lists = {name: [n.text() for n in select(root, sel)] for name, sel in spec.lists.items()}
+    lists = {name: [n.text() for n in found.below(root, sel)] for name, sel in spec.lists.items()}
     sections, blocks = [], []
     if spec.sections:
-        place = next((n for s in spec.container if (n := select_one(root, s)) is not None), root)
-        for row in select(place, spec.sections[0]):
-            key, value = _pair(row, spec.sections[1])
+        place = next((n for s in spec.container if (n := found.first(root, s)) is not None), root)
+        for row in found.below(place, spec.sections[0]):
+            key, value = _pair(found, row, spec.sections[1])
             sections.append((key.text() if key else None, value.text() if value else None, row.text()))
     if spec.blocks:
-        for row in select(root, spec.blocks[0]):
-            key, value = _pair(row, spec.blocks[1])
+        for row in found.below(root, spec.blocks[0]):
+            key, value = _pair(found, row, spec.blocks[1])
             if value is not None:
-                items = [n.text() for n in select(value, "div, li")]
+                items = [n.text() for n in found.below(value, ITEMS)]
                 blocks.append((key.text(), value.text(), items))
     return texts, lists, sections, blocks
 
 
-def parse(pages: DataFrame, spec: Spec, html: str = "html") -> DataFrame:
+def parse(pages: DataFrame, spec: Spec | dict[str, Spec], html: str = "html", layout: str | None = None) -> DataFrame:
     """Adds the parsed values to each page; a page that cannot be read gets a
-    ``parse_error`` and no values, and the others go on."""
+    ``parse_error`` and no values, and the others go on.
+
+    Each page is walked once, whatever the number of selectors. With several layouts the column ``layout`` names each
+    page's; a page whose layout is null or not among them is not read and has neither values nor an error.
+    """
     kept = [c for c in pages.columns if c != html]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
     names = ["card", "texts", "lists", "sections", "blocks", "parse_error"]
+    specs = spec if isinstance(spec, dict) else {"": spec}
 
-    def rows_of(page: str | None) -> Iterator[tuple]:
+    def rows_of(page: str | None, name: str, known: dict[str, Selectors]) -> list[tuple]:
+        if name not in known:
+            return [(0, None, None, None, None, None)]
         try:
             if not page:
                 raise ValueError("empty page")
-            root = tree(page)
-            roots = list(select(root, spec.card)) if spec.card else [root]
-            found = [(i, *_read(r, spec), None) for i, r in enumerate(roots)]
+            root, one = tree(page), specs[name]
+            found = known[name].find(root)
+            roots = found.below(root, one.card) if one.card else [root]
+            return [(i, *_read(found, r, one), None) for i, r in enumerate(roots)]
         except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
-            found = [(0, None, None, None, None, f"{type(error).__name__}: {error}")]
-        yield from found
+            return [(0, None, None, None, None, f"{type(error).__name__}: {error}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {name: Selectors(_selectors(one)) for name, one in specs.items()}
         for batch in batches:
             for start in range(0, len(batch), 64):
                 part = batch.iloc[start:start + 64]
+                which = part[layout] if layout else [""] * len(part)
                 places, values = [], []
-                for place, page in enumerate(part[html]):
-                    for row in rows_of(page):
+                for place, (page, name) in enumerate(zip(part[html], which)):
+                    for row in rows_of(page, name, known):
                         places.append(place)
                         values.append(row)
                 out = part[kept].iloc[places].reset_index(drop=True)
@@ -125,9 +147,11 @@ def parse(pages: DataFrame, spec: Spec, html: str = "html") -> DataFrame:
 
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable pages, and the reported ones."""
-    good = parsed.filter(F.col("parse_error").isNull())
-    return good, parsed.filter(F.col("parse_error").isNotNull())
+    """Readable pages, and the reported ones. The parsed pages are stored first, so that both are read from one run."""
+    path = scratch_dir(parsed.sparkSession, "parsed-pages")
+    parsed.write.parquet(path)
+    stored = parsed.sparkSession.read.schema(parsed.schema).parquet(path)
+    return stored.filter(F.col("parse_error").isNull()), stored.filter(F.col("parse_error").isNotNull())
 
 
 def text(name: str) -> Column:
@@ -338,7 +362,7 @@ def discover_links(
                 try:
                     if not page:
                         raise ValueError("empty page")
-                    nodes = list(select(tree(page), selector))
+                    nodes = select(tree(page), selector)
                     rows += [(urljoin(base, n.attrs["href"]), None) for n in nodes if n.attrs.get("href")]
                 except Exception as error:  # noqa: BLE001 - reported in a row, the batch goes on
                     rows.append((None, f"{type(error).__name__}: {error}"))
@@ -401,29 +425,18 @@ def extract_cards(
 
 def extract_by_template(pages: DataFrame, url: str = "url") -> DataFrame:
     """Description, requirements, education and work type by the page's template;
-    pages of neither template get nulls."""
-    brand = F.coalesce(F.col(url).contains("/brand/"), F.lit(False))
-    standard = F.coalesce(F.col(url).contains("/viec-lam/"), F.lit(False)) & ~brand
+    pages of neither template get nulls. One pass reads the pages of both."""
+    template = F.when(F.col(url).contains("/brand/"), F.lit("brand")).when(F.col(url).contains("/viec-lam/"), F.lit("standard"))
     kept = [c for c in pages.columns if c != "html"]
-
-    def read(rows: DataFrame, spec: Spec) -> DataFrame:
-        values = {
-            "descriptions": block("Mô tả công việc", last=False),
-            "requirements": block("Yêu cầu ứng viên", last=False),
-            "education": info("Học vấn"),
-            "type_of_work": info("Hình thức làm việc"),
-        }
-        return parse(rows, spec).select(
-            *kept, *[F.nullif(c, F.lit("")).alias(name) for name, c in values.items()], "parse_error"
-        )
-
-    names = ("descriptions", "requirements", "education", "type_of_work")
-    other = pages.filter(~brand & ~standard).select(
-        *kept, *[F.lit(None).cast("string").alias(n) for n in (*names, "parse_error")]
-    )
-    return read(pages.filter(brand), BRAND_DETAIL).unionByName(
-        read(pages.filter(standard), STANDARD_DETAIL)
-    ).unionByName(other)
+    values = {
+        "descriptions": block("Mô tả công việc", last=False),
+        "requirements": block("Yêu cầu ứng viên", last=False),
+        "education": info("Học vấn"),
+        "type_of_work": info("Hình thức làm việc"),
+    }
+    layouts = {"brand": BRAND_DETAIL, "standard": STANDARD_DETAIL}
+    parsed = parse(pages.withColumn("_template", template), layouts, layout="_template")
+    return parsed.select(*kept, *[F.nullif(c, F.lit("")).alias(name) for name, c in values.items()], "parse_error")
 
 
 # Label words of the profile facts.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from heapq import nsmallest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 SAMPLES = 5
 
@@ -62,58 +65,68 @@ FACT_CHECKS = (
 )
 
 
+def _sorting(rows: DataFrame, column: str) -> tuple[Column, Column]:
+    """(number, text) by which a column's values sort: numbers by the first, all others by the second."""
+    value = F.col(column)
+    numeric = isinstance(rows.schema[column].dataType, NumericType)
+    return (value.cast("double") if numeric else F.lit(None).cast("double")), value.cast("string")
+
+
 def report(rows: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check: kind, column, failing rows and a few failing values.
 
-    All row checks share one pass; every unique check is one more aggregation,
-    as is the list of sample values of a check.
+    One pass reads the rows. Each gives a key (check, value) where it fails a check, where its value has to be
+    unique, or where rows are counted; keys are counted per task before they are shuffled. Of the counted keys each task
+    keeps the number of failing rows and the few smallest values of each check, so what meets at the end is small.
     """
-    simple = [(n, c) for n, c in enumerate(checks) if c.kind in ("not_null", "regex", "accepted")]
-    parts = []
-    if simple:
-        counts = rows.agg(*[F.count_if(c.failing()).alias(f"c{n}") for n, c in simple])
-        items = ", ".join(f"{n}, '{c.kind}', '{c.column}', c{n}" for n, c in simple)
-        parts.append(counts.selectExpr(f"stack({len(simple)}, {items}) AS (number, kind, column, failures)"))
+    nothing = (F.lit(None).cast("double"), F.lit(None).cast("string"))
+    keys = []
     for number, check in enumerate(checks):
         if check.kind == "row_count":
-            inside = F.count("*").between(check.low, check.high)
-            failures = F.when(inside, F.lit(0)).otherwise(F.count("*")).cast("bigint")
-            parts.append(_named(rows.agg(failures.alias("failures")), number, check))
-        elif check.kind == "unique":
-            repeated = _repeated(rows, check.column)
-            failures = F.coalesce(F.sum("times"), F.lit(0)).alias("failures")
-            parts.append(_named(repeated.agg(failures), number, check))
-    counted = reduce(DataFrame.unionByName, parts)
-    sampled = [s for n, c in enumerate(checks) if (s := _samples(rows, n, c)) is not None]
-    if not sampled:
-        return counted.withColumn("samples", F.lit("")).drop("number")
-    samples = reduce(DataFrame.unionByName, sampled)
-    joined = counted.join(samples, "number", "left")
-    return joined.withColumn("samples", F.coalesce("samples", F.lit(""))).drop("number")
-
-
-def _named(rows: DataFrame, number: int, check: Check) -> DataFrame:
-    return rows.select(
-        F.lit(number).alias("number"), F.lit(check.kind).alias("kind"), F.lit(check.column).alias("column"), "failures"
-    )
-
-
-def _repeated(rows: DataFrame, column: str) -> DataFrame:
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("times"))
-    return counts.filter("times > 1")
-
-
-def _samples(rows: DataFrame, number: int, check: Check) -> DataFrame | None:
-    """The first few distinct failing values in order; a top-k, not a collect."""
-    if check.kind in ("row_count", "not_null"):
-        return None
-    if check.kind == "unique":
-        failing = _repeated(rows, check.column).select(check.column)
-    else:
-        failing = rows.filter(check.failing()).select(check.column).distinct()
-    few = failing.orderBy(check.column).limit(SAMPLES)
-    text = F.array_join(F.array_sort(F.collect_list(F.col(check.column).cast("string"))), ", ")
-    return few.agg(text.alias("samples")).select(F.lit(number).alias("number"), "samples")
+            when, (n, t) = F.lit(True), nothing
+        else:
+            when = F.col(check.column).isNotNull() if check.kind == "unique" else check.failing()
+            n, t = nothing if check.kind == "not_null" else _sorting(rows, check.column)
+        keys.append(F.when(when, F.struct(F.lit(number).alias("number"), n.alias("n"), t.alias("t"))))
+    found = rows.select(F.explode(F.array_compact(F.array(*keys))).alias("key")).select("key.*")
+    counted = found.groupBy("number", "n", "t").agg(F.count("*").alias("times"))
+    unique = {number for number, check in enumerate(checks) if check.kind == "unique"}
+    sampled = {number for number, check in enumerate(checks) if check.kind not in ("row_count", "not_null")}
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failures, few = Counter(), defaultdict(list)
+        for batch in batches:
+            for row in batch.to_pylist():
+                number = row["number"]
+                if number in unique and row["times"] < 2:
+                    continue
+                failures[number] += row["times"]
+                if number in sampled:
+                    few[number].append((row["n"] or 0.0, row["t"]))
+                    if len(few[number]) > 64:
+                        few[number] = nsmallest(SAMPLES, few[number])
+        numbers = sorted(failures)
+        kept = [[{"n": n, "t": t} for n, t in nsmallest(SAMPLES, few[number])] for number in numbers]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int32()), pa.array([failures[n] for n in numbers], pa.int64()),
+             pa.array(kept, pa.list_(pa.struct([("n", pa.float64()), ("t", pa.string())])))], ["number", "failures", "few"])
+
+    parts = counted.mapInArrow(smallest, "number int, failures long, few array<struct<n:double,t:string>>")
+    none = rows.sparkSession.range(len(checks)).select(
+        F.col("id").cast("int").alias("number"), F.lit(0).cast("long").alias("failures"),
+        F.array().cast("array<struct<n:double,t:string>>").alias("few"))
+    merged = parts.unionByName(none).groupBy("number").agg(
+        F.sum("failures").alias("failures"), F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, SAMPLES).alias("few"))
+
+    def told(values: Sequence, of: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast(of) for v in values]), F.col("number") + 1)
+
+    low, high = told([c.low for c in checks], "long"), told([c.high for c in checks], "long")
+    inside = (told([c.kind for c in checks], "string") == "row_count") & F.col("failures").between(low, high)
+    return merged.select(
+        told([c.kind for c in checks], "string").alias("kind"), told([c.column for c in checks], "string").alias("column"),
+        F.when(inside, F.lit(0)).otherwise(F.col("failures")).cast("long").alias("failures"),
+        F.array_join(F.array_sort(F.transform("few", lambda v: v["t"])), ", ").alias("samples"))
 
 
 class CheckFailed(ValueError):

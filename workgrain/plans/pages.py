@@ -69,10 +69,10 @@ DETAIL = (
 )
 
 
-def detail_pages(jobs: DataFrame) -> DataFrame:
+def detail_pages(jobs: DataFrame, *kept: str) -> DataFrame:
     names = ("title", "company", "salary", "location", "experience", "description", "requirements", "id")
     page = html(DETAIL, **{n: safe(n) for n in names}, day=F.date_format("crawled_at", "d/M/yyyy"))
-    return jobs.select(F.col("id").alias("page_id"), "crawled_at", page.alias("html"))
+    return jobs.select(F.col("id").alias("page_id"), "crawled_at", *kept, page.alias("html"))
 
 
 def squeezed(col: str) -> str:
@@ -291,12 +291,10 @@ def h10(spark, sf):
 def h11(spark, sf):
     """Every list page is there twice; the second copies drop out by url path."""
     jobs = topcv_jobs(spark, sf)
-    lists = list_pages(jobs)
-    twice = lists.unionByName(lists.withColumn("page_id", F.col("page_id") + 10_000_000))
+    copies = F.explode(F.array(F.lit(0), F.lit(10_000_000)))
+    twice = list_pages(jobs).withColumn("copy", copies).withColumn("page_id", F.col("page_id") + F.col("copy")).drop("copy")
     cards = pages.extract_cards(twice, pages.TOPCV_CARDS)
-    details = pages.extract_details(detail_pages(jobs).join(
-        jobs.select(F.col("id").alias("page_id"), "url"), "page_id"
-    ).filter("url IS NOT NULL"))
+    details = pages.extract_details(detail_pages(jobs.filter("url IS NOT NULL"), "url"))
     return pages.assemble(cards, details, pages.extract_company(profile_pages(spark, sf)))
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from ..operators import digest, state
 from ..sources.keyed import KeyedTable
@@ -120,21 +121,33 @@ def digest_stored(spark: SparkSession, root: str, alerts: DataFrame, as_of: Colu
     return table.read()
 
 
-def deliver_once(root: str, keys: Sequence[str], order: Sequence[str]) -> BatchSink:
-    """Keeps the first row per key over all batches: keys delivered before drop out."""
+def deliver_once(root: str, keys: Sequence[str], order: Sequence[str], hour: str = "hour") -> BatchSink:
+    """Keeps the first row per key over all batches: keys delivered before drop out.
+
+    ``hour``, one of the keys, is the time a delivery is for. What is delivered is stored by day, so a batch reads the
+    stored keys of the days it has rows for, and not the history; days that nothing more comes for can be removed.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = Window.partitionBy(*keys).orderBy(*order)
         fresh = batch.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+        fresh = fresh.withColumn("day", F.to_date(hour))
         if number > 0:
-            before = spark.read.parquet(root).filter(F.col("batch") < number).select(*keys)
-            fresh = fresh.join(before, list(keys), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{root}/batch={number}")
+            low, high = batch.agg(F.min(F.to_date(hour)), F.max(F.to_date(hour))).first()
+            before = delivered(spark, root, batch.schema).filter(F.col("day").between(F.lit(low), F.lit(high)) & (F.col("batch") < number))
+            fresh = fresh.join(before.select(*keys), list(keys), "left_anti")
+        placed = fresh.withColumn("batch", F.lit(number))
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(root)
 
     return write
 
 
+def delivered(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """What ``deliver_once`` has kept, with the day and batch it is stored under."""
+    return spark.read.schema(StructType([*schema.fields, StructField("day", DateType()), StructField("batch", IntegerType())])).parquet(root)
+
+
 def hour_bucket(ts: Column) -> Column:
     return F.date_trunc("HOUR", ts).cast("timestamp_ntz")
 
