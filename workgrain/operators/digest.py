@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alerts as rules
+from ..session import scratch_dir
 from .search import labelled
 
 GRAM = 3
+SLOTS = 1 << 16
 
 
 def attach_users(alerts: DataFrame, users: DataFrame) -> DataFrame:
@@ -42,39 +44,97 @@ def sendable(due_alerts: DataFrame, as_of: Column) -> DataFrame:
     })
 
 
-def _wanted_key(f: Column) -> Column:
-    """The one join key of a filter: the start of its keyword, else its classes."""
-    def chosen(value: Column, kind: Column) -> Column:
-        return F.when(value.isNull() | (value == "all"), F.lit("any")).otherwise(kind)
+def _free(value: Column) -> Column:
+    return value.isNull() | (value == "all")
 
-    place = chosen(f["location"], rules.wanted_class(f["location"]))
-    facet = F.concat(F.lit("f:"), place, F.lit("|"), chosen(f["salary"], f["salary"]))
-    gram = F.concat(F.lit("k:"), F.substring(F.lower(f["keyword"]), 1, GRAM))
-    return F.when(f["keyword"].isNotNull(), gram).otherwise(facet)
 
+def _runs(text: Column, kind: str) -> Column:
+    """The runs of GRAM characters of a text, or the text itself if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.concat(F.lit(f"{kind}:"), F.substr(text, i, F.lit(GRAM))))
 
-def _grams(c: Column) -> Column:
-    """Every run of one to three characters of a text."""
-    low = F.lower(c)
 
+def _all_runs(text: Column, kind: str) -> Column:
+    """Every run of one to GRAM characters of a text."""
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.concat(F.lit("k:"), F.substr(low, i, F.lit(n))))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(f"{kind}:"), F.substr(text, i, F.lit(n))))
 
     return F.concat(*[runs(n) for n in range(1, GRAM + 1)])
 
 
+def _facet(place: Column, pay: Column) -> Column:
+    return F.concat(F.lit("f:"), place, F.lit("|"), pay)
+
+
+def _wanted_keys(f: Column) -> Column:
+    """The keys that a filter could be found under: runs of its keyword or of a place in words; else its one facet."""
+    in_words = ~_free(f["location"]) & (rules.wanted_class(f["location"]) == "free")
+    keyword = F.when(F.coalesce(f["keyword"], F.lit("")) != "", _runs(F.lower(f["keyword"]), "k"))
+    place = F.when(in_words, _runs(rules.plain_place(f["location"]), "p"))
+    location = F.when(_free(f["location"]), F.lit("any")).otherwise(rules.wanted_class(f["location"]))
+    facet = _facet(location, F.when(_free(f["salary"]), F.lit("any")).otherwise(f["salary"]))
+    none = F.array().cast("array<string>")
+    texts = F.array_distinct(F.concat(F.coalesce(keyword, none), F.coalesce(place, none)))
+    return F.when(F.size(texts) > 0, texts).otherwise(F.array(facet))
+
+
 def _job_keys() -> Column:
-    """All keys under which a filter could want this posting."""
+    """All keys under which a filter could want a posting."""
+    def low(c: str) -> Column:
+        return F.lower(F.coalesce(c, F.lit("")))
+
     any_ = F.array(F.lit("any"))
     pay = F.concat(any_, F.col("choices"))
-    facets = F.flatten(
-        F.transform(
-            F.concat(any_, F.col("classes")),
-            lambda p: F.transform(pay, lambda s: F.concat(F.lit("f:"), p, F.lit("|"), s)),
-        )
-    )
-    return F.array_distinct(F.concat(_grams(F.col("title")), _grams(F.col("company")), facets))
+    facets = F.flatten(F.transform(F.concat(any_, F.col("classes")), lambda p: F.transform(pay, lambda s: _facet(p, s))))
+    place = F.coalesce("place", F.lit(""))
+    return F.concat(_all_runs(low("title"), "k"), _all_runs(low("company"), "k"), _all_runs(place, "p"), facets)
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def _only(wanted: DataFrame) -> tuple[Column, Column]:
+    """(bitmap, filter of ``_keys`` by it in ``_wanted``): the posting's keys that may be among the wanted ones.
+
+    The bitmap has SLOTS bits, whatever the number of keys. It keeps rows of other keys from being made; an
+    equality join decides."""
+    word = F.shiftright("slot", 6).alias("word")
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = wanted.select(_slot(F.col("key")).alias("slot")).groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    all_words = wanted.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    dense = all_words.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda w: w["bits"]))
+    kept = F.filter(F.col("_keys"), lambda k: F.get(F.col("_wanted"), F.shiftright(_slot(k), 6).cast("int")).bitwiseAND(
+        F.call_function("shiftleft", F.lit(1).cast("long"), _slot(k).bitwiseAND(63).cast("int"))) != 0)
+    return dense.scalar(), kept
+
+
+def offered(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row for each posting and each of its keys that is among the wanted ones (column ``key``)."""
+    classed = jobs.withColumns({
+        "place": rules.plain_place(F.col("location")),
+        "classes": rules.place_classes(F.col("location")),
+        "choices": rules.salary_choices(F.col("salary")),
+    })
+    words, kept = _only(wanted)
+    rows = classed.withColumn("_keys", F.array_distinct(_job_keys())).withColumn("_wanted", words)
+    return rows.withColumn("key", F.explode(kept)).drop("_keys", "_wanted")
+
+
+def rarest_keys(filters: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each filter under the one of its keys that fewest postings have (column ``key``).
+
+    Only filters in words have a choice; the frequency table holds their keys and no others.
+    """
+    could = filters.withColumn("_could", _wanted_keys(F.col("wanted")))
+    choices = could.filter(F.size("_could") > 1).select("filter", F.explode("_could").alias("key"))
+    asked = choices.select("key").distinct()
+    times = offered(jobs.select("title", "company", "location", "salary"), asked).groupBy("key").agg(F.count("*").alias("times"))
+    counted = choices.join(times, "key", "left")
+    rarest = counted.groupBy("filter").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "key"))["key"].alias("_rarest"))
+    return could.join(rarest, "filter", "left").withColumn("key", F.coalesce("_rarest", F.get("_could", F.lit(0)))).drop("_could", "_rarest")
 
 
 def _wanted_by(f: Column) -> Column:
@@ -82,39 +142,49 @@ def _wanted_by(f: Column) -> Column:
 
     Filters on other fields never get here: such alerts are not sendable.
     """
-    def free(value: Column) -> Column:
-        return value.isNull() | (value == "all")
-
     kind = rules.wanted_class(f["location"])
     place = F.array_contains("classes", kind) & (
         (kind != "free") | F.col("place").contains(rules.plain_place(f["location"]))
     )
     return (
         rules.match_keyword(F.col("title"), F.col("company"), f["keyword"])
-        & (free(f["location"]) | place)
-        & (free(f["salary"]) | F.array_contains("choices", f["salary"]))
+        & (_free(f["location"]) | place)
+        & (_free(f["salary"]) | F.array_contains("choices", f["salary"]))
     )
 
 
-def match_filters(wishes: DataFrame, jobs: DataFrame, limit: int = rules.JOBS_PER_MAIL) -> DataFrame:
-    """Oldest ``limit`` matches per distinct (filters, cutoff).
+def match_filters(filters: DataFrame, jobs: DataFrame) -> DataFrame:
+    """filter, job_id, job_at of every posting that a distinct filter wants.
 
-    A posting only meets filters that share a key with it, so the join is an
-    equality join that Spark can hash, split and skew-handle; the full predicate
-    then decides. Row numbers are cut per task before the shuffle.
+    A posting only meets filters whose one key it has, in an equality join that Spark can hash, split and
+    skew-handle; the full predicate then decides.
     """
-    keyed = wishes.withColumn("key", _wanted_key(F.col("wanted")))
-    classed = jobs.withColumns({
-        "place": rules.plain_place(F.col("location")),
-        "classes": rules.place_classes(F.col("location")),
-        "choices": rules.salary_choices(F.col("salary")),
-    })
-    offered = classed.withColumn("key", F.explode(_job_keys()))
-    pairs = offered.join(keyed, "key").filter(
-        (F.col("job_at") > F.col("cutoff")) & _wanted_by(F.col("wanted"))
-    )
-    oldest = Window.partitionBy("wish").orderBy("job_at", "job_id")
-    placed = pairs.select("wish", "job_id", "job_at", F.row_number().over(oldest).alias("place"))
+    keyed = rarest_keys(filters, jobs)
+    pairs = offered(jobs, keyed.select("key").distinct()).join(keyed, "key").filter(_wanted_by(F.col("wanted")))
+    return pairs.select("filter", "job_id", "job_at")
+
+
+def oldest_after(found: DataFrame, cutoffs: DataFrame, limit: int) -> DataFrame:
+    """filter, cutoff, job_id, job_at, place: the oldest ``limit`` matches of a filter after each of its cutoffs.
+
+    Matches are counted by hour. From the counts follows which hours a cutoff needs: its own, and later ones until
+    ``limit`` matches are reached. A cutoff is joined with the matches of these hours only, not with all of its filter.
+    """
+    hour = F.date_trunc("hour", "job_at")
+    hours = found.groupBy("filter", hour.alias("hour")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("filter").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    summed = hours.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = cutoffs.select("filter", F.date_trunc("hour", "cutoff").alias("start")).distinct()
+    later = starts.join(summed, "filter").filter("hour >= start")
+    first = Window.partitionBy("filter", "start")
+    # What lies in the cutoff's own hour may be before it, so only the hours behind it count towards the limit.
+    behind = F.min(F.when(F.col("hour") > F.col("start"), F.col("before"))).over(first)
+    needed = later.withColumn("skipped", F.coalesce(behind, F.col("before"))).filter(
+        (F.col("hour") == F.col("start")) | (F.col("before") - F.col("skipped") < limit)).select("filter", "start", "hour")
+    asked = cutoffs.withColumn("start", F.date_trunc("hour", "cutoff")).join(needed, ["filter", "start"]).select("filter", "cutoff", "hour")
+    rows = found.withColumn("hour", hour).join(asked, ["filter", "hour"]).filter(F.col("job_at") > F.col("cutoff"))
+    oldest = Window.partitionBy("filter", "cutoff").orderBy("job_at", "job_id")
+    placed = rows.select("filter", "cutoff", "job_id", "job_at", F.row_number().over(oldest).alias("place"))
     return placed.filter(F.col("place") <= limit)
 
 
@@ -135,16 +205,22 @@ def earliest_cutoff(due_alerts: DataFrame, as_of: Column) -> datetime:
     return bounds.first()[0]
 
 
-def match_alerts(ready: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Up to ten postings per alert, oldest first; alerts with equal filters and
-    cursor share one matching."""
-    wish = F.to_json(F.struct("wanted.*", "cutoff"))
-    wishing = ready.withColumn("wish", wish)
-    wishes = wishing.select("wish", "wanted", "cutoff").dropDuplicates(["wish"])
-    found = match_filters(wishes, scanned).groupBy("wish").agg(
-        F.array_sort(F.collect_list(F.struct("job_at", "job_id"))).alias("found")
-    )
-    return wishing.join(found, "wish", "left").drop("wish")
+def match_alerts(ready: DataFrame, scanned: DataFrame, limit: int = rules.JOBS_PER_MAIL) -> DataFrame:
+    """Up to ten postings per alert, oldest first; alerts with equal filters share one matching."""
+    wishing = ready.withColumn("filter", F.to_json(F.struct("wanted.*")))
+    filters = wishing.select("filter", "wanted").dropDuplicates(["filter"])
+    found = _kept(match_filters(filters, scanned), "alert-matches")
+    oldest = oldest_after(found, wishing.select("filter", "cutoff").distinct(), limit)
+    lists = oldest.groupBy("filter", "cutoff").agg(
+        F.array_sort(F.collect_list(F.struct("job_at", "job_id"))).alias("found"))
+    return wishing.join(lists, ["filter", "cutoff"], "left").drop("filter")
+
+
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    """Stored and read back, for rows that several results are made of."""
+    path = scratch_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def run_digest(
@@ -174,6 +250,7 @@ def run_digest(
         F.array_max(F.transform("found", lambda j: j["job_at"])).alias("newest_match"),
         "newest_scanned", undelivered.alias("failed"),
     )
+    state = _kept(state, "digest-state")  # the four results are made of one matching
     has_match = F.col("job_ids").isNotNull()
     sent = has_match & ~F.col("failed")
     moved = (

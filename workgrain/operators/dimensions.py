@@ -10,11 +10,19 @@ from .measures import grouped, share, with_total
 from .warehouse import classified
 
 
+#: What the company dimension measures: arguments of ``measures.grouped`` and of ``marts.Mart``.
+COMPANY = {
+    "keys": ["source_platform", "company_name"], "flags": ["any", "posted"],
+    "distinct": ["job_location"], "sets": ["work_model_normalized"],
+}
+
+
 def dim_company(fact: DataFrame) -> DataFrame:
-    groups = grouped(
-        classified(fact), ["source_platform", "company_name"],
-        flags=["any", "posted"], distinct=["job_location"], sets=["work_model_normalized"],
-    )
+    return company_measures(grouped(classified(fact), **COMPANY))
+
+
+def company_measures(groups: DataFrame) -> DataFrame:
+    """The company dimension of measured groups, however these were made."""
     return groups.select(
         surrogate_key(F.col("source_platform"), F.col("company_name")).alias("company_id"),
         "company_name", "source_platform",

@@ -44,13 +44,19 @@ def job_category_analysis(fact: DataFrame) -> DataFrame:
     )
 
 
+#: What the daily market measures: arguments of ``measures.grouped`` and of ``marts.Mart``.
+DAILY = {
+    "keys": ["job_posted_date", "source_platform"],
+    "flags": ["posted", "remote", "hybrid", "fulltime", "onsite", "bachelor"], "distinct": ["company_name", "job_location"],
+}
+
+
 def job_market_daily(fact: DataFrame) -> DataFrame:
+    return daily_measures(grouped(classified(fact), **DAILY))
+
+
+def daily_measures(groups: DataFrame) -> DataFrame:
     """Delivered postings count distinct urls, full-time ones test the arrangement."""
-    groups = grouped(
-        classified(fact), ["job_posted_date", "source_platform"],
-        flags=["posted", "remote", "hybrid", "fulltime", "onsite", "bachelor"],
-        distinct=["company_name", "job_location"],
-    )
     return groups.select(
         "job_posted_date", "source_platform",
         F.col("rows").alias("daily_job_postings"),

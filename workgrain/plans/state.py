@@ -82,6 +82,17 @@ def j10(spark, sf):
     return digest.reachable(digest.attach_users(*owned(spark, sf))).select("alert_id", "email")
 
 
+@query("j10_many_alerts_per_user", with_(sql.ALERTS_SQL, """users AS (SELECT user_id, min(email) AS email,
+  count(*) FILTER (is_blocked) > 2 AS is_blocked FROM alerts GROUP BY user_id)""") + """SELECT a.alert_id, a.user_id, u.email
+  FROM alerts a JOIN users u ON a.user_id = u.user_id WHERE NOT u.is_blocked AND coalesce(u.email, '') <> ''""")
+def j10_many(spark, sf):
+    """Forty users own all alerts; a user with three blocked ones counts as blocked."""
+    rows = alerts(spark, sf)
+    users = rows.groupBy("user_id").agg(F.min("email").alias("email"), (F.count_if("is_blocked") > 2).alias("is_blocked"))
+    attached = digest.attach_users(rows.drop("email", "is_blocked"), users)
+    return digest.reachable(attached).select("alert_id", "user_id", "email")
+
+
 JOB_PLACE = "trim(regexp_replace(regexp_replace(lower(location), '[._-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 FLOOR = "coalesce(pay_min, pay_value, pay_max)"
 HN, HCM, DN = (["hà nội", "ha noi"], ["hồ chí minh", "ho chi minh", "hcm"], ["đà nẵng", "da nang"])

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import dimensions as dims
 from ..operators import gold
 from ..operators import warehouse as wh
+from ..session import scratch_dir
 from ..sources.tables import layer
 from . import sql
 from .fixtures import JOBS_RAW, jobs_raw, staging_itviec, staging_topcv, table
-from .registry import query
+from .registry import ORACLES, query
 from .sql import with_
 
 GOLD_DAY = "2001-08-02"
@@ -221,6 +222,32 @@ def a1(spark, sf):
     return dims.dim_company(stored_fact(spark, sf))
 
 
+def kept_by_deltas(spark: SparkSession, sf: str, layout: dict) -> DataFrame:
+    """Measured groups after three batches: older postings in an earlier state, then their changes and new postings,
+    then the removal of postings that were never there."""
+    from ..operators.marts import Mart
+
+    rows = wh.classified(stored_fact(spark, sf)).withColumn("_key", F.pmod(F.xxhash64("url"), F.lit(10)))
+    current = rows.drop("_key")
+    early = rows.filter("_key < 7 AND url IS NOT NULL").withColumns({
+        "job_location": F.when(F.col("_key") < 3, F.lit("Ha Noi")).otherwise(F.col("job_location")),
+        "salary_avg_million": F.when(F.col("_key") < 2, F.lit(None)).otherwise(F.col("salary_avg_million")).cast(rows.schema["salary_avg_million"].dataType),
+        "company_name": F.when(F.col("_key") < 1, F.lit("AN EARLIER NAME")).otherwise(F.col("company_name")),
+    }).drop("_key")
+    gone = early.filter(F.col("company_name") == "AN EARLIER NAME").withColumn("url", F.concat("url", F.lit("#gone")))
+    mart = Mart(spark, scratch_dir(spark, "mart"), **layout)
+    mart.update(early.unionByName(gone), number=1)
+    mart.update(current.filter(F.pmod(F.xxhash64("url"), F.lit(10)).isin(0, 1, 2, 7, 8, 9) | F.col("url").isNull()), number=2)
+    mart.update(gone.limit(0), removed=gone.select("url"), number=3)
+    mart.update(early, number=3)  # a number that has been applied
+    return mart.read()
+
+
+@query("a1_company_by_deltas", sql.FACT + DIM_COMPANY)
+def a1_deltas(spark, sf):
+    return dims.company_measures(kept_by_deltas(spark, sf, dims.COMPANY))
+
+
 DIM_LOCATION = f"""SELECT {sql.key('job_location')} AS location_id, job_location, count(DISTINCT url) AS total_jobs,
   count(DISTINCT company_name) AS num_companies, count(DISTINCT source_platform) AS num_platforms,
   {mean()} AS avg_salary_by_location, max(salary_max_million) AS highest_salary,
@@ -295,6 +322,11 @@ def a7(spark, sf):
     return gold.job_market_daily(stored_fact(spark, sf))
 
 
+@query("a7_daily_by_deltas", ORACLES["a7_job_market_daily"])
+def a7_deltas(spark, sf):
+    return gold.daily_measures(kept_by_deltas(spark, sf, gold.DAILY))
+
+
 @query("a8_platform_comparison", sql.FACT + f"""SELECT source_platform, count(*) AS total_job_postings,
   count(DISTINCT company_name) AS unique_companies, count(DISTINCT job_location) AS unique_locations,
   count(DISTINCT job_title) AS unique_job_titles,
