@@ -235,3 +235,18 @@ def test_pipeline_stages(spark, messy, small, tmp_path):
         odd = stage(spark, messy, SMALL)
         assert odd.columns == messy.columns and 0 < odd.count() <= messy.count()
         assert stage(spark, messy.limit(0), SMALL).count() == 0
+
+
+def test_rollup_refuses_falling_numbers_and_takes_ids_of_any_type(spark, tmp_path):
+    layout = "doc_id string, op string, seq int, text string, source string, lang string"
+    rollup = counts.TokenRollup(spark, str(tmp_path / "rollup"), {"t": public_tokenizers.path("byte_bpe_50k.tiktoken")})
+    assert rollup.apply(2, spark.createDataFrame([("a-1", "upsert", 0, "one two three", "s", "en"), ("x", "upsert", 0, "one", "s", "en")], layout))
+    late = spark.createDataFrame([("a-1", "upsert", 0, "one", "s", "en")], layout)
+    with pytest.raises(ValueError, match="rise"):
+        rollup.apply(1, late)
+    assert rollup.committed() == [2]
+    assert rollup.apply(3, late) and not rollup.apply(2, late)
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(2, 2)]
+    gone = spark.createDataFrame([("a-1", "delete", 0, None, None, None), ("x", "delete", 0, None, None, None)], layout)
+    assert rollup.apply(4, gone)
+    assert rollup.totals().count() == 0  # an emptied group has no tokens left

@@ -44,7 +44,8 @@ class TokenRollup:
 
     A batch that failed half-way overwrites its own parts when it is sent again; a batch that is committed
     is ignored when it is sent again. So any batch may be repeated any number of times. Batches of one
-    rollup are applied one after the other, with rising numbers: a repeated document belongs to its latest batch.
+    rollup are applied one after the other, with rising numbers: a repeated document belongs to its latest batch, and a
+    new batch with a number below one that is committed is refused. Ids of any type are compared as text.
     """
 
     def __init__(self, spark: SparkSession, root: str, tokenizers: Mapping[str, str] | None = None):
@@ -63,11 +64,16 @@ class TokenRollup:
             return None
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{table}/batch_id={b}" for b in done))
 
-    def ledger(self) -> DataFrame | None:
-        """Latest state of every document in a committed batch: (doc_id, batch, live, source, lang, counts)."""
+    def ledger(self, touched: DataFrame | None = None) -> DataFrame | None:
+        """Latest state of every document in a committed batch: (doc_id, batch, live, source, lang, counts).
+
+        With ``touched`` (doc_id) only of these documents; the others' rows are left out before any are grouped.
+        """
         rows = self._parts("ledger", LEDGER)
         if rows is None:
             return None
+        if touched is not None:
+            rows = rows.join(touched.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
         latest = rows.groupBy("doc_id").agg(F.max_by(F.struct("batch", "live", "source", "lang", "counts"), "batch").alias("s"))
         return latest.select("doc_id", "s.*")
 
@@ -80,12 +86,15 @@ class TokenRollup:
         Every upsert without a doc_id is a document that can never be revised; a delete without one and a row
         with another op or none change nothing. Further columns are ignored.
         """
-        if batch in self.committed():
+        done = self.committed()
+        if batch in done:
             return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after batch {done[-1]}: numbers must rise")
         live = F.col("op") == "upsert"
         useful = (F.col("op") == "delete") & F.col("doc_id").isNotNull() | live
         counted = changes.where(useful).select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("spread"), "op", "seq", "source", "lang", F.xxhash64("text", "source", "lang").alias("same"),
+            F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("spread"), "op", "seq", "source", "lang", F.xxhash64("text", "source", "lang").alias("same"),
             F.array(*(F.when(live, token_count(F.when(live, F.col("text")), path)) for path in self.tokenizers.values())).alias("counts"))
         order = Window.partitionBy("doc_id", "spread").orderBy(F.desc("seq"), F.when(live, 1).otherwise(0), "same")
         last = counted.withColumn("nth", F.row_number().over(order)).where("nth = 1")
@@ -93,11 +102,10 @@ class TokenRollup:
             "overwrite").parquet(f"{self.root}/ledger/batch_id={batch}")
         new = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/batch_id={batch}").where("live")
         signed = new.select(F.lit(1).alias("sign"), "source", "lang", "counts")
-        before = self.ledger()
+        touched = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/batch_id={batch}").select("doc_id")
+        before = self.ledger(touched)
         if before is not None:
-            touched = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/batch_id={batch}").select("doc_id")
-            old = before.where("live").join(touched, "doc_id", "left_semi")
-            signed = signed.union(old.select(F.lit(-1).alias("sign"), "source", "lang", "counts"))
+            signed = signed.union(before.where("live").select(F.lit(-1).alias("sign"), "source", "lang", "counts"))
         names = F.array(*map(F.lit, self.tokenizers))
         each = signed.select("sign", "source", "lang", F.explode(F.arrays_zip(names.alias("tokenizer"), F.col("counts").alias("n"))).alias("c"))
         each.groupBy("source", "lang", F.col("c.tokenizer").alias("tokenizer")).agg(
@@ -112,8 +120,9 @@ class TokenRollup:
         rows = self._parts("deltas", DELTAS)
         if rows is None:
             rows = self.spark.createDataFrame([], DELTAS)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where(
+            "n_docs <> 0 OR n_tokens <> 0")
 
 
-LEDGER = "doc_id long, batch long, live boolean, source string, lang string, counts array<bigint>"
+LEDGER = "doc_id string, batch long, live boolean, source string, lang string, counts array<bigint>"
 DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
