@@ -230,12 +230,17 @@ def _keys(docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int, see
 
 
 def _tiles(keys: DataFrame) -> DataFrame:
-    """(key, node) of tiles with several nodes; of tiles with the same nodes one stays."""
-    rows = keys.repartition("key")
-    mark = [F.sum(F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 32))).alias(f"s{s}") for s in (1, 2)]
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c"), *mark)
-    chosen = shared.where("low < high").groupBy("low", "high", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    return rows.join(chosen.hint("shuffle_hash"), "key").distinct()
+    """(key, node) of tiles with several nodes; of tiles with the same nodes one stays.
+
+    The keys are made and shuffled once: what tells tiles apart is added up beside their rows.
+    """
+    tile = Window.partitionBy("key")
+    mark = [F.sum(F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 32))).over(tile).alias(f"s{s}") for s in (1, 2)]
+    marked = keys.select("key", "node", F.min("node").over(tile).alias("low"), F.max("node").over(tile).alias("high"),
+                         F.count("*").over(tile).alias("c"), *mark)
+    shared = stored(marked.where("low < high"), "jaccard-shared")
+    chosen = shared.groupBy("low", "high", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    return shared.select("key", "node").join(chosen, "key", "left_semi").distinct()
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
