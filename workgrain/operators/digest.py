@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import alerts as rules
 from ..session import scratch_dir
+from .matching import explode_wanted, runs_of
 from .search import labelled
 
-GRAM = 3
-SLOTS = 1 << 16
-
 
 def attach_users(alerts: DataFrame, users: DataFrame) -> DataFrame:
     """Adds the owner's address and blocked flag."""
@@ -48,19 +46,8 @@ def _free(value: Column) -> Column:
     return value.isNull() | (value == "all")
 
 
-def _runs(text: Column, kind: str) -> Column:
-    """The runs of GRAM characters of a text, or the text itself if it is shorter."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.concat(F.lit(f"{kind}:"), F.substr(text, i, F.lit(GRAM))))
-
-
-def _all_runs(text: Column, kind: str) -> Column:
-    """Every run of one to GRAM characters of a text."""
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.concat(F.lit(f"{kind}:"), F.substr(text, i, F.lit(n))))
-
-    return F.concat(*[runs(n) for n in range(1, GRAM + 1)])
+def _runs(text: Column, kind: str, longest_only: bool = False) -> Column:
+    return F.transform(runs_of(text, longest_only), lambda r: F.concat(F.lit(f"{kind}:"), r))
 
 
 def _facet(place: Column, pay: Column) -> Column:
@@ -70,8 +57,8 @@ def _facet(place: Column, pay: Column) -> Column:
 def _wanted_keys(f: Column) -> Column:
     """The keys that a filter could be found under: runs of its keyword or of a place in words; else its one facet."""
     in_words = ~_free(f["location"]) & (rules.wanted_class(f["location"]) == "free")
-    keyword = F.when(F.coalesce(f["keyword"], F.lit("")) != "", _runs(F.lower(f["keyword"]), "k"))
-    place = F.when(in_words, _runs(rules.plain_place(f["location"]), "p"))
+    keyword = F.when(F.coalesce(f["keyword"], F.lit("")) != "", _runs(F.lower(f["keyword"]), "k", True))
+    place = F.when(in_words, _runs(rules.plain_place(f["location"]), "p", True))
     location = F.when(_free(f["location"]), F.lit("any")).otherwise(rules.wanted_class(f["location"]))
     facet = _facet(location, F.when(_free(f["salary"]), F.lit("any")).otherwise(f["salary"]))
     none = F.array().cast("array<string>")
@@ -88,27 +75,7 @@ def _job_keys() -> Column:
     pay = F.concat(any_, F.col("choices"))
     facets = F.flatten(F.transform(F.concat(any_, F.col("classes")), lambda p: F.transform(pay, lambda s: _facet(p, s))))
     place = F.coalesce("place", F.lit(""))
-    return F.concat(_all_runs(low("title"), "k"), _all_runs(low("company"), "k"), _all_runs(place, "p"), facets)
-
-
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
-
-
-def _only(wanted: DataFrame) -> tuple[Column, Column]:
-    """(bitmap, filter of ``_keys`` by it in ``_wanted``): the posting's keys that may be among the wanted ones.
-
-    The bitmap has SLOTS bits, whatever the number of keys. It keeps rows of other keys from being made; an
-    equality join decides."""
-    word = F.shiftright("slot", 6).alias("word")
-    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    words = wanted.select(_slot(F.col("key")).alias("slot")).groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    all_words = wanted.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
-    dense = all_words.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda w: w["bits"]))
-    kept = F.filter(F.col("_keys"), lambda k: F.get(F.col("_wanted"), F.shiftright(_slot(k), 6).cast("int")).bitwiseAND(
-        F.call_function("shiftleft", F.lit(1).cast("long"), _slot(k).bitwiseAND(63).cast("int"))) != 0)
-    return dense.scalar(), kept
+    return F.concat(_runs(low("title"), "k"), _runs(low("company"), "k"), _runs(place, "p"), facets)
 
 
 def offered(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,9 +85,7 @@ def offered(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
         "classes": rules.place_classes(F.col("location")),
         "choices": rules.salary_choices(F.col("salary")),
     })
-    words, kept = _only(wanted)
-    rows = classed.withColumn("_keys", F.array_distinct(_job_keys())).withColumn("_wanted", words)
-    return rows.withColumn("key", F.explode(kept)).drop("_keys", "_wanted")
+    return explode_wanted(classed, _job_keys(), wanted)
 
 
 def rarest_keys(filters: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -25,25 +25,64 @@ def explode_patterns(
     return rows.withColumn(value, F.explode_outer(pattern_values(text, patterns)))
 
 
-def match_distinct(
-    rows: DataFrame, text: str, patterns: Sequence[tuple[str, str]], value: str
-) -> DataFrame:
-    """The same left join for columns that repeat few texts, such as places.
+GRAM = 3
+SLOTS = 1 << 16
+#: A pattern that is only text and alternatives; such patterns are found by the runs of characters they require.
+_TEXT_ONLY = r"^(\(\?iu?U?\))?[^\\^$.\[\]{}()*+?|]+(\|[^\\^$.\[\]{}()*+?|]+)*$"
+
+
+def runs_of(text: Column, longest_only: bool = False) -> Column:
+    """Every run of one to GRAM characters of a text; or only the longest kind: runs of GRAM, or a shorter text itself."""
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    return runs(GRAM) if longest_only else F.concat(*[runs(n) for n in range(1, GRAM + 1)])
+
 
-    Only the distinct texts meet the patterns; the hits join back on equality.
-    The distinct step combines map-side and reads one column, and Spark
-    broadcasts the hits when they are small or splits skewed texts otherwise.
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def explode_wanted(rows: DataFrame, keys: Column, wanted: DataFrame) -> DataFrame:
+    """A row for each row and each of its distinct keys that may be in ``wanted`` (column ``key``), as column ``key``.
+
+    A bitmap of SLOTS bits, whatever the number of wanted keys, keeps rows of other keys from being made; the
+    equality join that follows decides.
     """
-    hits = explode_patterns(rows.select(text).distinct(), text, patterns, value)
-    return rows.join(hits, text, "left")
+    word = F.shiftright("slot", 6).alias("word")
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = wanted.select(_slot(F.col("key")).alias("slot")).groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    all_words = wanted.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    dense = all_words.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda w: w["bits"]))
+
+    def may_be(k: Column) -> Column:
+        bits = F.get(F.col("_wanted"), F.shiftright(_slot(k), 6).cast("int"))
+        return bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _slot(k).bitwiseAND(63).cast("int"))) != 0
+
+    marked = rows.withColumn("_keys", F.array_distinct(keys)).withColumn("_wanted", dense.scalar())
+    return marked.withColumn("key", F.explode(F.filter("_keys", may_be))).drop("_keys", "_wanted")
 
 
 def join_patterns(rows: DataFrame, text: str, table: DataFrame, pattern: str) -> DataFrame:
     """The same left join against a pattern table of any size.
 
-    Each distinct text is matched once and joined back on equality, so the
-    pairwise work grows with the number of distinct texts only.
+    Each distinct text is matched once and joined back on equality. A pattern that is only text and alternatives
+    requires one of its alternatives, so it meets only texts that have the same run of characters, in an equality
+    join, and is then matched. Other patterns meet every distinct text; there is no such join where there are none.
     """
     texts = rows.select(text).where(F.col(text).isNotNull()).distinct()
-    hits = texts.join(table, F.expr(f"`{text}` rlike `{pattern}`"))
+    plain = table.withColumn("_row", F.monotonically_increasing_id()).filter(F.col(pattern).rlike(_TEXT_ONLY))
+    bare = F.lower(F.regexp_replace(F.col(pattern), r"^\(\?[iuU]+\)", ""))
+    literals = plain.withColumn("_literal", F.explode(F.split(bare, r"\|")))
+    # The run whose hash is smallest, so that patterns with a common beginning do not all share a key.
+    chosen = F.array_min(F.transform(runs_of(F.col("_literal"), True), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    keyed = literals.withColumn("key", chosen).drop("_literal")
+    offered = explode_wanted(texts, runs_of(F.lower(text)), keyed.select("key").distinct())
+    test = F.expr(f"`{text}` rlike `{pattern}`")
+    hits = offered.join(keyed, "key").where(test).dropDuplicates([text, "_row"]).select(text, *table.columns)
+    others = table.filter(~F.col(pattern).rlike(_TEXT_ONLY))
+    if not others.isEmpty():
+        hits = hits.unionByName(texts.join(others, test).select(text, *table.columns))
     return rows.join(hits, text, "left")

@@ -14,7 +14,7 @@ from ..functions.location import normal_location, work_arrangement, work_model
 from ..functions.salary import max_salary, mid_salary, min_salary, salary_band
 from ..functions.text import lower_trim, surrogate_key, title_case, trim_blanks, upper_trim
 from ..sources.seeds import CATEGORY_PATTERNS, CITY_PATTERNS
-from .matching import explode_patterns
+from .matching import explode_patterns, join_patterns
 
 OTHERS = "Others"
 ELSEWHERE = "nơi khác"
@@ -89,20 +89,29 @@ def jobs_unified(topcv: DataFrame, itviec: DataFrame) -> DataFrame:
 
 
 def categorize(
-    rows: DataFrame, patterns: Sequence[tuple[str, str]] = CATEGORY_PATTERNS
+    rows: DataFrame, patterns: Sequence[tuple[str, str]] | DataFrame = CATEGORY_PATTERNS
 ) -> DataFrame:
-    """Adds ``job_category``; a title that hits several patterns gives several rows."""
-    unicode_words = [(p.replace("(?i)", "(?iU)", 1), value) for p, value in patterns]
+    """Adds ``job_category``; a title that hits several patterns gives several rows. A large pattern table is joined."""
     lowered = rows.withColumn("_title", F.lower("title")).drop("job_category")
-    hits = explode_patterns(lowered, "_title", unicode_words, "job_category").drop("_title")
+    if isinstance(patterns, DataFrame):
+        words = F.regexp_replace("pattern", r"^\(\?i\)", "(?iU)")
+        table = patterns.select(words.alias("_pattern"), F.col(patterns.columns[1]).alias("job_category"))
+        hits = join_patterns(lowered, "_title", table, "_pattern").drop("_title", "_pattern")
+    else:
+        unicode_words = [(p.replace("(?i)", "(?iU)", 1), value) for p, value in patterns]
+        hits = explode_patterns(lowered, "_title", unicode_words, "job_category").drop("_title")
     return hits.withColumn("job_category", F.coalesce("job_category", F.lit(OTHERS)))
 
 
-def map_city(rows: DataFrame, patterns: Sequence[tuple[str, ...]] = CITY_PATTERNS) -> DataFrame:
+def map_city(rows: DataFrame, patterns: Sequence[tuple[str, ...]] | DataFrame = CITY_PATTERNS) -> DataFrame:
     """Adds ``job_location``, the English city name; null when no pattern is found.
 
     The patterns are matched in the projection itself: rows stay where they are, whatever place is the commonest.
+    A large pattern table is joined instead.
     """
+    if isinstance(patterns, DataFrame):
+        table = patterns.select(F.col("pattern").alias("_pattern"), F.col(patterns.columns[2]).alias("job_location"))
+        return join_patterns(rows, "working_location", table, "_pattern").drop("_pattern")
     names = [(row[0], row[2]) for row in patterns]
     return explode_patterns(rows, "working_location", names, "job_location")
 
@@ -116,7 +125,7 @@ _BASE = (
 )
 
 
-Patterns = Sequence[tuple[str, ...]]
+Patterns = Sequence[tuple[str, ...]] | DataFrame
 
 
 def _base(bronze: DataFrame, columns: dict[str, Column], categories: Patterns) -> DataFrame:

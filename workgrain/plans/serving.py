@@ -184,6 +184,20 @@ def v2(spark, sf):
     return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("v2_knn_by_groups", f"""SELECT vec_id, round({COSINE}, 6) AS similarity FROM embeddings
+  ORDER BY {COSINE} DESC, vec_id LIMIT 20""")
+def v2_groups(spark, sf):
+    """The same rows from vectors stored in groups, of which only those are read that could hold one of them."""
+    from ..operators.vector_groups import VectorGroups
+    from ..session import scratch_dir
+
+    stored = VectorGroups(spark, scratch_dir(spark, "vector-groups"), ident="vec_id")
+    query = query_vector(spark, sf)
+    stored.build(table(spark, sf, "embeddings").select("vec_id", "embedding"), len(query))
+    found, _ = stored.nearest(query, 20)
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("o2_knn_page", f"""SELECT vec_id, round({COSINE}, 6) AS similarity FROM embeddings
   ORDER BY {COSINE} DESC, vec_id LIMIT 20 OFFSET 40""")
 def o2(spark, sf):

@@ -36,9 +36,8 @@ def load_seed(spark: SparkSession, name: str, path: str | None = None) -> DataFr
     return spark.createDataFrame(read_rows(name), SCHEMAS[name])
 
 
-def seed_patterns(seed: DataFrame, most: int = 10_000) -> list[tuple[str, ...]]:
-    """Rows of a seed table for the pattern joins; a seed is a small table, a larger one is refused."""
-    rows = [tuple(r) for r in seed.filter("pattern IS NOT NULL").limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"a seed of more than {most} rows is not a seed; use join_patterns")
-    return rows
+def seed_patterns(seed: DataFrame, most: int = 10_000) -> list[tuple[str, ...]] | DataFrame:
+    """What the pattern joins take: the rows of a small seed, which become literals, or a larger table as it is, which is joined."""
+    known = seed.filter("pattern IS NOT NULL")
+    rows = [tuple(r) for r in known.limit(most + 1).collect()]
+    return known if len(rows) > most else rows
