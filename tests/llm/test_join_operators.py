@@ -190,16 +190,52 @@ def test_near_vectors_by_hand(spark, monkeypatch, block):
     assert codes.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_codes_bound_and_estimate():
+def near_families():
     r = np.random.default_rng(2)
     v = r.standard_normal((400, 32))
     v[200:] = v[:200] + 0.3 * r.standard_normal((200, 32))
+    return v
+
+
+def test_codes_bound_and_estimate():
+    v = near_families()
     made, factor = codes.encode(v)
     u = codes.unit(v)
-    estimate, margin = codes.estimates(made, factor, u @ codes.rotation(32).T)
-    true = u @ u.T
-    assert (true <= estimate + margin + 1e-4).all()
-    assert abs((estimate - true)[~np.eye(400, dtype=bool)].mean()) < 0.01
+    turned, true, other = u @ codes.rotation(32).T, u @ u.T, ~np.eye(400, dtype=bool)
+    estimate, confidence, most = codes.estimates(made, factor, turned)
+    assert (true <= most + 1e-4).all()
+    assert abs((estimate - true)[other].mean()) < 0.01
+    assert (np.abs(estimate - true) <= confidence)[other].mean() > 0.999
+    near = other & (true > 0.8)  # without the stored factor the estimate falls short
+    assert abs((estimate - true)[near].mean()) < 0.02 < 0.1 < abs((codes.estimates(made, np.ones(400), turned)[0] - true)[near].mean())
+
+
+def test_the_estimate_settles_what_is_computed():
+    """Few pairs are computed, nearly all links are among those that the estimate picks, and the bound adds the rest."""
+    v = near_families()
+    made, factor = codes.encode(v)
+    rows, told, blunt = np.arange(400), {}, {}
+    links = codes.links_of_block(v, made, factor, rows, rows, 0.93, told)
+    u = codes.unit(v)
+    want = {(a, b) for a, b in combinations(range(400), 2) if float(np.einsum("i,i", u[a], u[b])) >= 0.93}
+    assert {tuple(sorted(p)) for p in links.tolist()} == want and len(want) > 50
+    assert told["pairs"] == 400 * 399 // 2 and told["picked"] + told["added"] < told["pairs"] / 5
+    assert told["links_picked"] >= 0.99 * len(want) and told["links_picked"] + told["links_added"] == len(want)
+    codes.links_of_block(v, made, np.ones(400), rows, rows, 0.93, blunt)
+    assert blunt["links_picked"] < 0.5 * len(want)
+
+
+def test_a_pair_is_decided_alike_whatever_its_block():
+    """Whole blocks and single pairs decide by one inner product: a threshold that is some pair's own cosine."""
+    v = near_families()
+    u = codes.unit(v)
+    for a, b in ((0, 200), (5, 205), (7, 207)):
+        least = float(np.einsum("ij,ij->i", u[[a]], u[[b]])[0])
+        dense = np.ones((400, 400), dtype=bool)
+        sparse = np.zeros((400, 400), dtype=bool)
+        sparse[a, b] = True
+        assert [a, b] in codes.linking(u, np.arange(400), np.arange(400), dense, least).tolist()
+        assert codes.linking(u, np.arange(400), np.arange(400), sparse, least).tolist() == [[a, b]]
 
 
 def test_sets_that_cannot_link_make_no_tile(spark):

@@ -15,6 +15,8 @@ from .topk import matrix, usable
 BLOCK = 2048
 SEED = 20
 PAIRS = 1 << 15
+CONFIDENCE = 4.0
+ROUNDING = 1e-9
 
 
 @lru_cache(maxsize=8)
@@ -41,44 +43,66 @@ def decode(codes: np.ndarray, dimensions: int) -> np.ndarray:
     return (2 * bits - 1) / np.float32(np.sqrt(dimensions))
 
 
-def estimates(codes: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner product of each coded vector with each rotated unit vector, and how far it can be off.
+def estimates(codes: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimate, confidence, most) of the inner product of each coded vector with each rotated unit vector.
 
     A vector o with code x and factor f = <o, x> is f·x plus a rest of length sqrt(1−f²) at right angles to x,
-    so <o, q> = f·s + rest with s = <x, q> and |rest| <= sqrt(1−f²)·sqrt(1−s²). Over random rotations s/f is
-    an unbiased estimate of <o, q>; the bound around it used here holds with certainty, not just with
-    high probability, so that no pair is lost.
+    so <o, q> = f·s + rest with s = <x, q>. Over random rotations s/f is an unbiased estimate of <o, q>, off by about
+    sqrt(1−f²)/f/sqrt(d−1); the confidence is CONFIDENCE times that. ``most`` is a bound that holds with certainty, by
+    |rest| <= sqrt(1−f²)·sqrt(1−s²).
     """
     s = np.clip(decode(codes, turned.shape[1]) @ turned.T.astype(np.float32), -1, 1)
     f = factor[:, None].astype(np.float32)
-    estimate = s / f
-    upper = f * s + np.sqrt(np.maximum(0, 1 - f * f)) * np.sqrt(1 - s * s)
-    return estimate, upper - estimate
+    rest = np.sqrt(np.maximum(0, 1 - f * f))
+    return s / f, CONFIDENCE * rest / f / np.sqrt(max(1, turned.shape[1] - 1)), f * s + rest * np.sqrt(1 - s * s)
+
+
+def linking(u: np.ndarray, rows: np.ndarray, second: np.ndarray, chosen: np.ndarray, least: float) -> np.ndarray:
+    """Those of the chosen pairs (a mask, rows by second) whose cosine in double precision is at least ``least``.
+
+    Each pair is decided by its own inner product, however many are chosen: a product of whole blocks only picks
+    those that are not within rounding of the threshold.
+    """
+    found = []
+    if chosen.mean() > 0.02:
+        cosine = u[rows] @ u[second].T
+        sure = chosen & (cosine >= least + ROUNDING)
+        a, b = np.nonzero(sure)
+        found.append(np.stack([rows[a], second[b]], axis=1))
+        chosen = chosen & (np.abs(cosine - least) < ROUNDING)
+    a, b = np.nonzero(chosen)
+    for i in range(0, len(a), PAIRS):
+        x, y = rows[a[i : i + PAIRS]], second[b[i : i + PAIRS]]
+        near = np.einsum("ij,ij->i", u[x], u[y]) >= least
+        found.append(np.stack([x[near], y[near]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
 
 def links_of_block(vectors: np.ndarray, codes: np.ndarray, factor: np.ndarray, first: np.ndarray, second: np.ndarray,
-                   least: float) -> np.ndarray:
-    """Row pairs (a in first, b in second, each pair once) with cosine >= least."""
+                   least: float, told: dict | None = None) -> np.ndarray:
+    """Row pairs (a in first, b in second, each pair once) with cosine >= least.
+
+    The estimate settles which pairs are computed: those whose confidence interval reaches the threshold. Pairs whose
+    interval lies below it go, unless the certain bound says that they could still link: then they are
+    computed as well, so that none is lost. ``told`` gets the numbers of pairs, of those that the estimate picks, of
+    those that the bound adds, and the links found among either.
+    """
     u = unit(vectors)
     turned = u @ rotation(vectors.shape[1]).T
     found = []
     same = first is second
     for at in range(0, len(first), 512):
         rows = first[at : at + 512]
-        estimate, margin = estimates(codes[rows], factor[rows], turned[second])
-        maybe = estimate + margin >= least - 1e-4
-        if same:
-            maybe &= second[None, :] > rows[:, None]
-        if maybe.mean() > 0.02:
-            exact = (u[rows] @ u[second].T >= least) & maybe
-            a, b = np.nonzero(exact)
-            found.append(np.stack([rows[a], second[b]], axis=1))
-            continue
-        a, b = np.nonzero(maybe)
-        for i in range(0, len(a), PAIRS):
-            x, y = rows[a[i : i + PAIRS]], second[b[i : i + PAIRS]]
-            near = np.einsum("ij,ij->i", u[x], u[y]) >= least
-            found.append(np.stack([x[near], y[near]], axis=1))
+        estimate, confidence, most = estimates(codes[rows], factor[rows], turned[second])
+        all_pairs = second[None, :] > rows[:, None] if same else np.ones(estimate.shape, dtype=bool)
+        picked = all_pairs & (estimate + confidence >= least)
+        added = all_pairs & ~picked & (most >= least - 1e-4)
+        parts = [linking(u, rows, second, chosen, least) for chosen in (picked, added)]
+        found += parts
+        if told is not None:
+            for name, n in (("pairs", all_pairs.sum()), ("picked", picked.sum()), ("added", added.sum()),
+                            ("links_picked", len(parts[0])), ("links_added", len(parts[1]))):
+                told[name] = told.get(name, 0) + int(n)
     return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
 
