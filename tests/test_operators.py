@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workgrain.operators import digest, measures, pages, quality, search, state
-from workgrain.operators.matching import explode_patterns, join_patterns, match_distinct
+from workgrain.operators.matching import explode_patterns, join_patterns
 from workgrain.plans import fixtures
 from workgrain.plans.state import target_and_batch
 from workgrain.sources import pages as archive
@@ -27,7 +27,6 @@ def test_pattern_joins_agree(spark):
     key = lambda r: tuple(str(x) for x in r)
     for got in (
         explode_patterns(texts, "t", patterns, "v"),
-        match_distinct(texts, "t", patterns, "v"),
         join_patterns(texts, "t", table, "pattern").select("t", "v"),
     ):
         assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
