@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, may_be_in, sketch, stored
+from .shared import components, discard, may_be_in, sketch, stored
 
 M64 = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -238,9 +238,12 @@ def _tiles(keys: DataFrame) -> DataFrame:
     mark = [F.sum(F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 32))).over(tile).alias(f"s{s}") for s in (1, 2)]
     marked = keys.select("key", "node", F.min("node").over(tile).alias("low"), F.max("node").over(tile).alias("high"),
                          F.count("*").over(tile).alias("c"), *mark)
-    shared = stored(marked.where("low < high"), "jaccard-shared")
-    chosen = shared.groupBy("low", "high", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    return shared.select("key", "node").join(chosen, "key", "left_semi").distinct()
+    told = [F.xxhash64(*order).alias(f"m{i}") for i, order in enumerate((["low", "high", "c", "s1", "s2"], ["s2", "s1", "c", "high", "low"]))]
+    shared = stored(marked.where("low < high").select("key", "node", *told), "jaccard-shared")
+    chosen = shared.groupBy("m0", "m1").agg(F.min("key").alias("key")).select("key")
+    tiles = stored(shared.select("key", "node").join(chosen, "key", "left_semi").distinct(), "jaccard-tiles")
+    discard(shared)
+    return tiles
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -383,7 +386,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
     features, nodes, seed = _named(rows, words)
-    tiles = stored(_tiles(_keys(rows, nodes, words, num, den, seed)), "jaccard-tiles")
+    tiles = _tiles(_keys(rows, nodes, words, num, den, seed))
     texts = stored(_texts(rows, nodes, tiles), "jaccard-texts")
     sets = stored(_bitmaps(texts, words), "jaccard-bitmaps")
     links, tried, settled = None, None, None
@@ -423,7 +426,7 @@ def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
     features, nodes, seed = _named(rows, words)
-    tiles = stored(_tiles(_keys(rows, nodes, words, num, den, seed)), "jaccard-tiles")
+    tiles = _tiles(_keys(rows, nodes, words, num, den, seed))
     texts = stored(_texts(rows, nodes, tiles), "jaccard-texts")
     sets = stored(_bitmaps(texts, words), "jaccard-bitmaps")
     pairs = stored(_unsettled(tiles, None, sets, num, den, True).select("a", "b").distinct(), "jaccard-pairs")

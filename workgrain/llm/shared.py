@@ -24,6 +24,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Empty the folder of a stored step that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        df.sparkSession.createDataFrame([], "nothing string").write.mode("overwrite").text(folder)
+
+
 def class_sample(rows: DataFrame, class_col: str, key_col: str, per_class: int) -> DataFrame:
     """About ``per_class`` rows of each class, chosen by a hash of the key, so the same rows every time.
 
