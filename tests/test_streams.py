@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,24 +84,73 @@ def quota_by_hand(events, limit, seconds):
     return out
 
 
+def decided(spark, path):
+    rows = spark.read.parquet(f"{path}/events").collect()
+    got = {r["event_id"]: r["allowed"] for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
 def test_quota_over_batches(spark, tmp_path):
     events = fixtures.table(spark, SMALL, "events").select("user_id", "ts", "event_id")
     path = split(events, f"{tmp_path}/in", 4, "ts")
-    counted = streams.quota(stream(spark, path, events.schema), "user_id", "ts", "event_id", 2, 86_400)
-    streams.run(counted, streams.append_to(f"{tmp_path}/out"), f"{tmp_path}/c")
-    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    sink = streams.quota_into(f"{tmp_path}/q", "user_id", "ts", "event_id", 2, 86_400)
+    streams.run(stream(spark, path, events.schema), sink, f"{tmp_path}/c")
+    got = decided(spark, f"{tmp_path}/q")
     assert got == quota_by_hand([tuple(r) for r in events.collect()], 2, 86_400)
     assert len(set(got.values())) == 2
 
 
+@pytest.mark.parametrize("seconds, limit", [(3_600, 3), (86_400, 40), (1_000_000, 1), (60, 0)])
+def test_quota_of_a_single_key(spark, tmp_path, seconds, limit):
+    """One key has all rows: few of its events reach the step that knows the whole key, and the batches make no difference."""
+    events = fixtures.table(spark, SMALL, "events").select(F.lit(None).cast("string").alias("user"), "ts", "event_id")
+    path = split(events, f"{tmp_path}/in", 3, "ts")
+    sink = streams.quota_into(f"{tmp_path}/q", "user", "ts", "event_id", limit, seconds, grains=16)
+    streams.run(stream(spark, path, events.schema), sink, f"{tmp_path}/c")
+    want = quota_by_hand([tuple(r) for r in events.collect()], limit, seconds)
+    assert decided(spark, f"{tmp_path}/q") == want
+    last = spark.read.parquet(*sorted(str(p) for p in Path(f"{tmp_path}/in").glob("part-*"))[-1:])
+    sink(last, 2)
+    assert decided(spark, f"{tmp_path}/q") == want
+
+
+def test_quota_state_ends_with_its_window(spark, tmp_path):
+    rows = [("a", 0, 1), ("a", 5, 2), ("b", 7, 3), (None, 8, 4), ("a", None, 5), ("a", 30, 6), ("a", 31, 7), ("c", 200, 8)]
+    df = spark.createDataFrame(rows, "key string, s long, n long").withColumn("ts", F.timestamp_seconds("s"))
+    sink = streams.quota_into(f"{tmp_path}/q", "key", "ts", "n", 1, 10)
+    state_after = lambda i: [tuple(r) for r in streams.quota_state(spark, f"{tmp_path}/q", df.select("key").schema, i).orderBy("opened").collect()]
+    sink(df.filter("n <= 5"), 0)
+    assert len(state_after(0)) == 3 and ("a", 0, 2) in state_after(0)
+    sink(df.filter("n IN (6, 7)"), 1)
+    assert state_after(1) == [("a", 30_000_000, 2)]
+    sink(df.filter("n = 8"), 2)
+    assert state_after(2) == [("c", 200_000_000, 1)]
+    sink(df.limit(0), 3)
+    assert state_after(3) == [("c", 200_000_000, 1)]
+    got = {r.n: (r.allowed, r.remaining) for r in spark.read.parquet(f"{tmp_path}/q/events").collect()}
+    yes, no = (True, 0), (False, 0)
+    assert got == {1: yes, 2: no, 3: yes, 4: yes, 5: (None, None), 6: yes, 7: no, 8: yes}
+
+
+def test_few_events_are_unsure():
+    times = np.unique(np.random.default_rng(3).integers(0, 1_000_000, 200_000))
+    grains = times // 25
+    lows, highs = (f.reduceat(times, np.flatnonzero(np.diff(grains, prepend=-1))) for f in (np.minimum, np.maximum))
+    marked = streams.unsure_grains(lows, highs, None, 100_000)
+    kept = np.unique(np.concatenate([lows, times[np.isin(grains, lows[marked] // 25)]]))
+    assert streams.window_starts(kept, None, 100_000) == streams.window_starts(times, None, 100_000)
+    assert np.isin(grains, lows[marked] // 25).mean() < 0.01
+
+
 def test_quota_third_call_is_refused(spark, tmp_path):
     calls = spark.createDataFrame([("k", i) for i in range(3)], "key string, n int").withColumn(
         "ts", F.expr("timestamp_ntz '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, n)")
     )
     calls.coalesce(1).write.parquet(f"{tmp_path}/in")
-    counted = streams.quota(stream(spark, f"{tmp_path}/in", calls.schema), "key", "ts", "n", 2, 60)
-    streams.run(counted, streams.append_to(f"{tmp_path}/out"), f"{tmp_path}/c")
-    got = spark.read.parquet(f"{tmp_path}/out").orderBy("n").collect()
+    sink = streams.quota_into(f"{tmp_path}/q", "key", "ts", "n", 2, 60)
+    streams.run(stream(spark, f"{tmp_path}/in", calls.schema), sink, f"{tmp_path}/c")
+    got = spark.read.parquet(f"{tmp_path}/q/events").orderBy("n").collect()
     assert [(r.allowed, r.remaining) for r in got] == [(True, 1), (True, 0), (False, 0)]
 
 

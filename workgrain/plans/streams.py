@@ -90,9 +90,9 @@ OPENED = f"""RECURSIVE opened(user_id, ts) AS (SELECT user_id, min(ts) FROM even
   FROM events e ASOF JOIN opened o ON e.user_id = o.user_id AND e.ts >= o.ts)""")
 def t5(spark, sf):
     root = scratch_dir(spark, "quota")
-    counted = streams.quota(stream_of(spark, sf, "events"), "user_id", "ts", "event_id", LIMIT, SECONDS)
-    streams.run(counted, streams.append_to(f"{root}/events"), f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/events").drop("batch")
+    sink = streams.quota_into(f"{root}/quota", "user_id", "ts", "event_id", LIMIT, SECONDS)
+    streams.run(stream_of(spark, sf, "events"), sink, f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/quota/events").drop("batch")
 
 
 @query("t6_hourly_idempotency", """SELECT date_trunc('hour', ts) AS hour, user_id, min(event_id) AS event_id
