@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from workgrain.llm import language, licenses, pieces, quality
@@ -184,3 +187,82 @@ def test_pieces_odd_rows(messy, no_documents):
     assert len(rows) == messy.count()
     assert all((r.ids is None) == (r.text is None) and r.decoded == (r.text and r.text.replace("▁", " ")) or r.text == "" == r.decoded for r in rows)
     assert pieces.encode_documents(no_documents).count() == 0
+
+
+def test_quality_equals_a_slow_version(spark):
+    """Sizes by zstandard with the trained dictionaries in one-shot calls, then the logistic formula, row by row."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    model = quality.train(docs, labels.where(id_remainder("doc_id", 5) != 0))
+    assert model.good and model.bad and any(model.weights)
+    trained = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (model.good, model.bad)]
+    slim = zstandard.ZstdCompressionParameters.from_level(
+        3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def slow(text):
+        data, sizes = (text or "").encode(), []
+        for d in trained:
+            tool = zstandard.ZstdCompressor(compression_params=slim, dict_data=d)
+            pieces = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+            for p in pieces:
+                back = zstandard.ZstdDecompressor(dict_data=d, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                assert back.decompress(tool.compress(p), max_output_size=4096) == p
+            sizes.append(sum(len(tool.compress(p)) for p in pieces))
+        good, bad = sizes
+        both = good + bad + 64
+        x = [(bad - good) / both, min(0.0, math.log(both / (2 * len(data) * 0.25)))] if data else [0.0, 0.0]
+        odds = sum(w * v for w, v in zip(model.weights, x, strict=True)) + model.offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+    rows = quality.score(docs, model).select("text", "score", "predicted").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = slow(r.text)
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(r.score >= 0.3)
+
+
+def test_language_equals_a_slow_version(spark):
+    """Margins by a sum over explicit grams, one at a time, and the votes of the duels counted by hand."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("length(text) < 1500")
+    model = language.train(docs.where(id_remainder("doc_id", 4) != 2), per_language=60)
+    full = 0xFFFFFFFF
+
+    def place(code):
+        return ((code ^ (code >> 15)) * 0x2C1B3C6D & full) >> (32 - language.BITS)
+
+    def duel(names, margin):
+        wins = {n: [0, 0.0, 1.0] for n in names}
+        for a, b in margin:
+            if a in names and b in names:
+                for n, m in ((a, margin[a, b]), (b, -margin[a, b])):
+                    wins[n][0] += m > 0
+                    wins[n][1] += m
+                    wins[n][2] = min(wins[n][2], 1 / (1 + math.exp(-model.slope * m)))
+        best = sorted(names, key=lambda n: (-wins[n][0], -wins[n][1], n))[0]
+        return best, wins[best][2]
+
+    def slow(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        c, grams = [ord(x) for x in text.lower()], Counter()
+        for i, x in enumerate(c):
+            grams[place(x * 0x165667B1 & full)] += 1
+            if i:
+                pair = (c[i - 1] * 0x9E3779B1 + x * 0x85EBCA6B) & full
+                grams[place(pair)] += 1
+            if i > 1:
+                before = (c[i - 2] * 0x9E3779B1 + c[i - 1] * 0x85EBCA6B) & full
+                grams[place((before * 0xC2B2AE35 + x * 0x27D4EB2F) & full)] += 1
+        length = math.sqrt(sum(grams.values()))
+        margin = {
+            pair: sum(math.sqrt(n) / length * model.weights[g, j] for g, n in grams.items()) + model.weights[-1, j]
+            for j, pair in enumerate(model.pairs)}
+        family, sure = duel(sorted(set(model.families.values())), margin)
+        told, own = duel([n for n in model.languages if model.families[n] == family], margin)
+        return told, sure * own
+
+    rows = language.identify(docs, model).select("text", "lang_pred", "score").limit(400).collect()
+    assert len(rows) > 100
+    for r in rows:
+        told, sure = slow(r.text)
+        assert r.lang_pred == told and r.score == pytest.approx(sure, abs=1e-4)
