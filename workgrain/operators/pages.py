@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import Matches, Node, Selectors, clean_html, select, tree
+from ..functions.html import Hit, Matches, Selectors, clean_html, read, select, tree
 from ..functions.text import cut_at, last_segment, trim_blanks
 from ..session import scratch_dir
 from .state import dedup
@@ -50,6 +51,13 @@ PARSED = (
 )
 
 
+PARSED_ARROW = (
+    ("card", pa.int32()), ("texts", pa.map_(pa.string(), pa.string())), ("lists", pa.map_(pa.string(), pa.list_(pa.string()))),
+    ("sections", pa.list_(pa.struct([(n, pa.string()) for n in ("label", "value", "row")]))),
+    ("blocks", pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string()), ("items", pa.list_(pa.string()))]))),
+    ("parse_error", pa.string()),
+)
+ROWS_CHARS = 1 << 20  # characters of the pages whose rows are put into one batch
 ITEMS = "div, li"
 
 
@@ -62,7 +70,7 @@ def _selectors(spec: Spec) -> list[str]:
     return [*named, *spec.container, *([spec.card] if spec.card else []), *([ITEMS] if spec.blocks else [])]
 
 
-def _first_text(found: Matches, root: Node, selectors: Sequence[str]) -> str:
+def _first_text(found: Matches, root: Hit, selectors: Sequence[str]) -> str:
     for selector in selectors:
         node = found.first(root, selector)
         if node is not None:
@@ -72,7 +80,7 @@ def _first_text(found: Matches, root: Node, selectors: Sequence[str]) -> str:
     return ""
 
 
-def _pair(found: Matches, row: Node, pairs: Pairs) -> tuple[Node | None, Node | None]:
+def _pair(found: Matches, row: Hit, pairs: Pairs) -> tuple[Hit | None, Hit | None]:
     """Key and value of a row by the first pair whose key is there."""
     for key, value in pairs:
         node = found.first(row, key)
@@ -81,7 +89,7 @@ def _pair(found: Matches, row: Node, pairs: Pairs) -> tuple[Node | None, Node |
     return None, None
 
 
-def _read(found: Matches, root: Node, spec: Spec) -> tuple[dict, dict, list, list]:
+def _read(found: Matches, root: Hit, spec: Spec) -> tuple[dict, dict, list, list]:
     texts = {name: _first_text(found, root, selectors) for name, selectors in spec.texts.items()}
     for name, (selector, attr) in spec.attrs.items():
         node = found.first(root, selector)
@@ -111,39 +119,48 @@ def parse(pages: DataFrame, spec: Spec | dict[str, Spec], html: str = "html", la
     """
     kept = [c for c in pages.columns if c != html]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    names = ["card", "texts", "lists", "sections", "blocks", "parse_error"]
     specs = spec if isinstance(spec, dict) else {"": spec}
 
-    def rows_of(page: str | None, name: str, known: dict[str, Selectors]) -> list[tuple]:
+    def rows_of(page: str | None, name: str | None, known: dict[str, Selectors]) -> list[tuple]:
         if name not in known:
             return [(0, None, None, None, None, None)]
         try:
             if not page:
                 raise ValueError("empty page")
-            root, one = tree(page), specs[name]
-            found = known[name].find(root)
+            one = specs[name]
+            root, found = read(page, known[name])
             roots = found.below(root, one.card) if one.card else [root]
             return [(i, *_read(found, r, one), None) for i, r in enumerate(roots)]
         except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
             return [(0, None, None, None, None, f"{type(error).__name__}: {error}")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {name: Selectors(_selectors(one)) for name, one in specs.items()}
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start:start + 64]
-                which = part[layout] if layout else [""] * len(part)
-                places, values = [], []
-                for place, (page, name) in enumerate(zip(part[html], which)):
-                    for row in rows_of(page, name, known):
-                        places.append(place)
-                        values.append(row)
-                out = part[kept].iloc[places].reset_index(drop=True)
-                parsed = pd.DataFrame(values, columns=names, dtype=object)
-                parsed["card"] = parsed["card"].astype("int32")
-                yield pd.concat([out, parsed], axis=1)
-
-    return pages.mapInPandas(run, f"{schema}, {PARSED}" if kept else PARSED)
+            texts, which = batch.column(html), batch.column(layout) if layout else None
+            places, values, room = [], [], ROWS_CHARS
+            for place in range(batch.num_rows):
+                page = texts[place].as_py()
+                rows = rows_of(page, which[place].as_py() if layout else "", known)
+                places += [place] * len(rows)
+                values += rows
+                room -= len(page or "") + 256
+                if room < 0:
+                    yield _parsed(batch, kept, places, values)
+                    places, values, room = [], [], ROWS_CHARS
+            if places:
+                yield _parsed(batch, kept, places, values)
+
+    return pages.mapInArrow(run, f"{schema}, {PARSED}" if kept else PARSED)
+
+
+def _parsed(batch: pa.RecordBatch, kept: Sequence[str], places: list[int], values: list[tuple]) -> pa.RecordBatch:
+    chosen = pa.array(places, pa.int64())
+    columns = {c: batch.column(c).take(chosen) for c in kept}
+    for (name, kind), value in zip(PARSED_ARROW, zip(*values, strict=True), strict=True):
+        maps = pa.types.is_map(kind)
+        columns[name] = pa.array([v if v is None else list(v.items()) for v in value] if maps else value, kind)
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -535,15 +552,20 @@ def sanitize_html(rows: DataFrame, column: str) -> DataFrame:
     Markup that cannot be read becomes null with its ``parse_error`` (such a column is replaced).
     """
 
-    @F.pandas_udf("markup string, parse_error string")
-    def clean(values: pd.Series) -> pd.DataFrame:
-        done = []
-        for value in values:
-            try:
-                done.append((None if value is None else clean_html(value), None))
-            except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
-                done.append((None, f"{type(error).__name__}: {error}"))
-        return pd.DataFrame(done, columns=["markup", "parse_error"], dtype=object)
+    markup = pa.struct([("markup", pa.string()), ("parse_error", pa.string())])
+
+    @F.arrow_udf("markup string, parse_error string")
+    def clean(values: pa.Array) -> pa.Array:
+        done, parts = [], []
+        for start in range(0, len(values), 64):  # strings of a few pages at a time, the rest stays in Arrow
+            for value in values.slice(start, 64).to_pylist():
+                try:
+                    done.append((None if value is None else clean_html(value), None))
+                except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
+                    done.append((None, f"{type(error).__name__}: {error}"))
+            parts.append(pa.array(done, markup))
+            done = []
+        return pa.concat_arrays(parts) if parts else pa.array([], markup)
 
     cleaned = rows.withColumn("__clean", clean(F.col(column)))
     return cleaned.withColumns({column: F.col("__clean.markup"), "parse_error": F.col("__clean.parse_error")}).drop("__clean")

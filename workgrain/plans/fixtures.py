@@ -149,6 +149,16 @@ def jobs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(*_items(JOBS_RAW))
 
 
+POSTINGS_A_TASK = 40_000
+
+
+def page_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many tasks work on the postings' pages is dealt: it is bound by the processor, so their number follows the
+    postings, not the bytes that a task reads."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, -(-table(spark, sf_dir, "orders").count() // POSTINGS_A_TASK))
+
+
 def jobs_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*_items(JOBS_AUDIT))
 

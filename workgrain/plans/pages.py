@@ -17,7 +17,7 @@ from ..session import scratch_dir
 from ..sources import batches, seeds, tables
 from ..sources import pages as archive
 from . import sql
-from .fixtures import jobs_raw, staging_itviec, staging_topcv, table
+from .fixtures import jobs_raw, page_tasks, staging_itviec, staging_topcv, table
 from .fixtures import pages as given_pages
 from .registry import query
 from .serving import CLEAN
@@ -80,7 +80,8 @@ def squeezed(col: str) -> str:
 
 
 def topcv_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs_raw(spark, sf).filter("source = 'topcv'")
+    """Postings of one board, dealt for page work."""
+    return jobs_raw(spark, sf).filter("source = 'topcv'").repartition(page_tasks(spark, sf), "id")
 
 
 def absolute() -> str:
@@ -116,7 +117,7 @@ def h2(spark, sf):
 def h2_board(spark, sf):
     rendered = detail_pages(topcv_jobs(spark, sf))
     found = pages.extract_records(rendered, "topcv", F.lit(None).cast("timestamp_ntz"))
-    times = topcv_jobs(spark, sf).select("id", "crawled_at")
+    times = jobs_raw(spark, sf).filter("source = 'topcv'").select("id", "crawled_at")
     return found.drop("crawled_at").join(times, "id").select(*found.columns)
 
 
@@ -131,7 +132,7 @@ def board_records(spark: SparkSession, sf: str, source: str, template: str) -> D
     """Records read back from pages in a board's layout, beside the time of the posting."""
     names = ("title", "company", "salary", "location", "description", "requirements")
     jobs = jobs_raw(spark, sf).filter(F.col("source") == source)
-    rendered = jobs.select(
+    rendered = jobs.repartition(page_tasks(spark, sf), "id").select(
         F.concat(F.lit(f"{source}_"), "id").alias("page_id"), html(template, **{n: safe(n) for n in names}).alias("html")
     )
     found = pages.extract_records(rendered, source, F.lit(None).cast("timestamp_ntz"))
@@ -208,7 +209,8 @@ def h7(spark, sf):
     values = {n: safe(n) for n in NAMES7}
     page = F.when(F.col("order_key") % 3 == 0, html(BRAND, **values)).otherwise(html(STANDARD, **values))
     url = F.concat(F.lit("https://www.topcv.vn/"), F.expr(FORM), F.lit("/"), F.col("id"))
-    rendered = jobs_raw(spark, sf).select("id", url.alias("url"), page.alias("html"))
+    jobs = jobs_raw(spark, sf).repartition(page_tasks(spark, sf), "id")
+    rendered = jobs.select("id", url.alias("url"), page.alias("html"))
     return pages.extract_by_template(rendered).drop("url", "parse_error")
 
 
@@ -217,21 +219,21 @@ CARD = """<div class="job-item-search-result"><h3 class="title"><a href="{url}">
 <label class="address"><span class="city-text">{location}</span></label><label class="exp"><span>{experience}</span></label></div>"""
 
 
-def list_pages(jobs: DataFrame) -> DataFrame:
-    """Twenty cards per list page."""
+def list_pages(jobs: DataFrame, tasks: int) -> DataFrame:
+    """Twenty cards per list page, dealt by page."""
     names = ("url", "title", "id", "company", "salary", "location", "experience")
-    card = jobs.select(
-        F.floor(F.col("order_key") / 60).alias("page_id"), "order_key",
-        html(CARD, **{n: safe(n) for n in names}).alias("card"),
-    )
+    paged = jobs.withColumn("page_id", F.floor(F.col("order_key") / 60)).repartition(tasks, "page_id")
+    card = paged.select("page_id", "order_key", html(CARD, **{n: safe(n) for n in names}).alias("card"))
     cards = F.array_sort(F.collect_list(F.struct("order_key", "card")))
-    # The stated partition count keeps later page parsing on all cores.
-    cores = jobs.sparkSession.sparkContext.defaultParallelism
-    grouped = card.repartition(cores, "page_id").groupBy("page_id").agg(cards.alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
+    grouped = card.groupBy("page_id").agg(cards.alias("cards"))
     return grouped.select("page_id", F.concat(F.lit("<main>"), body, F.lit("</main>")).alias("html"))
 
 
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    return list_pages(jobs_raw(spark, sf).filter("source = 'topcv'"), page_tasks(spark, sf))
+
+
 def opt(col: str) -> str:
     return f"nullif({squeezed(col)}, '')"
 
@@ -240,7 +242,7 @@ def opt(col: str) -> str:
   {opt('salary')} AS salary_list, {opt('location')} AS address_list, {opt('experience')} AS exp_list, url AS job_url,
   'https://www.topcv.vn/cong-ty/' || id AS company_url FROM jobs_raw WHERE source = 'topcv' AND url IS NOT NULL""")
 def h8(spark, sf):
-    return pages.extract_cards(list_pages(topcv_jobs(spark, sf)), pages.TOPCV_CARDS).drop("card")
+    return pages.extract_cards(listed(spark, sf), pages.TOPCV_CARDS).drop("card")
 
 
 PROFILE = """<html><head><title>{company} | TopCV tuyển dụng</title></head><body><div class="company-overview"><ul>
@@ -292,7 +294,7 @@ def h11(spark, sf):
     """Every list page is there twice; the second copies drop out by url path."""
     jobs = topcv_jobs(spark, sf)
     copies = F.explode(F.array(F.lit(0), F.lit(10_000_000)))
-    twice = list_pages(jobs).withColumn("copy", copies).withColumn("page_id", F.col("page_id") + F.col("copy")).drop("copy")
+    twice = listed(spark, sf).withColumn("copy", copies).withColumn("page_id", F.col("page_id") + F.col("copy")).drop("copy")
     cards = pages.extract_cards(twice, pages.TOPCV_CARDS)
     details = pages.extract_details(detail_pages(jobs.filter("url IS NOT NULL"), "url"))
     return pages.assemble(cards, details, pages.extract_company(profile_pages(spark, sf)))
