@@ -19,12 +19,19 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return streams.read_files(spark, sf, LAYOUTS[name], f"{name}.parquet")
 
 
-def shuffled_stream(spark: SparkSession, sf: str, name: str, files: int = 4) -> DataFrame:
-    """The table as several files whose rows are in no time order, one file to a micro-batch."""
+FILE_ROWS = 500_000
+
+
+def shuffled_stream(spark: SparkSession, sf: str, name: str, batches: int = 4) -> DataFrame:
+    """The table as several files whose rows are in no time order, worked off in ``batches`` micro-batches.
+
+    A micro-batch has as many files as its rows need, so that no task writes or reads more than about FILE_ROWS.
+    """
     path = scratch_dir(spark, f"{name}-files")
     rows = table(spark, sf, name)
-    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
-    return streams.read_files(spark, path, rows.schema, "part-*", per_trigger=1)
+    each = max(1, -(-rows.count() // (batches * FILE_ROWS)))
+    rows.repartition(batches * each, F.xxhash64(*rows.columns)).write.parquet(path)
+    return streams.read_files(spark, path, rows.schema, "part-*", per_trigger=each)
 
 
 def posting_stream(spark: SparkSession, sf: str) -> DataFrame:
