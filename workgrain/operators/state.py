@@ -42,8 +42,14 @@ def one_per_key(
         F.min_by(F.when(F.col(c).isNotNull(), F.struct(c)), F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
         for c in first_of
     ]
-    single = placed.filter(keyed).groupBy(*keys).agg(pick(F.struct(*columns), "_order").alias("_row"), *kept)
-    rows = single.select(*[F.col(c)[c].alias(c) if c in first_of else F.col("_row")[c].alias(c) for c in columns])
+    others = [c for c in columns if c not in keys and c not in first_of]
+    if order is None:  # the row is its own order: one copy of its texts is enough
+        chosen = (F.max if last else F.min)(F.struct(*columns))
+    else:
+        chosen = pick(F.struct(*(others or keys)), "_order")
+    single = placed.filter(keyed).groupBy(*keys).agg(chosen.alias("_row"), *kept)
+    # The keys stay the grouping's own columns, so a batch that is dealt by its keys is not dealt again.
+    rows = single.select(*[F.col(c)[c].alias(c) if c in first_of else F.col("_row")[c].alias(c) if c in others else F.col(c) for c in columns])
     return rows.unionByName(batch.filter(~keyed))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import alerts as rules
 from ..operators import audit, digest, quality, state
 from ..operators import warehouse as wh
-from ..schemas import POSTING_TEXT
+from ..schemas import LEDGER_KEY, POSTING_TEXT
 from . import sql
 from .fixtures import AS_OF, alerts, as_of, jobs_audit, jobs_raw, staging_itviec, staging_topcv, table
 from .registry import query
@@ -586,6 +586,9 @@ def a13(spark, sf):
     return audit.task_performance(audit.ledger_rows(jobs_audit(spark, sf)))
 
 
+LEDGER_ROWS_A_TASK = 20_000
+
+
 @query("u8_ledger_upsert", AUDIT + """SELECT dag_run_id, task_id, execution_date, task_duration_seconds,
   CASE WHEN e % 3 = 0 THEN 'retry' ELSE task_status END AS task_status,
   CASE WHEN e % 3 = 0 THEN 5000 ELSE NULL END AS error_length FROM (
@@ -598,7 +601,9 @@ def u8(spark, sf):
     batch = rows.filter("e % 3 = 0").drop("e").withColumns({
         "task_status": F.lit("retry"), "error_message": F.repeat(F.lit("x"), 6000),
     })
-    merged = state.ledger_upsert(target, batch)
+    # Long texts that are much alike take little room in a shuffle and much in memory, so tasks are dealt by rows, not by bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-batch.count() // LEDGER_ROWS_A_TASK))
+    merged = state.ledger_upsert(target, batch.repartition(tasks, *LEDGER_KEY))
     return merged.select(
         "dag_run_id", "task_id", "execution_date", "task_duration_seconds", "task_status",
         F.length("error_message").alias("error_length"),
