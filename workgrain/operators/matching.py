@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 
 def pattern_values(text: str, patterns: Sequence[tuple[str, str]]) -> Column:
-    """Array of the values whose pattern is found in a column, in pattern order.
+    """Array of the values whose pattern is found in a column, in pattern order; patterns without a value give none.
+
+    Written without lambdas, which Spark would evaluate by walking the whole expression for every row.
 
     The patterns are literals, so each compiles once per task and the match is
     a projection: no join, no shuffle, and rows keep their partition.
     """
-    hits = [F.when(F.rlike(F.col(f"`{text}`"), F.lit(pattern)), F.lit(value)) for pattern, value in patterns]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    hits = [F.when(F.rlike(F.col(f"`{text}`"), F.lit(pattern)), F.array(F.lit(value))).otherwise(none) for pattern, value in patterns if value is not None]
+    return F.concat(none, *hits)
 
 
 def explode_patterns(
     rows: DataFrame, text: str, patterns: Sequence[tuple[str, str]], value: str
 ) -> DataFrame:
     """Left join on a pattern match: one row per hit, one null row without hits."""
-    return rows.withColumn(value, F.explode_outer(pattern_values(text, patterns)))
+    found = rows.withColumn("_values", pattern_values(text, patterns))
+    return found.withColumn(value, F.explode_outer("_values")).drop("_values")
 
 
 GRAM = 3
