@@ -114,17 +114,20 @@ def any_in(text: Column, needles: tuple[str, ...]) -> Column:
     return hit
 
 
+def classes_of_place(place: Column) -> Column:
+    """City classes of a place as ``plain_place`` writes it: ``free``, known cities, ``other`` for none of them. No lambdas; name a column."""
+    def some(test: Column, name: str) -> Column:
+        return F.when(test, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+
+    known = [some(any_in(place, names), name) for name, names in CITY_ALIASES.items()]
+    return F.concat(F.array(F.lit("free")), *known, some(~any_in(place, HANOI + HCMC + DANANG), "other"))
+
+
 def place_classes(job_location: Column) -> Column:
     """City classes of a posting: known cities, ``other`` for none of them, and
     ``free`` for any text at all; empty without a location."""
-    def classes(place: Column) -> Column:
-        known = [F.when(any_in(place, names), F.lit(name)) for name, names in CITY_ALIASES.items()]
-        other = F.when(~any_in(place, HANOI + HCMC + DANANG), F.lit("other"))
-        return F.array_compact(F.array(F.lit("free"), *known, other))
-
-    empty = F.array().cast("array<string>")
     given = F.coalesce(job_location, F.lit("")) != ""
-    return F.when(given, let(plain_place(job_location), classes)).otherwise(empty)
+    return F.when(given, let(plain_place(job_location), classes_of_place)).otherwise(F.array().cast("array<string>"))
 
 
 def wanted_class(wanted: Column) -> Column:
@@ -158,22 +161,20 @@ def _in_range(amount: Column, low: int | None, high: int | None) -> Column:
     return amount.between(low, high)
 
 
+def choices_of_pay(job_salary: Column, pay: Column) -> Column:
+    """Array of the salary choices a posting meets, by its salary and what ``parse_salary`` reads in it. No lambdas; name columns."""
+    def some(test: Column, name: str) -> Column:
+        return F.when(test, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+
+    amount = F.coalesce(pay["min"], pay["value"], pay["max"])
+    vnd = [some((pay["currency"] == "VND") & _in_range(amount / 1_000_000, *bounds), name) for name, bounds in VND_RANGES.items()]
+    usd = [some((pay["currency"] == "USD") & _in_range(amount, *bounds), name) for name, bounds in USD_RANGES.items()]
+    return F.concat(some(is_open_salary(job_salary), "deal"), *vnd, *usd)
+
+
 def salary_choices(job_salary: Column) -> Column:
     """Array of the salary choices a posting meets, by the lowest amount it names."""
-    def ranges(pay: Column) -> Column:
-        amount = F.coalesce(pay["min"], pay["value"], pay["max"])
-        vnd = [
-            F.when((pay["currency"] == "VND") & _in_range(amount / 1_000_000, *bounds), F.lit(name))
-            for name, bounds in VND_RANGES.items()
-        ]
-        usd = [
-            F.when((pay["currency"] == "USD") & _in_range(amount, *bounds), F.lit(name))
-            for name, bounds in USD_RANGES.items()
-        ]
-        return F.array(*vnd, *usd)
-
-    opened = F.array(F.when(is_open_salary(job_salary), F.lit("deal")))
-    return F.array_compact(F.concat(opened, let(parse_salary(job_salary), ranges)))
+    return let(parse_salary(job_salary), lambda pay: choices_of_pay(job_salary, pay))
 
 
 def match_salary(job_salary: Column, wanted: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alerts as rules
+from ..functions.salary import parse_salary
 from ..session import scratch_dir
-from .matching import explode_wanted, runs_of
+from .matching import explode_wanted, longest_runs
 from .search import labelled
 
 
@@ -46,8 +47,8 @@ def _free(value: Column) -> Column:
     return value.isNull() | (value == "all")
 
 
-def _runs(text: Column, kind: str, longest_only: bool = False) -> Column:
-    return F.transform(runs_of(text, longest_only), lambda r: F.concat(F.lit(f"{kind}:"), r))
+def _runs(text: Column, kind: str) -> Column:
+    return F.transform(longest_runs(text), lambda r: F.concat(F.lit(f"{kind}:"), r))
 
 
 def _facet(place: Column, pay: Column) -> Column:
@@ -57,8 +58,8 @@ def _facet(place: Column, pay: Column) -> Column:
 def _wanted_keys(f: Column) -> Column:
     """The keys that a filter could be found under: runs of its keyword or of a place in words; else its one facet."""
     in_words = ~_free(f["location"]) & (rules.wanted_class(f["location"]) == "free")
-    keyword = F.when(F.coalesce(f["keyword"], F.lit("")) != "", _runs(F.lower(f["keyword"]), "k", True))
-    place = F.when(in_words, _runs(rules.plain_place(f["location"]), "p", True))
+    keyword = F.when(F.coalesce(f["keyword"], F.lit("")) != "", _runs(F.lower(f["keyword"]), "k"))
+    place = F.when(in_words, _runs(rules.plain_place(f["location"]), "p"))
     location = F.when(_free(f["location"]), F.lit("any")).otherwise(rules.wanted_class(f["location"]))
     facet = _facet(location, F.when(_free(f["salary"]), F.lit("any")).otherwise(f["salary"]))
     none = F.array().cast("array<string>")
@@ -66,26 +67,31 @@ def _wanted_keys(f: Column) -> Column:
     return F.when(F.size(texts) > 0, texts).otherwise(F.array(facet))
 
 
-def _job_keys() -> Column:
-    """All keys under which a filter could want a posting."""
-    def low(c: str) -> Column:
-        return F.lower(F.coalesce(c, F.lit("")))
-
+def _facets() -> Column:
+    """The facets under which a filter could want a posting."""
     any_ = F.array(F.lit("any"))
     pay = F.concat(any_, F.col("choices"))
-    facets = F.flatten(F.transform(F.concat(any_, F.col("classes")), lambda p: F.transform(pay, lambda s: _facet(p, s))))
-    place = F.coalesce("place", F.lit(""))
-    return F.concat(_runs(low("title"), "k"), _runs(low("company"), "k"), _runs(place, "p"), facets)
+    return F.flatten(F.transform(F.concat(any_, F.col("classes")), lambda p: F.transform(pay, lambda s: _facet(p, s))))
 
 
-def offered(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A row for each posting and each of its keys that is among the wanted ones (column ``key``)."""
-    classed = jobs.withColumns({
-        "place": rules.plain_place(F.col("location")),
-        "classes": rules.place_classes(F.col("location")),
-        "choices": rules.salary_choices(F.col("salary")),
-    })
-    return explode_wanted(classed, _job_keys(), wanted)
+def offered(jobs: DataFrame, wanted: DataFrame, only_words: bool = False) -> DataFrame:
+    """A row for each posting and each of its keys that is among the wanted ones (column ``key``).
+
+    ``only_words``: the wanted keys are no facets, so places and salaries are not classed.
+    """
+    def low(c: str) -> Column:
+        return F.lower(F.coalesce(c, F.lit("")))
+
+    placed = jobs.withColumn("place", rules.plain_place(F.col("location")))
+    texts = [("k:", low("title")), ("k:", low("company")), ("p:", F.coalesce("place", F.lit("")))]
+    if only_words:
+        return explode_wanted(placed, texts, wanted)
+    given = F.coalesce("location", F.lit("")) != ""
+    classed = placed.withColumn("_pay", parse_salary(F.col("salary"))).withColumns({
+        "classes": F.when(given, rules.classes_of_place(F.col("place"))).otherwise(F.array().cast("array<string>")),
+        "choices": rules.choices_of_pay(F.col("salary"), F.col("_pay")),
+    }).drop("_pay")
+    return explode_wanted(classed, texts, wanted, _facets())
 
 
 def rarest_keys(filters: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -96,36 +102,39 @@ def rarest_keys(filters: DataFrame, jobs: DataFrame) -> DataFrame:
     could = filters.withColumn("_could", _wanted_keys(F.col("wanted")))
     choices = could.filter(F.size("_could") > 1).select("filter", F.explode("_could").alias("key"))
     asked = choices.select("key").distinct()
-    times = offered(jobs.select("title", "company", "location", "salary"), asked).groupBy("key").agg(F.count("*").alias("times"))
+    times = offered(jobs.select("title", "company", "location"), asked, only_words=True).groupBy("key").agg(F.count("*").alias("times"))
     counted = choices.join(times, "key", "left")
     rarest = counted.groupBy("filter").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "key"))["key"].alias("_rarest"))
     return could.join(rarest, "filter", "left").withColumn("key", F.coalesce("_rarest", F.get("_could", F.lit(0)))).drop("_could", "_rarest")
 
 
-def _wanted_by(f: Column) -> Column:
-    """The full predicate over a posting whose classes are already worked out.
+def _asked(f: Column) -> dict[str, Column]:
+    """What a filter asks for, worked out once per filter; null where it asks for nothing."""
+    place = F.when(~_free(f["location"]), F.struct(
+        rules.wanted_class(f["location"]).alias("kind"), rules.plain_place(f["location"]).alias("words")))
+    return {"_keyword": F.lower(f["keyword"]), "_place": place, "_salary": F.when(~_free(f["salary"]), f["salary"])}
+
+
+def _wanted_by() -> Column:
+    """The full predicate over a posting whose classes, and a filter whose wishes are already worked out.
 
     Filters on other fields never get here: such alerts are not sendable.
     """
-    kind = rules.wanted_class(f["location"])
-    place = F.array_contains("classes", kind) & (
-        (kind != "free") | F.col("place").contains(rules.plain_place(f["location"]))
-    )
-    return (
-        rules.match_keyword(F.col("title"), F.col("company"), f["keyword"])
-        & (_free(f["location"]) | place)
-        & (_free(f["salary"]) | F.array_contains("choices", f["salary"]))
-    )
+    keyword, place, salary = F.col("_keyword"), F.col("_place"), F.col("_salary")
+    there = F.array_contains("classes", place["kind"]) & ((place["kind"] != "free") | F.col("place").contains(place["words"]))
+    named = F.lower(F.coalesce("title", F.lit(""))).contains(keyword) | F.lower(F.coalesce("company", F.lit(""))).contains(keyword)
+    return (keyword.isNull() | named) & (place.isNull() | there) & (salary.isNull() | F.array_contains("choices", salary))
 
 
 def match_filters(filters: DataFrame, jobs: DataFrame) -> DataFrame:
     """filter, job_id, job_at of every posting that a distinct filter wants.
 
     A posting only meets filters whose one key it has, in an equality join that Spark can hash, split and
-    skew-handle; the full predicate then decides.
+    skew-handle; the full predicate then decides. Where filters have a column ``since``, only later postings count.
     """
-    keyed = rarest_keys(filters, jobs)
-    pairs = offered(jobs, keyed.select("key").distinct()).join(keyed, "key").filter(_wanted_by(F.col("wanted")))
+    keyed = rarest_keys(filters, jobs).withColumns(_asked(F.col("wanted"))).drop("wanted")
+    later = F.col("job_at") > F.col("since") if "since" in filters.columns else F.lit(True)
+    pairs = offered(jobs, keyed.select("key").distinct()).join(keyed, "key").filter(later & _wanted_by())
     return pairs.select("filter", "job_id", "job_at")
 
 
@@ -172,8 +181,8 @@ def earliest_cutoff(due_alerts: DataFrame, as_of: Column) -> datetime:
 
 def match_alerts(ready: DataFrame, scanned: DataFrame, limit: int = rules.JOBS_PER_MAIL) -> DataFrame:
     """Up to ten postings per alert, oldest first; alerts with equal filters share one matching."""
-    wishing = ready.withColumn("filter", F.to_json(F.struct("wanted.*")))
-    filters = wishing.select("filter", "wanted").dropDuplicates(["filter"])
+    wishing = _kept(ready.withColumn("filter", F.to_json(F.struct("wanted.*"))), "alert-wishes")  # read for each step that follows
+    filters = wishing.groupBy("filter").agg(F.any_value("wanted").alias("wanted"), F.min("cutoff").alias("since"))
     found = _kept(match_filters(filters, scanned), "alert-matches")
     oldest = oldest_after(found, wishing.select("filter", "cutoff").distinct(), limit)
     lists = oldest.groupBy("filter", "cutoff").agg(

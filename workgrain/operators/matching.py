@@ -35,38 +35,64 @@ SLOTS = 1 << 16
 _TEXT_ONLY = r"^(\(\?iu?U?\))?[^\\^$.\[\]{}()*+?|]+(\|[^\\^$.\[\]{}()*+?|]+)*$"
 
 
-def runs_of(text: Column, longest_only: bool = False) -> Column:
-    """Every run of one to GRAM characters of a text; or only the longest kind: runs of GRAM, or a shorter text itself."""
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-
-    return runs(GRAM) if longest_only else F.concat(*[runs(n) for n in range(1, GRAM + 1)])
+def longest_runs(text: Column) -> Column:
+    """Every run of GRAM characters of a text, or a shorter text itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM)))
 
 
 def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
 
 
-def explode_wanted(rows: DataFrame, keys: Column, wanted: DataFrame) -> DataFrame:
+def explode_wanted(rows: DataFrame, texts: Sequence[tuple[str, Column]], wanted: DataFrame, others: Column | None = None) -> DataFrame:
     """A row for each row and each of its distinct keys that may be in ``wanted`` (column ``key``), as column ``key``.
 
-    A bitmap of SLOTS bits, whatever the number of wanted keys, keeps rows of other keys from being made; the
-    equality join that follows decides.
-    """
-    word = F.shiftright("slot", 6).alias("word")
-    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    words = wanted.select(_slot(F.col("key")).alias("slot")).groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    all_words = wanted.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
-    dense = all_words.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda w: w["bits"]))
-
-    def may_be(k: Column) -> Column:
-        bits = F.get(F.col("_wanted"), F.shiftright(_slot(k), 6).cast("int"))
-        return bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _slot(k).bitwiseAND(63).cast("int"))) != 0
+    Keys are the runs of one to GRAM characters of each text (an empty one is its own run), behind the text's prefix,
+    and the distinct values of the array ``others``, which are no runs. A table of SLOTS marks, whatever the number of
+    wanted keys, keeps rows of other keys from being made; the equality join that follows decides.
 
-    marked = rows.withColumn("_keys", F.array_distinct(keys)).withColumn("_wanted", dense.scalar())
-    return marked.withColumn("key", F.explode(F.filter("_keys", may_be))).drop("_keys", "_wanted")
+    Each place of a text is a row until its key is tested, for the sizes that wanted keys have. That stays in generated
+    code, as lambdas over arrays of runs would not; a run counts where it first occurs.
+    """
+    prefixes = sorted({len(before) for before, _ in texts})
+    bare = [F.substr("key", F.lit(before + 1)) for before in prefixes]
+    marked = wanted.select(F.explode(F.array(F.struct(F.col("key").alias("mark"), F.lit(-1).alias("size")), *[
+        F.struct(run.alias("mark"), F.when(F.length("key") >= before, F.length(run)).otherwise(-1).alias("size"))
+        for before, run in zip(prefixes, bare, strict=True)])).alias("m"))
+    marks = marked.groupBy(_slot(F.col("m.mark")).alias("id")).agg(F.collect_set("m.size").alias("sizes"))
+    all_marks = wanted.sparkSession.range(SLOTS).join(marks, "id", "left")
+    there = F.transform(F.array_sort(F.collect_list(F.struct("id", F.col("sizes").isNotNull().alias("there")))), lambda m: m["there"])
+    sizes = F.filter(F.array_distinct(F.flatten(F.collect_list("sizes"))), lambda n: n.between(0, GRAM))
+    dense = all_marks.agg(F.struct(there.alias("there"), sizes.alias("sizes"))).scalar()
+
+    which, at, n = F.col("__which"), F.col("__at"), F.col("__n")
+    named = {f"__text{i}": text for i, (_, text) in enumerate(texts)} | ({} if others is None else {"__others": others})
+    text, prefix = F.lit(None).cast("string"), F.lit("")
+    for i, (before, _) in enumerate(texts):
+        text, prefix = F.when(which == i, F.col(f"__text{i}")).otherwise(text), F.when(which == i, F.lit(before)).otherwise(prefix)
+    is_text, size = which < len(texts), F.col("__size")
+    length, tried = F.length("__text"), dense["sizes"]
+    if others is not None:
+        length, tried = F.when(is_text, length).otherwise(F.size("__others")), F.when(is_text, tried).otherwise(F.array(F.lit(1)))
+    ends = F.greatest(size, F.when(is_text, F.lit(1)))
+    parts = rows.withColumns(named).withColumn("__which", F.explode(F.sequence(F.lit(0), F.lit(len(named) - 1))))
+    places = parts.withColumn("__text", text).withColumn("__size", length).withColumn(
+        "__at", F.explode(F.when(ends > 0, F.sequence(F.lit(1), ends))))
+    runs = places.withColumn("__n", F.explode(tried))
+    run = F.substr(F.col("__text"), at, n)
+    inside = (at + n - 1 <= size) & ((n > 0) | (size == 0))
+    first = F.instr(F.col("__text"), run) == at
+    for i, (before, _) in enumerate(texts):
+        for j in (j for j in range(i) if texts[j][0] == before):
+            before_it = (F.instr(F.col(f"__text{j}"), run) > 0) & ((n > 0) | (F.length(f"__text{j}") == 0))
+            first = first & ((which != i) | ~F.coalesce(before_it, F.lit(False)))
+    key, mark = F.concat(prefix, run), run
+    if others is not None:
+        other = F.get("__others", at - 1)
+        key, mark, first = F.when(is_text, key).otherwise(other), F.when(is_text, run).otherwise(other), ~is_text | first
+    found = runs.filter(inside & F.get(dense["there"], _slot(mark)) & first).withColumn("key", key)
+    return found.drop(*named, "__which", "__text", "__size", "__at", "__n")
 
 
 def join_patterns(rows: DataFrame, text: str, table: DataFrame, pattern: str) -> DataFrame:
@@ -81,9 +107,9 @@ def join_patterns(rows: DataFrame, text: str, table: DataFrame, pattern: str) ->
     bare = F.lower(F.regexp_replace(F.col(pattern), r"^\(\?[iuU]+\)", ""))
     literals = plain.withColumn("_literal", F.explode(F.split(bare, r"\|")))
     # The run whose hash is smallest, so that patterns with a common beginning do not all share a key.
-    chosen = F.array_min(F.transform(runs_of(F.col("_literal"), True), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    chosen = F.array_min(F.transform(longest_runs(F.col("_literal")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
     keyed = literals.withColumn("key", chosen).drop("_literal")
-    offered = explode_wanted(texts, runs_of(F.lower(text)), keyed.select("key").distinct())
+    offered = explode_wanted(texts, [("", F.lower(text))], keyed.select("key").distinct())
     test = F.expr(f"`{text}` rlike `{pattern}`")
     hits = offered.join(keyed, "key").where(test).dropDuplicates([text, "_row"]).select(text, *table.columns)
     others = table.filter(~F.col(pattern).rlike(_TEXT_ONLY))
