@@ -554,18 +554,26 @@ def sanitize_html(rows: DataFrame, column: str) -> DataFrame:
 
     markup = pa.struct([("markup", pa.string()), ("parse_error", pa.string())])
 
+    def clean_one(value: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None if value is None else clean_html(value), None)
+        except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
+            return (None, f"{type(error).__name__}: {error}")
+
     @F.arrow_udf("markup string, parse_error string")
-    def clean(values: pa.Array) -> pa.Array:
-        done, parts = [], []
-        for start in range(0, len(values), 64):  # strings of a few pages at a time, the rest stays in Arrow
-            for value in values.slice(start, 64).to_pylist():
-                try:
-                    done.append((None if value is None else clean_html(value), None))
-                except Exception as error:  # noqa: BLE001 - reported in the row, the batch goes on
-                    done.append((None, f"{type(error).__name__}: {error}"))
-            parts.append(pa.array(done, markup))
-            done = []
-        return pa.concat_arrays(parts) if parts else pa.array([], markup)
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            done, room = [], ROWS_CHARS
+            for value in values:  # one page at a time is a string, what is cleaned leaves before the batch is through
+                page = value.as_py()
+                done.append(clean_one(page))
+                room -= len(page or "") + 256
+                if room < 0:
+                    yield pa.array(done, markup)
+                    done, room = [], ROWS_CHARS
+            if done:
+                yield pa.array(done, markup)
+            del values, done  # so that they are not kept while the next batch is read
 
     cleaned = rows.withColumn("__clean", clean(F.col(column)))
     return cleaned.withColumns({column: F.col("__clean.markup"), "parse_error": F.col("__clean.parse_error")}).drop("__clean")
