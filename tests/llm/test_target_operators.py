@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +229,51 @@ def test_a_page_made_of_repeats_only_keeps_them(spark):
     assert {r["basis"] for r in got.values()} == {"copy"} and got[1]["text"].endswith("word39")
 
 
+def paragraphs(rng, n, words=30):
+    return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) for _ in range(n)]
+
+
+def article(texts):
+    return "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+
+
+def test_runs_tell_a_pages_own_article_from_cards(spark):
+    rng = random.Random(5)
+    pool = [paragraphs(rng, 1, 12) for _ in range(6)]
+    made, own = [], {}
+    for i in range(40):
+        own[i] = paragraphs(rng, 3)
+        others = "".join(article(c) for c in rng.sample(pool, 3))
+        made.append((i, f"https://h.example/{i}", page(article(own[i]) + others if i else others + article(own[i]), "")))
+    got = texts_of(spark, made)
+    assert {n: r["text"] for n, r in got.items()} == {n: "\n\n".join(t) for n, t in own.items()}
+    assert {(r["basis"], r["n_repeated"]) for r in got.values()} == {("article", 3 * 12)}
+    with duckdb.connect() as db:  # the twin takes the first article
+        db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        db.executemany("INSERT INTO pages VALUES (?, ?, ?)", made[1:])
+        assert sorted(db.execute(main_text.ORACLE).fetchall()) == [(n, r["url"], r["text"], r["n_chars"]) for n, r in sorted(got.items()) if n]
+
+
+def test_articles_that_repeat_stay_without_a_longer_own_one(spark):
+    rng = random.Random(6)
+    passage, copied, posts = paragraphs(rng, 1)[0], paragraphs(rng, 4), [paragraphs(rng, 1) for _ in range(6)]
+    bodies = [[[passage, *paragraphs(rng, 2)]] for _ in range(10)]  # the only article keeps what all pages have
+    bodies += [[copied, paragraphs(rng, 1, 10)] for _ in range(2)]  # a copied article beside a short one
+    bodies += [posts, posts[:2] + posts[4:] + [paragraphs(rng, 1)]]  # lists of posts
+    got = texts_of(spark, [(i, "http://h/", page("".join(map(article, b)))) for i, b in enumerate(bodies)])
+    assert [got[i]["text"] for i in range(len(bodies))] == ["\n\n".join(t for a in b for t in a) for b in bodies]
+    assert [got[i]["n_repeated"] for i in range(14)] == [0] * 10 + [120] * 2 + [120] * 2
+
+
+def test_articles_do_not_make_other_pages_text_repeated(spark):
+    rng = random.Random(7)
+    post = paragraphs(rng, 2)
+    rows = [(1, "http://h/1", page(article(post) + article(paragraphs(rng, 1)))), (2, "http://h/2", page(article(post) + article(paragraphs(rng, 1)))),
+            (3, "http://h/3", page("".join(f"<p>{t}</p>" for t in [*post, *paragraphs(rng, 1)])))]
+    got = texts_of(spark, rows)
+    assert got[3]["basis"] == "runs" and got[3]["n_repeated"] == 0 and got[3]["text"].startswith("\n\n".join(post))
+
+
 def brute_runs(streams, run, share):
     """Hashes of the runs on enough distinct pages of a host."""
     out = set()
@@ -255,6 +301,10 @@ def test_runs_equal_brute_force_however_many_parts(spark, part_tokens):
     assert got == brute_runs(streams, 8, 0.05)
 
 
+def test_runs_equal_brute_force_in_fewer_parts_than_pages_needed(spark):
+    test_runs_equal_brute_force_however_many_parts(spark, 5000)
+
+
 def test_a_hot_host_and_clashing_columns(spark, monkeypatch):
     rng = random.Random(9)
     made = [unnamed(i, rng)[:3] for i in range(60)]
