@@ -313,3 +313,51 @@ def test_a_hot_host_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(main_text, "HOT_SIZE", 20_000)
     assert main_text.main_text(df).where("basis = 'runs'").count() == 60
     assert main_text.main_text(df.limit(0)).count() == 0
+
+
+def test_streams_hold_all_words_of_a_page():
+    html = page("<nav><p>menu one</p></nav><article><header>by one two</header><h1>A head</h1><p>own text of it</p></article><footer>foot here</footer>")
+    found, names = markup.blocks(html), main_text.Names()
+    tokens, at = main_text.stream(found, names)
+    assert [e - s for s, e in at] == [len(b.text.split()) for b in found] and (tokens != 0).all()
+    inside = [b.said in (markup.ARTICLE, markup.HEADER) for b in found]
+    assert sum(inside) == 3 and all(tokens[s:e].tolist() == [names.of(w) + main_text.IN_ARTICLE * i for w in b.text.split()]
+                                    for b, (s, e), i in zip(found, at, inside, strict=True))
+    assert list(main_text.unpacked(main_text.pa.table(main_text.packed([found, [], found])))) == [found, [], found]
+
+
+def test_runs_see_a_cards_story_on_its_own_page(spark):
+    rng = random.Random(8)
+    stories = [paragraphs(rng, 3) for _ in range(12)]
+    notice = paragraphs(rng, 1, 12)
+    made = [(i, f"http://h/{i}", page(article(s + notice * (i < 4)), f"<title>{i}</title>")) for i, s in enumerate(stories)]
+    made.append((100, "http://h/100", page(article(stories[0]) + article(paragraphs(rng, 1)))))  # a story beside less of the page's own stays
+    own = paragraphs(rng, 4)
+    made.append((101, "http://h/101", page(article(own) + article(stories[7][:1]))))  # the card is on no other page with several articles
+    made.append((102, "http://other/", page(article(own) + article(stories[7][:1]))))
+    got = texts_of(spark, made)
+    assert got[101]["text"] == "\n\n".join(own) and (got[101]["n_repeated"], got[101]["n_shared"]) == (30, 0)
+    assert got[102]["text"] == "\n\n".join(own + stories[7][:1])
+    assert got[100]["text"].startswith("\n\n".join(stories[0])) and got[100]["n_repeated"] == 90
+    for i, story in enumerate(stories):  # the only article stays whole, what others have of it is told
+        assert got[i]["text"] == "\n\n".join(story + notice * (i < 4)) and got[i]["n_repeated"] == 0
+        assert got[i]["n_shared"] == 12 * (i < 4) + {0: 90, 7: 30}.get(i, 0)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.2])
+def test_parts_of_a_host_change_nothing(spark, monkeypatch, share):
+    rng = random.Random(11)
+    notices = [paragraphs(rng, 1, 20) for _ in range(30)]
+    made = []
+    for i in range(120):
+        _, url, html, _ = unnamed(i, rng)
+        made += [(i, url, html), (i + 1000, url + "?x", html)] if i % 5 == 0 else [(i, url, html)]
+        made.append((i + 2000, url, page(article(paragraphs(rng, 2) + rng.choice(notices) + notices[i % 3 * 10 + i % 2]))))
+    made += made[:3] + [(None, "http://h.example", None)] * 2
+    df = spark.createDataFrame(made, PAGES)
+    monkeypatch.setattr(main_text, "HOT_SIZE", 1 << 40)
+    whole = sorted(map(repr, main_text.main_text(df, share=share, part_tokens=1 << 40).collect()))
+    monkeypatch.setattr(main_text, "HOT_SIZE", 20_000)
+    monkeypatch.setattr(main_text, "HOT_PARTS", 1 << 40)
+    assert sorted(map(repr, main_text.main_text(df, share=share).collect())) == whole
+    assert sorted(map(repr, main_text.main_text(df, share=share, part_tokens=200).collect())) == whole
